@@ -183,10 +183,10 @@ def _as_binary(longs: str):
     return run
 
 
-def light_links(members: DataFrame, reps: DataFrame, t: float) -> DataFrame:
-    """The sets of each bucket that may have a partner there: bucket, pair (of blocks), side, sig, size, copies, mine.
+def dealt_out(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """bucket, pair (of blocks), side, mine and the columns of ``reps`` for each set of each bucket.
 
-    ``members`` has (bucket, sig), of buckets with two sets at least; ``reps`` has (sig, size, copies, sketch).
+    ``members`` has (bucket, sig), of buckets with two sets at least; ``reps`` has (sig, size, copies, ...).
     """
     stats = members.join(reps.select("sig", "size"), "sig").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     large = stats.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")).where("blocks > 1")
@@ -196,11 +196,15 @@ def light_links(members: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     a = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("a", F.coalesce(a, F.lit(0))).withColumn("b", other)
-    rows = rows.select(
+    return rows.select(
         "bucket", (F.least("a", "b").cast("long") * F.lit(1 << 31) + F.greatest("a", "b")).alias("pair"),
-        F.when(F.col("a") == F.col("b"), -1).when(F.col("a") < F.col("b"), 0).otherwise(1).alias("side"),
-        "sig", "size", "copies", "mine", "sketch",
+        F.when(F.col("a") == F.col("b"), -1).when(F.col("a") < F.col("b"), 0).otherwise(1).alias("side"), "mine", *reps.columns,
     )
+
+
+def light_links(members: DataFrame, reps: DataFrame, t: float) -> DataFrame:
+    """The sets of each bucket that may have a partner there, by their sketches: a column of ``reps``."""
+    rows = dealt_out(members, reps).select("bucket", "pair", "side", "sig", "size", "copies", "mine", "sketch")
     return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(
         _candidates(t), "bucket long, pair long, side int, sig long, size int, copies long, mine binary"
     )
