@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components, cut_lineage
-from .similar import exact_links, light_links, signature, sketch
+from .similar import links_to_pivots, links_within, signature, sketch
 from .words import HASHES, grams, mix, split_words, texts
 
 SHINGLE = 5
@@ -19,6 +19,8 @@ TARGET_RECALL = 0.995
 #: A bucket of more sets is split again, DEPTH times in all; what is still large is compared by blocks.
 SMALL = 256
 DEPTH = 4
+#: Sets this near the pivot of a large bucket need no further picks there.
+SETTLED = 0.75
 BROADCAST_ROWS = 1_000_000
 
 
@@ -95,22 +97,36 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _buckets(rows: DataFrame, depth: int, small: int) -> DataFrame:
-    """(bucket, sig) of buckets with two sets at least, after the splits of the large ones."""
-    leaves, large = None, None
+def _likely_links(rows: DataFrame, reps: DataFrame, t: float, depth: int, small: int) -> DataFrame:
+    """(src, dst): sets that are alike by their sketches, as links to one set of each group in each bucket.
+
+    Buckets of up to ``small`` sets are compared in full. In a larger one all sets meet
+    its pivot; those that aren't settled by this pick again, below the same path.
+    """
+    leaves, links, still = None, None, None
     for d in range(1, depth + 1):
         nodes = rows.where("size > 0").select("sig", F.explode(f"nodes_{d}").alias("n")).select("sig", F.col("n.parent").alias("parent"), F.col("n.path").alias("bucket"))
-        if large is not None:
-            nodes = nodes.join(_few(large.select(F.col("bucket").alias("parent"))), "parent", "left_semi")
+        if still is not None:
+            nodes = nodes.join(_few(still.select(F.col("bucket").alias("parent"), "sig")), ["parent", "sig"], "left_semi")
         nodes = nodes.select("bucket", "sig").distinct()
         counts = nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         held = cut_lineage(nodes.join(counts, "bucket"))
-        done = held if d == depth else held.where(F.col("n") <= small)
-        leaves = done.select("bucket", "sig") if leaves is None else leaves.union(done.select("bucket", "sig"))
-        large = cut_lineage(held.where(F.col("n") > small).select("bucket").distinct())
-        if large.isEmpty():
+        done = held.where(F.col("n") <= small).select("bucket", "sig")
+        large = held.where(F.col("n") > small).select("bucket", "sig")
+        if not large.isEmpty():
+            met = cut_lineage(links_to_pivots(large, reps, t, SETTLED))
+            found = met.where("linked AND sig <> pivot").select(F.col("sig").alias("src"), F.col("pivot").alias("dst"))
+            links = found if links is None else links.union(found)
+            rest = met.where("NOT settled").select("bucket", "sig")
+            left = rest.groupBy("bucket").agg(F.count("*").alias("n"))
+            rest = cut_lineage(rest.join(left, "bucket"))
+            done = done.union((rest if d == depth else rest.where(F.col("n") <= small)).where("n > 1").select("bucket", "sig"))
+            still = rest.where(F.col("n") > small)
+        leaves = done if leaves is None else leaves.union(done)
+        if large.isEmpty() or still.isEmpty():
             break
-    return leaves
+    inside = links_within(leaves, reps, reps.select("sig", "sketch"), t, exact=False).where("sig <> root").select(F.col("sig").alias("src"), F.col("root").alias("dst"))
+    return inside if links is None else inside.union(links)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, n: int) -> DataFrame:
@@ -137,10 +153,10 @@ def near_classes(
     what links connect. ``class_id`` is the class's smallest doc_id (null ids
     count as the largest), ``class_rid`` its row. Rows with equal sets are one
     set until the end. Each set picks a few of its shingles in each of several runs,
-    and sets that picked the same one share a bucket; a large bucket's sets
-    pick again. Inside a bucket all sets are compared: by sketches, then exactly. A pair is
-    counted in the first bucket that it shares only. Buckets still large after ``depth`` picks,
-    such as thousands of near copies, are compared by pairs of blocks. Links found are
+    and sets that picked the same one share a bucket. Small buckets are compared in
+    full, by sketches; in a large one all meet a pivot, and what isn't near it picks
+    again. What these likely links connect is then compared exactly, all with all and
+    once only, by pairs of blocks where it is thousands of near copies. Links are
     exact; a pair at the threshold is missed with a probability of 1 - ``target``
     at most. Texts of fewer than n words are one shingle; those
     without words have no links and are classes of their own. No rows give no rows.
@@ -150,19 +166,19 @@ def near_classes(
     rows = cut_lineage(_described(docs, id_col, text_col, n, t, runs, depth))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     reps = cut_lineage(rows.where("size > 0").groupBy("sig", "size", "sketch").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.min(first).alias("first")))
-    members = _buckets(rows, depth, small)
-    active = cut_lineage(light_links(members, reps.select("sig", "size", "copies", "sketch"), t))
-    wanted = cut_lineage(active.select("sig").distinct().join(reps.select("sig", "rid"), "sig"))
-    links = cut_lineage(exact_links(active, _sets(docs, wanted, text_col, n), t))
+    likely = connected_components(_likely_links(rows, reps.select("sig", "size", "copies", "sketch"), t, depth, small))
+    groups = cut_lineage(likely.select(F.col("component").alias("bucket"), F.col("node").alias("sig")))
+    wanted = cut_lineage(groups.join(reps.select("sig", "rid"), "sig").select("sig", "rid"))
+    links = cut_lineage(links_within(groups, reps, _sets(docs, wanted, text_col, n), t, exact=True))
     component = connected_components(links.select(F.col("sig").alias("src"), F.col("root").alias("dst")))
     counts = links.groupBy("sig").agg(F.sum("links").alias("links"))
     linked = counts.join(component.withColumnRenamed("node", "sig"), "sig").join(reps.select("sig", "first"), "sig")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     named = linked.join(heads, "component").select("sig", "links", "head")
-    sets = reps.join(named, "sig", "left").select(
+    by_set = reps.join(named, "sig", "left").select(
         "sig", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("head", "first").alias("head")
     )
-    with_words = rows.where("size > 0").select("rid", "doc_id", "sig", "size").join(sets, "sig").select(
+    with_words = rows.where("size > 0").select("rid", "doc_id", "sig", "size").join(by_set, "sig").select(
         "rid", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", F.col("head.rid").alias("class_rid"), F.col("size").alias("n_shingles")
     )
     without = rows.where("size = 0").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("rid").alias("class_rid"), F.col("size").alias("n_shingles"))

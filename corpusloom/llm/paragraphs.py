@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components, cut_lineage
 from .jaccard_join import SHINGLE, SIMILARITY, shingles
-from .similar import dealt_out, exact_links, signature
+from .similar import links_within, signature
 from .words import mix, split_words
 
 #: Least hashes that a band takes together. Two are enough where unlike paragraphs share next to no shingles.
@@ -119,8 +119,7 @@ def repeated_spans(
     nodes = units.select("sig", F.explode("bands").alias("bucket")).distinct()
     members = cut_lineage(nodes.join(nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "sig"))
     wanted = members.select("sig").distinct().join(reps, "sig").select("sig", "first.rid", "first.para")
-    active = dealt_out(members, reps.select("sig", "size", "copies"))
-    links = cut_lineage(exact_links(active, _sets(docs, cut_lineage(wanted), text_col, n), t))
+    links = cut_lineage(links_within(members, reps, _sets(docs, cut_lineage(wanted), text_col, n), t, exact=True))
     component = connected_components(links.select(F.col("sig").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "sig")
     linked = component.join(reps, "sig")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))

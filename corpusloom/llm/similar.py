@@ -2,12 +2,12 @@
 
 Used by the joins that find their candidates by buckets. A set is known by ``sig``.
 No pairs leave a task: a bucket gives one row for each linked set, with a link to
-its group's root and its number of links.
+its group's root and its number of links there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from .words import mix
 
 #: The least hashes of a set that go with it as its sketch.
-SKETCH = 32
+SKETCH = 64
 #: Sets compared in one task at once; a larger bucket is dealt out by pairs of blocks.
 BLOCK = 256
 #: Shingles that the sets of a block hold together.
@@ -84,133 +84,121 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _todo(bucket: int, sides: np.ndarray, sizes: np.ndarray, mine: list[np.ndarray], t: float) -> np.ndarray:
-    """Pairs to compare here: of near enough sizes, of both sides, and with no smaller bucket in common."""
-    n = len(sizes)
+def _near_sizes(sides: np.ndarray, sizes: np.ndarray, t: float) -> np.ndarray:
+    """Pairs (i < j) whose sizes allow a similarity of t; of different sides where two blocks meet."""
     both = np.minimum.outer(sizes, sizes) >= t * np.maximum.outer(sizes, sizes) - 1e-9
-    cross = sides >= 0
-    if cross.any():
+    if (sides >= 0).any():
         both &= sides[:, None] != sides[None, :]
-    both &= np.triu(np.ones((n, n), bool), 1)
-    if both.any():
-        earlier = [m[: np.searchsorted(m, bucket)] for m in mine]
-        if sum(len(x) > 0 for x in earlier) > 1:
-            both &= common(earlier) == 0 if n != 2 else len(np.intersect1d(*earlier)) == 0
-    return both
+    return np.triu(both, 1)
 
 
-def _may_be_similar(sketches: list[np.ndarray], sizes: np.ndarray, t: float) -> np.ndarray:
-    """False only for pairs whose similarity is below t but for odds under one in a million.
+def _may_be_similar(c: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, t: float) -> np.ndarray:
+    """By ``c`` values that two sketches share: false for pairs at or above t with odds under one in a million only.
 
     Of the SKETCH least hashes of a union a share of about t lies in both sets; five
     standard deviations are allowed. Sets that fit in their sketches are exact.
     """
-    c = common(sketches)
-    largest = np.maximum.outer(sizes, sizes)
     need = t * SKETCH - 5 * (t * (1 - t) * SKETCH) ** 0.5
-    exact = c >= t * (np.add.outer(sizes, sizes) - c) - 1e-6
-    return np.where(largest <= SKETCH, exact, c >= need)
+    return np.where(np.maximum(sizes_a, sizes_b) <= SKETCH, c >= t * (sizes_a + sizes_b - c) - 1e-6, c >= need)
 
 
-def _candidates(t: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 2):
-            if table.num_rows < 2:
-                continue
-            sizes = table.column("size").to_numpy().astype(np.float64)
-            mine = [np.frombuffer(x, "<i8") for x in table.column("mine").to_pylist()]
-            todo = _todo(table.column(0)[0].as_py(), table.column("side").to_numpy(), sizes, mine, t)
-            if todo.any():
-                todo &= _may_be_similar([np.frombuffer(x, "<u4") for x in table.column("sketch").to_pylist()], sizes, t)
-            if not todo.any():
-                continue
-            active = np.flatnonzero(todo.any(0) | todo.any(1))
-            yield from table.take(pa.array(active)).drop_columns(["sketch"]).combine_chunks().to_batches()
+def _roots(similar: np.ndarray) -> np.ndarray:
+    """The first member of each one's group, by a walk over the links of a symmetric matrix."""
+    root = np.arange(len(similar))
+    for i in range(len(similar)):
+        if root[i] != i or not similar[i].any():
+            continue
+        todo = [i]
+        while todo:
+            near = np.flatnonzero(similar[todo.pop()])
+            near = near[(root[near] == near) & (near > i)]
+            root[near] = i
+            todo += near.tolist()
+    return root
 
-    return run
 
+def _linker(t: float, exact: bool):
+    """sig, root and links of each linked member of each run of rows with the same group and pair of blocks."""
+    held, kind = ("shingles", "<u8") if exact else ("sketch", "<u4")
 
-def _links(t: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, roots, links = [], [], []
+        out: list[list[int]] = [[], [], []]
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["sig", "root", "links"])
+            for x in out:
+                x.clear()
+            return made
+
         for table in groups(batches, 2):
-            n = table.num_rows
-            if n < 2:
+            if table.num_rows < 2:
                 continue
             sig, copies = table.column("sig").to_numpy(), table.column("copies").to_numpy()
             sizes = table.column("size").to_numpy().astype(np.float64)
-            mine = [np.frombuffer(x, "<i8") for x in table.column("mine").to_pylist()]
-            todo = _todo(table.column(0)[0].as_py(), table.column("side").to_numpy(), sizes, mine, t)
+            todo = _near_sizes(table.column("side").to_numpy(), sizes, t)
             if not todo.any():
                 continue
-            c = common([np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()])
-            similar = todo & (c >= t * (np.add.outer(sizes, sizes) - c) - 1e-6)
+            c = common([np.frombuffer(x, kind) for x in table.column(held).to_pylist()])
+            a, b = sizes[:, None], sizes[None, :]
+            similar = todo & (c >= t * (a + b - c) - 1e-6 if exact else _may_be_similar(c, a, b, t))
             if not similar.any():
                 continue
             similar |= similar.T
-            count = similar @ copies
-            root = np.arange(n)
-            for i in range(n):  # each group's first member: a walk over the links
-                if root[i] != i or not similar[i].any():
-                    continue
-                todo_now = [i]
-                while todo_now:
-                    near = np.flatnonzero(similar[todo_now.pop()])
-                    near = near[(root[near] == near) & (near > i)]
-                    root[near] = i
-                    todo_now += near.tolist()
+            count, root = similar @ copies, _roots(similar)
             linked = np.flatnonzero(count > 0)
-            sigs += sig[linked].tolist()
-            roots += sig[root[linked]].tolist()
-            links += count[linked].tolist()
-            if len(sigs) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sigs, roots, links)], ["sig", "root", "links"])
-                sigs, roots, links = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sigs, roots, links)], ["sig", "root", "links"])
+            for x, values in zip(out, (sig[linked], sig[root[linked]], count[linked]), strict=True):
+                x += values.tolist()
+            if len(out[0]) > 10_000:
+                yield batch_of()
+        yield batch_of()
 
     return run
 
 
-def _as_binary(longs: str):
-    """Sorted bigints as little-endian bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(longs)
-            packed = [np.sort(np.array(x, "<i8")).tobytes() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
-
-    return run
+def links_within(members: DataFrame, reps: DataFrame, held: DataFrame, t: float, exact: bool) -> DataFrame:
+    """sig, root, links: the sets with a partner in their bucket, the first of their group there and the partners' copies.
 
-
-def dealt_out(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """bucket, pair (of blocks), side, mine and the columns of ``reps`` for each set of each bucket.
-
-    ``members`` has (bucket, sig), of buckets with two sets at least; ``reps`` has (sig, size, copies, ...).
+    ``members`` has (bucket, sig), of buckets with two sets at least; ``reps`` has
+    (sig, size, copies); ``held`` has sig and, as sorted little-endian bytes, shingles
+    if ``exact`` or else sketch, by which links are likely only. Buckets of more than BLOCK sets, or of many shingles,
+    are dealt out by pairs of blocks, so no task gathers a whole large bucket.
     """
     stats = members.join(reps.select("sig", "size"), "sig").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
-    large = stats.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")).where("blocks > 1")
-    by_set = members.groupBy("sig").agg(F.collect_list("bucket").alias("mine")).mapInArrow(_as_binary("mine"), "sig long, mine binary")
-    rows = members.join(by_set, "sig").join(reps, "sig").join(large, "bucket", "left")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)) if exact else F.ceil(F.col("n") / BLOCK)
+    large = stats.select("bucket", blocks.cast("int").alias("blocks")).where("blocks > 1")
+    rows = members.join(reps.select("sig", "size", "copies"), "sig").join(large, "bucket", "left")
     # block a meets every block b in the pair (min, max); its own pairs are (a, a)
     a = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("a", F.coalesce(a, F.lit(0))).withColumn("b", other)
-    return rows.select(
+    rows = rows.withColumn("a", F.coalesce(a, F.lit(0))).join(held, "sig").withColumn("b", other)
+    rows = rows.select(
         "bucket", (F.least("a", "b").cast("long") * F.lit(1 << 31) + F.greatest("a", "b")).alias("pair"),
-        F.when(F.col("a") == F.col("b"), -1).when(F.col("a") < F.col("b"), 0).otherwise(1).alias("side"), "mine", *reps.columns,
+        F.when(F.col("a") == F.col("b"), -1).when(F.col("a") < F.col("b"), 0).otherwise(1).alias("side"),
+        "sig", "size", "copies", "shingles" if exact else "sketch",
     )
+    return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(_linker(t, exact), "sig long, root long, links long")
 
 
-def light_links(members: DataFrame, reps: DataFrame, t: float) -> DataFrame:
-    """The sets of each bucket that may have a partner there, by their sketches: a column of ``reps``."""
-    rows = dealt_out(members, reps).select("bucket", "pair", "side", "sig", "size", "copies", "mine", "sketch")
-    return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(
-        _candidates(t), "bucket long, pair long, side int, sig long, size int, copies long, mine binary"
-    )
+def links_to_pivots(members: DataFrame, reps: DataFrame, t: float, settled: float) -> DataFrame:
+    """bucket, sig, pivot, linked and settled: each member of a large bucket against one of its members, by sketches.
 
+    In a bucket of near copies this links all of them in linear work. ``settled``
+    are those so near the pivot that whatever is alike to them is linked to it too.
+    """
 
-def exact_links(active: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """sig, root, links: each linked set of each bucket. ``sets`` has (sig, shingles), 64-bit hashes in order."""
-    rows = active.join(sets, "sig").select("bucket", "pair", "side", "sig", "size", "copies", "mine", "shingles")
-    return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(_links(t), "sig long, root long, links long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column
+            x, y = (batch.schema.get_field_index(n) for n in ("size", "p_size"))
+            a, b = col(x).to_numpy().astype(float), col(y).to_numpy().astype(float)
+            pairs = zip(*(col(batch.schema.get_field_index(n)).to_pylist() for n in ("sketch", "p_sketch")), strict=True)
+            c = np.array([len(np.intersect1d(np.frombuffer(u, "<u4"), np.frombuffer(v, "<u4"), assume_unique=True)) for u, v in pairs], float)
+            linked = _may_be_similar(c, a, b, t) & (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9)
+            near = np.where(np.maximum(a, b) <= SKETCH, c >= settled * (a + b - c) - 1e-6, c >= settled * SKETCH)
+            yield pa.RecordBatch.from_arrays([*(col(i) for i in range(3)), pa.array(linked), pa.array(near & linked)], ["bucket", "sig", "pivot", "linked", "settled"])
+
+    pivots = members.groupBy("bucket").agg(F.min("sig").alias("pivot"))
+    light = reps.select("sig", "size", "sketch")
+    pivots = pivots.join(light.select(F.col("sig").alias("pivot"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch")), "pivot")
+    rows = members.join(light, "sig").join(pivots, "bucket")
+    return rows.select("bucket", "sig", "pivot", "size", "p_size", "sketch", "p_sketch").mapInArrow(run, "bucket long, sig long, pivot long, linked boolean, settled boolean")
