@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.components import connected_components, cut_lineage
-from .similar import links_to_pivots, links_within, signature, sketch
+from ..operators.components import connected_components, cut_lineage, sized
+from .similar import few, links_to_pivots, links_within, only, signature, sketch
 from .words import HASHES, grams, mix, split_words, texts
 
 SHINGLE = 5
@@ -18,10 +18,9 @@ SIMILARITY = 0.8
 TARGET_RECALL = 0.995
 #: A bucket of more sets is split again, DEPTH times in all; what is still large is compared by blocks.
 SMALL = 256
-DEPTH = 4
+DEPTH = 3
 #: Sets this near the pivot of a large bucket need no further picks there.
 SETTLED = 0.75
-BROADCAST_ROWS = 1_000_000
 
 
 def runs_for(target: float, t: float, depth: int) -> int:
@@ -92,23 +91,21 @@ def _described(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, ru
     )
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast only behind a count; a larger table is shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _likely_links(rows: DataFrame, reps: DataFrame, t: float, depth: int, small: int) -> DataFrame:
     """(src, dst): sets that are alike by their sketches, as links to one set of each group in each bucket.
 
     Buckets of up to ``small`` sets are compared in full. In a larger one all sets meet
     its pivot; those that aren't settled by this pick again, below the same path.
     """
+    # one row for each set: the copies' picks are the same
+    copies = rows.join(few(reps.where("copies > 1").select("sig")), "sig", "left_semi").select("rid", "sig").join(reps.select("sig", F.col("rid").alias("first_rid")), "sig").where("rid <> first_rid")
+    rows = rows.join(few(copies.select("rid")), "rid", "left_anti")
     leaves, links, still = None, None, None
     for d in range(1, depth + 1):
         nodes = rows.where("size > 0").select("sig", F.explode(f"nodes_{d}").alias("n")).select("sig", F.col("n.parent").alias("parent"), F.col("n.path").alias("bucket"))
         if still is not None:
-            nodes = nodes.join(_few(still.select(F.col("bucket").alias("parent"), "sig")), ["parent", "sig"], "left_semi")
-        nodes = nodes.select("bucket", "sig").distinct()
+            nodes = nodes.join(few(still.select(F.col("bucket").alias("parent"), "sig")), ["parent", "sig"], "left_semi")
+        nodes = nodes.select("bucket", "sig")
         counts = nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         held = cut_lineage(nodes.join(counts, "bucket"))
         done = held.where(F.col("n") <= small).select("bucket", "sig")
@@ -118,14 +115,17 @@ def _likely_links(rows: DataFrame, reps: DataFrame, t: float, depth: int, small:
             found = met.where("linked AND sig <> pivot").select(F.col("sig").alias("src"), F.col("pivot").alias("dst"))
             links = found if links is None else links.union(found)
             rest = met.where("NOT settled").select("bucket", "sig")
-            left = rest.groupBy("bucket").agg(F.count("*").alias("n"))
-            rest = cut_lineage(rest.join(left, "bucket"))
+            size = rest.count()
+            left = sized(rest.groupBy("bucket").agg(F.count("*").alias("n")), size)
+            rest = cut_lineage(sized(rest.join(left, "bucket"), size))
             done = done.union((rest if d == depth else rest.where(F.col("n") <= small)).where("n > 1").select("bucket", "sig"))
             still = rest.where(F.col("n") > small)
         leaves = done if leaves is None else leaves.union(done)
         if large.isEmpty() or still.isEmpty():
             break
-    inside = links_within(leaves, reps, reps.select("sig", "sketch"), t, exact=False).where("sig <> root").select(F.col("sig").alias("src"), F.col("root").alias("dst"))
+    leaves = cut_lineage(leaves)
+    kept = only(reps, leaves, "sig")
+    inside = links_within(leaves, kept, kept.select("sig", "sketch"), t, exact=False).where("sig <> root").select(F.col("sig").alias("src"), F.col("root").alias("dst"))
     return inside if links is None else inside.union(links)
 
 
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, n: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["sig", "shingles"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
-    return numbered.join(_few(wanted), "rid").select("sig", "text").mapInArrow(run, "sig long, shingles binary")
+    return numbered.join(few(wanted), "rid").select("sig", "text").mapInArrow(run, "sig long, shingles binary")
 
 
 def near_classes(
@@ -166,13 +166,15 @@ def near_classes(
     rows = cut_lineage(_described(docs, id_col, text_col, n, t, runs, depth))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     reps = cut_lineage(rows.where("size > 0").groupBy("sig", "size", "sketch").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.min(first).alias("first")))
-    likely = connected_components(_likely_links(rows, reps.select("sig", "size", "copies", "sketch"), t, depth, small))
+    likely = connected_components(_likely_links(rows, reps.select("sig", "size", "copies", "sketch", "rid"), t, depth, small))
     groups = cut_lineage(likely.select(F.col("component").alias("bucket"), F.col("node").alias("sig")))
-    wanted = cut_lineage(groups.join(reps.select("sig", "rid"), "sig").select("sig", "rid"))
-    links = cut_lineage(links_within(groups, reps, _sets(docs, wanted, text_col, n), t, exact=True))
+    linked_reps = cut_lineage(only(reps.select("sig", "size", "copies", "rid", "first"), groups, "sig"))
+    linked_reps = sized(linked_reps, linked_reps.count())
+    links = cut_lineage(links_within(groups, linked_reps, _sets(docs, linked_reps.select("sig", "rid"), text_col, n), t, exact=True))
+    links = sized(links, links.count())
     component = connected_components(links.select(F.col("sig").alias("src"), F.col("root").alias("dst")))
     counts = links.groupBy("sig").agg(F.sum("links").alias("links"))
-    linked = counts.join(component.withColumnRenamed("node", "sig"), "sig").join(reps.select("sig", "first"), "sig")
+    linked = cut_lineage(counts.join(component.withColumnRenamed("node", "sig"), "sig").join(linked_reps.select("sig", "first"), "sig"))
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     named = linked.join(heads, "component").select("sig", "links", "head")
     by_set = reps.join(named, "sig", "left").select(

@@ -13,17 +13,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.components import sized
+
 from .words import mix
 
 #: The least hashes of a set that go with it as its sketch.
-SKETCH = 64
+SKETCH = 32
 #: Sets compared in one task at once; a larger bucket is dealt out by pairs of blocks.
 BLOCK = 256
+#: Rows up to which a table of keys is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Shingles that the sets of a block hold together.
 BLOCK_TOKENS = 1 << 20
 COLUMNS = 1 << 14
 
 
+def few(df: DataFrame) -> DataFrame:
+    """Broadcast only behind a count."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of the keys, before anything wide is shuffled."""
+    return df.join(few(keys.select(on).distinct()), on, "left_semi")
+
+
 def signature(shingles: np.ndarray) -> int:
     """A 64-bit hash of a set of hashes."""
     with np.errstate(over="ignore"):
@@ -163,10 +177,11 @@ def links_within(members: DataFrame, reps: DataFrame, held: DataFrame, t: float,
     if ``exact`` or else sketch, by which links are likely only. Buckets of more than BLOCK sets, or of many shingles,
     are dealt out by pairs of blocks, so no task gathers a whole large bucket.
     """
-    stats = members.join(reps.select("sig", "size"), "sig").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    n = members.count()
+    stats = sized(members.join(reps.select("sig", "size"), "sig"), n).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)) if exact else F.ceil(F.col("n") / BLOCK)
     large = stats.select("bucket", blocks.cast("int").alias("blocks")).where("blocks > 1")
-    rows = members.join(reps.select("sig", "size", "copies"), "sig").join(large, "bucket", "left")
+    rows = sized(members.join(reps.select("sig", "size", "copies"), "sig"), n).join(large, "bucket", "left")
     # block a meets every block b in the pair (min, max); its own pairs are (a, a)
     a = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -198,7 +213,7 @@ def links_to_pivots(members: DataFrame, reps: DataFrame, t: float, settled: floa
             yield pa.RecordBatch.from_arrays([*(col(i) for i in range(3)), pa.array(linked), pa.array(near & linked)], ["bucket", "sig", "pivot", "linked", "settled"])
 
     pivots = members.groupBy("bucket").agg(F.min("sig").alias("pivot"))
-    light = reps.select("sig", "size", "sketch")
+    light = only(reps.select("sig", "size", "sketch"), members, "sig")
     pivots = pivots.join(light.select(F.col("sig").alias("pivot"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch")), "pivot")
-    rows = members.join(light, "sig").join(pivots, "bucket")
+    rows = sized(members.join(light, "sig"), members.count()).join(few(pivots), "bucket")
     return rows.select("bucket", "sig", "pivot", "size", "p_size", "sketch", "p_sketch").mapInArrow(run, "bucket long, sig long, pivot long, linked boolean, settled boolean")
