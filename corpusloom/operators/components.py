@@ -21,6 +21,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """As few partitions as ``rows`` of small records need; never more than there are."""
+    return df.coalesce(max(4, -(-rows // each)))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
@@ -35,26 +40,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    before = None
+    n = now.count()
+    few = lambda df: sized(df, 2 * n)  # noqa: E731  no round has more edges than the first
+    now, before = few(now), None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = few(now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")))
+        large = few(large.where(F.col("u") != F.col("v")).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = few(large.join(least, "u"))
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
+            .union(joined.select("u", F.col("m").alias("v")))
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        now = cut_lineage(small)
+        now = cut_lineage(few(small))
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (mark["n"], mark["h"]) == before:
             break
         before = (mark["n"], mark["h"])
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    stars = few(now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
