@@ -111,13 +111,14 @@ def merge_duplicates(papers: DataFrame, components: DataFrame) -> DataFrame:
         first("n_doi", F.col("n_doi").isNotNull()).alias("doi"),
         first("url", F.coalesce(F.col("url") != "", F.lit(False))).alias("url"),
         F.max("citation_count").alias("citation_count"),
-        F.array_sort(F.collect_list(F.struct("rank", ids.alias("ids"), own.alias("own")))).alias("maps"),
+        F.collect_list(F.struct("rank", ids.alias("ids"), own.alias("own"))).alias("maps"),
         F.count("*").alias("records"),
     )
     empty = F.create_map().cast("map<string,string>")
     put = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))  # noqa: E731  the later value wins
     add = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, y))
-    merged = F.aggregate("maps", empty, lambda acc, m: add(put(acc, m["ids"]), m["own"]))
+    in_order = lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
+    merged = F.aggregate(F.array_sort("maps", in_order), empty, lambda acc, m: add(put(acc, m["ids"]), m["own"]))
     merged = F.when(F.col("doi").isNotNull(), put(merged, F.create_map(F.lit("doi"), F.col("doi")))).otherwise(merged)
     return grouped.select(
         "component", "lead.id", "lead.title", "abstract", "authors", "publication_year", "venue", "doi", "url", "citation_count", "lead.source", merged.alias("external_ids"), "records"

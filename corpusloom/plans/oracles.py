@@ -1 +1,255 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB equivalents of the registered queries, on the same tables.
+
+Folding and word classes are spelled out for the letters of the tables: DuckDB has
+neither NFKC nor Unicode word boundaries.
+"""
+
+from __future__ import annotations
+
+from ..functions.text import ABSOLUTE_PHRASES, STOP_WORDS
+from ..operators.critic import QUESTION_STOPS
+from ..operators.gaps import CONDITIONS, GENERIC, NEGATIVE, POSITIVE
+from ..operators.sections import SECTIONS
+from .views import CONDITION_WORDS, HEADINGS
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def fold(x: str) -> str:
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
+def parts(x: str) -> str:
+    """Distinct parts between white space."""
+    return rf"list_distinct(list_filter(regexp_split_to_array({fold(x)}, '\s+'), lambda w: w <> ''))"
+
+
+def stored_title(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({fold(x)}, '\p{{P}}', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def dedup_title(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({fold(x)}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def words_of(x: str) -> str:
+    return rf"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+
+
+def plain_words(x: str, least: int) -> str:
+    """Runs of word characters that are ASCII letters and digits only."""
+    return rf"list_filter(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z0-9]{{{least},}}'))"
+
+
+def decomposed(x: str) -> str:
+    """Lower case with accents taken off, each leaving a gap."""
+    out = f"lower({x})"
+    for letter, accented in {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü", "y": "ýÿ"}.items():
+        out = f"regexp_replace({out}, '[{accented}]', '{letter} ', 'g')"
+    return out
+
+
+def miner_words(x: str) -> str:
+    return f"list_filter(list_distinct({plain_words(decomposed(x), 2)}), lambda w: NOT list_contains({_list(STOP_WORDS)}, w))"
+
+
+def slug(x: str, n: int) -> str:
+    return f"substr(trim(regexp_replace(lower(trim({x})), '[^a-z0-9]+', '-', 'g'), '-'), 1, {n})"
+
+
+def gap_id(kind: str, topic: str, phrase: str) -> str:
+    t, p = slug(topic, 24), slug(phrase, 24)
+    return f"'gap-{kind}-' || {t} || '-' || substr(sha256('{kind}:' || {t} || ':' || {p}), 1, 8)"
+
+
+PAPERS = """papers AS (SELECT doc_id AS ord, 'd' || doc_id AS id, split_part(text, chr(10), 1) AS title, text AS abstract, source AS venue, lang,
+    2000 + doc_id % 25 AS year, n_chars % 1000 AS cites, (['openalex', 'semantic_scholar', 'arxiv'])[doc_id % 3 + 1] AS feed,
+    CASE WHEN doc_id % 2 = 0 THEN '10.5555/' || substr(md5(text), 1, 12) END AS doi FROM documents)"""
+
+INDEX = f"""tokens AS (SELECT id, unnest({words_of(stored_title("title"))}) AS t, 3 AS w FROM papers UNION ALL SELECT id, unnest({parts("abstract")}), 2 FROM papers)"""
+
+CARD_TOKENS = f"""card_tokens AS (SELECT 'd' || doc_id AS id, unnest({parts("concat_ws(' ', source, lang, split_part(text, chr(10), 1), split_part(text, chr(10), 1), CASE WHEN quality = 1 THEN 'improves' ELSE 'degrades' END)")}) AS t, 1 AS w
+    FROM documents JOIN labels USING (doc_id))"""
+
+
+def scores(cards: bool) -> str:
+    source = "(SELECT * FROM tokens UNION ALL SELECT * FROM card_tokens)" if cards else "tokens"
+    return f"""{PAPERS}, {INDEX}{', ' + CARD_TOKENS if cards else ''},
+    q AS (SELECT item_id AS query_id, unnest({parts("text")}) AS t FROM benchmark),
+    s AS (SELECT query_id, id, sum(w)::BIGINT AS score FROM {source} JOIN q USING (t) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, year DESC, cites DESC, {stored_title("title")}, id) AS rank,
+                 count(*) OVER (PARTITION BY query_id) AS total_matching FROM s JOIN papers USING (id))"""
+
+
+SCOPED = f"""{scores(True)},
+    scope AS (SELECT query_id::VARCHAR AS topic, id AS paper_id, rank AS paper_ord, quality, title, venue, lang FROM r JOIN labels ON ord = doc_id WHERE rank <= 50)"""
+
+STATEMENTS = f"""{SCOPED},
+    st AS (SELECT topic, paper_id, trim(title) AS statement, {miner_words("title")} AS tokens, paper_ord FROM scope WHERE trim(title) <> ''),
+    nst AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY paper_ord) AS nth FROM st WHERE len(tokens) > 0),
+    e AS (SELECT a.topic, a.nth AS x, b.nth AS y FROM nst a JOIN nst b ON a.topic = b.topic AND a.nth <> b.nth
+          WHERE len(list_intersect(a.tokens, b.tokens)) >= 2 OR len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) >= 0.35),
+    reach(topic, x, y) AS (SELECT topic, nth, nth FROM nst UNION SELECT reach.topic, reach.x, e.y FROM reach JOIN e ON reach.topic = e.topic AND reach.y = e.x),
+    g AS (SELECT topic, x AS nth, min(y) AS grp FROM reach GROUP BY ALL),
+    sg AS (SELECT nst.*, grp FROM nst JOIN g USING (topic, nth))"""
+
+THEMES = f"""{STATEMENTS},
+    gs AS (SELECT topic, grp, list(tokens ORDER BY nth) AS ts, first(statement ORDER BY nth) AS lead FROM sg GROUP BY ALL),
+    sh AS (SELECT topic, grp, list_filter(regexp_extract_all(lead, '[\\p{{L}}\\p{{N}}_-]+'), lambda w: regexp_full_match(w, '[a-zA-Z0-9-]+')) AS ws, list_reduce(ts, lambda a, b: list_intersect(a, b)) AS shared FROM gs),
+    cm AS (SELECT *, list_filter(ws, lambda w: list_contains(shared, lower(w))) AS common FROM sh),
+    themes AS (SELECT topic, grp, CASE WHEN len(common) > 0 THEN array_to_string(common[1:5], ' ') WHEN len(ws) > 0 THEN array_to_string(ws[1:5], ' ') ELSE 'observed limitation' END AS theme FROM cm)"""
+
+ORDERS = """m AS (SELECT DISTINCT l_orderkey AS p, p_brand || '/' || p_size AS method FROM lineitem JOIN part ON l_partkey = p_partkey),
+    d AS (SELECT DISTINCT l_orderkey AS p, n_name AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+    fm AS (SELECT method, count(*) AS method_papers FROM m GROUP BY 1 HAVING count(*) >= 2),
+    j AS (SELECT method, value, count(*) AS n FROM m JOIN d USING (p) GROUP BY ALL)"""
+
+EVALUATED = f"""c AS (SELECT doc_id, lang, source, ({_list(CONDITION_WORDS)})[n_chars % {len(CONDITION_WORDS)} + 1] AS word,
+      CASE quality WHEN 1 THEN 'observed' WHEN 0 THEN 'explicitly_absent' ELSE 'unknown' END AS status FROM documents LEFT JOIN labels USING (doc_id)),
+    k AS (SELECT *, coalesce(list_filter({_list(CONDITIONS)}, lambda s: contains(lower(trim(word)), s) OR contains(s, lower(trim(word))))[1], lower(trim(word))) AS cond FROM c),
+    pp AS (SELECT lang, source, count(*) AS papers FROM c GROUP BY ALL HAVING count(*) >= 2),
+    ev AS (SELECT lang, source, cond, count(*) FILTER (status = 'observed') AS o, count(*) FILTER (status = 'explicitly_absent') AS a FROM k WHERE list_contains({_list(CONDITIONS)}, cond) GROUP BY ALL),
+    eg AS (SELECT ev.lang, ev.source, cond, papers, a FROM ev JOIN pp USING (lang, source) WHERE o = 0 AND a > 0)"""
+
+SEEN = """seen AS (SELECT event_type, user_id::VARCHAR AS user, min(ts) AS f, max(ts) AS l, max(value / 500) AS r FROM events GROUP BY ALL)"""
+
+_ALIASES = " ".join(f"WHEN list_contains({_list(v)}, {{h}}) THEN '{k}'" for k, v in SECTIONS.items())
+
+
+def heading(x: str) -> str:
+    bare = rf"regexp_replace(regexp_replace(lower(trim({x})), '^(([0-9]+(\.[0-9]+)*)|([ivxlcdm]+))[\s.)\-:]+', ''), '[.:;\-–—]+$', '')"
+    return rf"trim(regexp_replace({bare}, '[ \t]+', ' ', 'g'))"
+
+
+def section_case(x: str) -> str:
+    return f"CASE {_ALIASES.replace('{h}', heading(x))} END"
+
+
+_INLINE = r"^(.{1,100}?)\s*[:\-–—]\s+(.+)$"
+SECTIONED = rf"""docs AS (SELECT doc_id AS doc, list_reduce(list_prepend('', list_transform(range(len(ls)), lambda i: ({_list(HEADINGS)})[(i + doc_id) % {len(HEADINGS)} + 1] || chr(10) || ls[i + 1])), lambda a, b: CASE WHEN a = '' THEN b ELSE a || chr(10) || b END) AS text
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    raw AS (SELECT doc, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+    ln AS (SELECT doc, pos, trim(regexp_replace(x, '[ \t]+', ' ', 'g')) AS line FROM raw),
+    nm AS (SELECT *, {section_case("line")} AS alone, {section_case(f"regexp_extract(line, '{_INLINE}', 1)")} AS lead FROM ln),
+    n2 AS (SELECT doc, pos, line, CASE WHEN line <> '' THEN coalesce(alone, lead) END AS name, CASE WHEN line <> '' AND alone IS NULL AND lead IS NOT NULL THEN trim(regexp_replace(regexp_extract(line, '{_INLINE}', 2), '[ \t]+', ' ', 'g')) END AS inl FROM nm),
+    op AS (SELECT *, name IS NOT NULL AND row_number() OVER (PARTITION BY doc, name ORDER BY pos) = 1 AS opens FROM n2),
+    hd AS (SELECT *, last_value(CASE WHEN opens THEN name END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos) AS section FROM op),
+    pt AS (SELECT doc, pos, section, CASE WHEN opens THEN inl ELSE line END AS part FROM hd WHERE section IS NOT NULL),
+    sec AS (SELECT doc, list_position({_list(list(SECTIONS))}, section)::INT AS ord, section, string_agg(part, chr(10) ORDER BY pos) AS body FROM pt WHERE part <> '' GROUP BY ALL)"""
+
+
+def cut(x: str, limit: str) -> str:
+    head = f"substr(trim({x}), 1, greatest(1, {limit} - 1))"
+    space = f"CASE WHEN strpos(reverse({head}), ' ') > 0 THEN length({head}) - strpos(reverse({head}), ' ') ELSE -1 END"
+    return f"CASE WHEN length(trim({x})) <= {limit} THEN trim({x}) WHEN {space} > {limit} // 2 THEN rtrim(substr({head}, 1, {space})) || '…' ELSE rtrim({head}) || '…' END"
+
+
+_POLARITY = "CASE WHEN pos AND NOT neg THEN 'positive' WHEN neg AND NOT pos THEN 'negative' ELSE 'neutral' END"
+CONTRADICTIONS = rf"""{SCOPED},
+    cl0 AS (SELECT *, title || CASE WHEN quality = 1 THEN ' improves' ELSE ' degrades' END AS claim FROM scope),
+    cl1 AS (SELECT *, regexp_matches(lower(claim), '{"|".join(POSITIVE)}') AS pos, regexp_matches(lower(claim), '{"|".join(NEGATIVE)}') AS neg FROM cl0),
+    cl AS (SELECT topic, paper_id, paper_ord, lang, claim, {_POLARITY} AS pol, list_filter({miner_words("claim")}, lambda w: length(w) >= 3 AND NOT list_contains({_list(GENERIC)}, w)) AS tk FROM cl1),
+    pr AS (SELECT a.topic, a.paper_id AS paper_a, b.paper_id AS paper_b, array_to_string(list_sort(list_intersect(a.tk, b.tk))[1:3], ' ') AS concept, a.lang <> b.lang AS conditioned
+      FROM cl a JOIN cl b ON a.topic = b.topic AND a.paper_ord < b.paper_ord WHERE a.pol <> 'neutral' AND b.pol <> 'neutral' AND a.pol <> b.pol AND len(list_intersect(a.tk, b.tk)) > 0)"""
+
+ORACLES: dict[str, str] = {
+    "lexical_topk": f"WITH {scores(False)} SELECT query_id, rank, id AS paper_id, score FROM r WHERE rank <= 10",
+    "rank_components": f"""WITH {scores(False)},
+      p AS (SELECT query_id, r.id, r.year, r.cites, {dedup_title("title")} AS nt, {words_of(dedup_title("title"))} AS tt, {words_of(dedup_title("abstract"))} AS ab, {words_of(dedup_title("text"))} AS q,
+                   (5 + (doi IS NOT NULL)::INT) / 6 AS completeness FROM r JOIN benchmark ON query_id = item_id WHERE rank <= 10),
+      c AS (SELECT *, coalesce(len(list_intersect(q, tt)) / nullif(len(q), 0), 0) AS title_overlap, coalesce(len(list_intersect(q, ab)) / nullif(len(q), 0), 0) AS abstract_overlap,
+                   greatest(0, least(1, 1 - (2026 - year) / 10)) AS recency, least(ln(1 + cites) / ln(1001), 1) AS citations FROM p),
+      f AS (SELECT *, 0.5 * title_overlap + 0.25 * abstract_overlap + 0.15 * recency + 0.07 * citations + 0.03 * completeness AS score FROM c)
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, year DESC, cites DESC, nt, id) AS rank, id, round(score, 9) AS score, round(title_overlap, 9) AS title_overlap,
+             round(abstract_overlap, 9) AS abstract_overlap, round(recency, 9) AS recency, round(citations, 9) AS citations, round(completeness, 9) AS completeness FROM f""",
+    "scoped_corpus": f"""WITH {scores(True)} SELECT query_id, rank AS paper_ord, id AS paper_id, score, ord IN (SELECT doc_id FROM labels) AS has_card, total_matching FROM r WHERE rank <= 50""",
+    "evidence_retrieval": rf"""WITH {scores(True)},
+      qq AS (SELECT item_id AS question_id, 'p' || item_id % 3 AS project_id, list_distinct({plain_words(fold("text"), 1)}) AS q FROM benchmark),
+      lk AS (SELECT 'p' || doc_id % 3 AS project_id, 'd' || doc_id AS id, CASE WHEN toxic = 1 THEN 'seed' WHEN quality = 0 THEN 'background' ELSE 'other' END AS relation FROM labels),
+      fl AS (SELECT id, list_distinct({plain_words(fold("title"), 1)}) AS t, list_distinct({plain_words(fold("abstract"), 1)}) AS a, list_distinct({plain_words(fold("concat_ws(' ', venue, papers.lang)"), 1)}) AS au,
+               CASE WHEN quality IS NULL THEN [] ELSE list_distinct({plain_words(fold("concat_ws(' ', venue, papers.lang, title, title, CASE WHEN quality = 1 THEN 'improves' ELSE 'degrades' END)"), 1)}) END AS c FROM papers LEFT JOIN labels ON ord = doc_id),
+      cd AS (SELECT query_id AS question_id, id FROM r WHERE rank <= 30 UNION SELECT question_id, id FROM qq JOIN lk USING (project_id)),
+      h AS (SELECT question_id, project_id, id, 3.0 * len(list_intersect(q, t)) + 2.0 * len(list_intersect(q, a)) + len(list_intersect(q, c)) + len(list_intersect(q, au)) AS lexical FROM cd JOIN qq USING (question_id) JOIN fl USING (id)),
+      b AS (SELECT h.*, relation, 2 * lexical + CASE relation WHEN 'seed' THEN 8 WHEN 'background' THEN 2 WHEN 'other' THEN 2 ELSE 0 END AS total FROM h LEFT JOIN lk USING (project_id, id) WHERE lexical > 0),
+      z AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY total DESC, relation IS NULL, id) AS rank FROM b)
+      SELECT question_id, rank, id AS paper_id, lexical::DOUBLE AS lexical, total::DOUBLE AS total FROM z WHERE rank <= 6""",
+    "citation_whitelist": f"""WITH {scores(False)} SELECT query_id, string_agg(id, ',' ORDER BY rank DESC) AS ids FROM r WHERE rank <= 10 GROUP BY 1""",
+    "identity_keys": f"""WITH {PAPERS}, k AS (SELECT id, list_filter([CASE WHEN doi IS NOT NULL THEN 'doi:' || doi END, CASE WHEN feed = 'arxiv' THEN 'arxiv:' || ord ELSE 'external:' || feed || ':' || ord END,
+        CASE WHEN length({dedup_title("title")}) >= 8 THEN 'title:' || {dedup_title("title")} END], lambda x: x IS NOT NULL) AS ks FROM papers)
+      SELECT id, generate_subscripts(ks, 1) - 1 AS pos, unnest(ks) AS key FROM k""",
+    "source_pairs": f"""WITH {PAPERS} SELECT id, feed AS provider, id AS external_id FROM papers UNION SELECT id, feed, ord::VARCHAR FROM papers UNION SELECT id, 'doi', doi FROM papers WHERE doi IS NOT NULL""",
+    "reconciled_discoveries": f"""WITH {SEEN} SELECT event_type AS watch_topic_id, (user::BIGINT % 25)::VARCHAR AS paper_id, min(f) AS first_seen_at, max(l) AS last_seen_at, max(r) AS rank_score FROM seen GROUP BY ALL""",
+    "extraction_coverage": f"""WITH {EVALUATED} SELECT lang AS topic, 'evaluation_condition' AS dimension, count(*) FILTER (status = 'observed') AS extracted, count(*) AS cards,
+      round(count(*) FILTER (status = 'observed') / count(*), 9) AS coverage FROM c GROUP BY lang HAVING count(*) FILTER (status = 'observed') > 0""",
+    "coverage_gaps": f"""WITH {ORDERS}, fv AS (SELECT value, count(*) AS value_papers FROM d GROUP BY 1 HAVING count(*) >= 2)
+      SELECT 'orders' AS topic, 'dataset' AS dimension, method, value, method_papers, value_papers, 0.4::DOUBLE AS confidence, {gap_id("coverage", "'orders'", f"{slug('method', 20)} || '-' || {slug('value', 20)}")} AS gap_id
+      FROM fm CROSS JOIN fv WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.method = fm.method AND j.value = fv.value)""",
+    "evaluation_gaps": f"""WITH {EVALUATED} SELECT lang AS topic, source AS method, cond AS condition, papers, a AS absent, 0.45::DOUBLE AS confidence,
+      {gap_id("evaluation", "lang", f"{slug('source', 20)} || '-' || {slug('cond', 20)}")} AS gap_id FROM eg""",
+    "method_transfers": f"""WITH {ORDERS}, fv AS (SELECT lower(value) AS target, count(*) AS target_papers FROM d GROUP BY 1 HAVING count(*) >= 2), k AS (SELECT method, lower(value) AS source, n FROM j)
+      SELECT 'orders' AS topic, k.method, 'dataset' AS dimension, k.source, target, n AS source_papers, target_papers, 'unknown' AS method_class, 0.4::DOUBLE AS confidence,
+        {gap_id("method_transfer", "'orders'", f"{slug('k.method', 20)} || '-dataset-' || {slug('k.source', 20)} || '-to-' || {slug('target', 20)}")} AS gap_id
+      FROM k JOIN fv ON target <> k.source WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM k o WHERE o.method = k.method AND o.source = target)""",
+    "contradictions": f"""WITH {CONTRADICTIONS} SELECT topic, paper_a, paper_b, concept, CASE WHEN conditioned THEN 'partially_compatible' ELSE 'compatible' END AS status,
+      CASE WHEN conditioned THEN 0.38 ELSE 0.52 END::DOUBLE AS confidence, conditioned FROM pr""",
+    "context_compatibility": f"""WITH {SCOPED}, f AS (SELECT topic, first(paper_id ORDER BY paper_ord) AS paper_a, first(lang ORDER BY paper_ord) AS la FROM scope GROUP BY 1)
+      SELECT topic, paper_a, paper_id AS paper_b, CASE WHEN la <> lang THEN 'partially_compatible' ELSE 'compatible' END AS status, CASE WHEN la <> lang THEN 0.5 ELSE 0.7 END::DOUBLE AS compatibility
+      FROM scope JOIN f USING (topic) WHERE paper_id <> paper_a""",
+    "statement_groups": f"""WITH RECURSIVE {STATEMENTS} SELECT topic, paper_id, grp AS "group" FROM sg""",
+    "theme_phrases": f"""WITH RECURSIVE {THEMES} SELECT topic, grp AS "group", theme FROM themes""",
+    "explicit_gaps": f"""WITH RECURSIVE {THEMES}, n AS (SELECT topic, grp, count(DISTINCT paper_id) AS papers, count(*) AS statements FROM sg GROUP BY ALL HAVING count(DISTINCT paper_id) >= 2)
+      SELECT topic, grp AS "group", papers, statements, least(1, round(0.4 + 0.15 * papers + 0.05 * statements, 2))::DOUBLE AS evidence_score, least(1, round(0.3 + 0.1 * papers, 2))::DOUBLE AS confidence, theme,
+        {gap_id("explicit", "topic", "theme")} AS gap_id FROM n JOIN themes USING (topic, grp)""",
+    "scan_claims": f"""WITH t AS (SELECT source, lower(text || CASE WHEN quality = 0 THEN ' No One Has seen the first ever' WHEN toxic = 1 THEN ' it does not exist' ELSE '' END) AS x FROM documents LEFT JOIN labels USING (doc_id)),
+      p AS (SELECT unnest({_list(ABSOLUTE_PHRASES)}) AS phrase) SELECT source, phrase, count(*) AS texts FROM t JOIN p ON contains(x, phrase) GROUP BY ALL""",
+    "track_discoveries": f"WITH {SEEN} SELECT event_type AS watch_topic_id, user AS paper_id, f AS first_seen_at, l AS last_seen_at, round(r, 9) AS rank_score FROM seen",
+    "track_discoveries_stream": f"WITH {SEEN} SELECT event_type AS watch_topic_id, user AS paper_id, f AS first_seen_at, l AS last_seen_at, round(r, 9) AS rank_score FROM seen",
+    "pending_notifications": f"""WITH {SEEN}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY r DESC, f, user) AS nth FROM seen WHERE r >= 0.35)
+      SELECT event_type AS watch_topic_id, nth, user AS paper_id, round(r, 9) AS rank_score FROM n WHERE nth <= 3""",
+    "notified_discoveries": f"""WITH {SEEN}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type, r >= 0.35 ORDER BY r DESC, f, user) AS nth FROM seen)
+      SELECT event_type AS watch_topic_id, count(*) FILTER (r >= 0.35 AND nth <= 3) AS marked, count(*) FILTER (NOT (r >= 0.35 AND nth <= 3)) AS waiting FROM n GROUP BY 1""",
+    "digest_windows": f"""WITH {SEEN} SELECT date_trunc('day', f)::TIMESTAMP AS period_start, event_type AS watch_topic_id, count(*) AS items, round(max(r), 9) AS highest_rank FROM seen GROUP BY ALL""",
+    "digest_candidates": f"""WITH {SEEN}, days AS (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS d FROM events), it AS (SELECT user, min(l) AS fd FROM seen GROUP BY 1),
+      a AS (SELECT d, user, list_sort(list_distinct(list(upper(event_type[1]) || lower(event_type[2:])))) AS names, max(r) AS hr FROM seen JOIN days ON f >= d AND f < d + INTERVAL 1 DAY GROUP BY ALL),
+      b AS (SELECT d, user FROM it JOIN days ON fd >= d AND fd < d + INTERVAL 1 DAY UNION SELECT d, user FROM a)
+      SELECT d AS period_start, row_number() OVER (PARTITION BY d ORDER BY coalesce(nullif(hr, 0), -1) DESC, fd DESC, 'user ' || user, user) AS rank, user AS paper_id, coalesce(array_to_string(names, ','), '') AS topic_names, round(hr, 9) AS highest_rank
+      FROM b LEFT JOIN a USING (d, user) JOIN it USING (user)""",
+    "digest_activity": f"""WITH {SEEN}, n AS (SELECT date_trunc('day', f)::TIMESTAMP AS period_start, upper(event_type[1]) || lower(event_type[2:]) AS topic, count(*) AS papers FROM seen GROUP BY ALL)
+      SELECT *, row_number() OVER (PARTITION BY period_start ORDER BY papers DESC, lower(topic)) AS nth FROM n""",
+    "scan_state": """WITH s AS (SELECT event_type AS id, ts, max(CASE WHEN value < 50 THEN 'low value ' || event_id END) AS e FROM events GROUP BY ALL)
+      SELECT id, max(ts) FILTER (e IS NULL) AS last_scan_at, last(e ORDER BY ts) AS last_error FROM s GROUP BY id""",
+    "digest_periods": """WITH r AS (SELECT date_trunc('day', ts)::TIMESTAMP AS s, count(*) AS n FROM events GROUP BY 1), c AS (SELECT max(s + INTERVAL 1 DAY) FILTER (n % 2 = 0) AS k FROM r)
+      SELECT k AS period_start, TIMESTAMP '2100-01-01' AS period_end FROM c WHERE k IS NOT NULL UNION SELECT s, s + INTERVAL 1 DAY FROM r, c WHERE n % 2 = 1 AND (k IS NULL OR s + INTERVAL 1 DAY > k)
+      UNION SELECT TIMESTAMP '2099-12-31', TIMESTAMP '2100-01-01' FROM c WHERE k IS NULL""",
+    "detect_sections": f"WITH {SECTIONED} SELECT doc, ord, section, body FROM sec",
+    "select_sections": f"""WITH {SECTIONED}, u AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS nth FROM sec WHERE section <> 'References'), w AS (SELECT *, least(600, 1500 - (nth - 1) * 600) AS share FROM u),
+      ch AS (SELECT doc, ord, section, {cut("body", "share")} AS excerpt FROM w WHERE share > 0)
+      SELECT * FROM ch UNION ALL SELECT doc, 0, 'Unsectioned excerpt', {cut("text", "600")} FROM docs WHERE trim(text) <> '' AND doc NOT IN (SELECT doc FROM ch)""",
+    "validate_evidence": rf"""WITH {SECTIONED}, cl AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS q, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS claim FROM documents),
+      mb AS (SELECT doc, trim(regexp_replace({fold("body")}, '\s+', ' ', 'g')) AS b FROM sec WHERE section = 'Method'),
+      v AS (SELECT doc, claim, q, coalesce(contains(b, trim(regexp_replace({fold("q")}, '\s+', ' ', 'g'))), false) AS ok FROM cl LEFT JOIN mb USING (doc))
+      SELECT doc, claim, CASE WHEN ok THEN 'Method' END AS source_section, CASE WHEN ok THEN length(q) END AS quoted FROM v""",
+    "text_gate": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), n AS (SELECT doc_id, x, length(x) AS n_text, length(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) AS n_alnum FROM t)
+      SELECT doc_id, n_text, n_alnum, CASE WHEN n_text > 250000 THEN 'too_long' WHEN n_text < 200 OR n_alnum < 40 THEN 'too_little_text' END AS reject_reason, sha256(x) AS content_sha256 FROM n""",
+    "upsert_snapshot": """WITH i AS (SELECT o_custkey + 10 AS id, last(o_orderpriority ORDER BY o_orderkey) AS seg, last(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END ORDER BY o_orderkey) AS best FROM orders GROUP BY 1)
+      SELECT coalesce(c_custkey, id) AS id, coalesce(c_name, 'x') AS name, greatest(c_acctbal, best) AS best, coalesce(seg, c_mktsegment) AS segment FROM customer FULL JOIN i ON c_custkey = id""",
+    "parent_check": "SELECT o_orderkey, o_custkey, CASE WHEN c_custkey IS NULL THEN 'unknown o_custkey' END AS reason FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0",
+    "unique_names": "SELECT trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-') AS name, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1",
+    "cascade_delete": "SELECT l_suppkey, count(*) AS lines FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1",
+    "feed_counts": f"""WITH {PAPERS} SELECT feed AS source, count(*) AS papers, NULL::VARCHAR AS warning FROM papers GROUP BY 1 UNION ALL SELECT 'other_feed', NULL, 'other_feed was unavailable; results may be partial.'""",
+    "ingest_openalex": """SELECT 'openalex:W' || doc_id AS id, 'Work ' || doc_id AS title, split_part(text, chr(10), 1) AS abstract, 2020 AS publication_year, lang AS venue, '10.1/a' || doc_id AS doi, 'https://doi.org/10.1/a' || doc_id AS url,
+      CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS citation_count, '{"pmid":"' || doc_id || '","openalex":"W' || doc_id || '","doi":"10.1/a' || doc_id || '"}' AS external_ids FROM documents""",
+    "derive_queries": rf"""WITH {CONTRADICTIONS}, {EVALUATED.replace("c AS (", "ec AS (", 1).replace(" FROM c)", " FROM ec)").replace("FROM c GROUP", "FROM ec GROUP")},
+      cand AS (SELECT sha256(concat_ws(chr(31), 'contradiction', topic, paper_a, paper_b, concept)) AS id, 'c' AS kind,
+          concept || ' in ' || topic AS title,
+          CASE WHEN conditioned THEN 'Within the retrieved corpus of ' || topic || ', under which experimental conditions (e.g., across datasets or evaluation settings) does ' || concept || ' improve or degrade performance?'
+               ELSE 'Within the retrieved corpus of ' || topic || ', why do paper ''' || paper_a || ''' and paper ''' || paper_b || ''' report opposing outcomes for ' || concept || ' under similar conditions?' END AS rq FROM pr
+        UNION ALL SELECT sha256(concat_ws(chr(31), 'evaluation', lang, source, cond)), 'e', 'Underrepresented evaluation condition in ' || lang || ': ' || cond || ' for ' || source,
+          'Within the retrieved corpus of ' || lang || ', how does ' || source || ' perform under evaluation condition ''' || cond || '''?' FROM eg),
+      w AS (SELECT *, list_filter({plain_words("rq", 3)}, lambda w: NOT list_contains({_list(QUESTION_STOPS)}, lower(w))) AS ws FROM cand),
+      qs AS (SELECT id, CASE kind WHEN 'c' THEN [title, array_to_string(ws[1:3], ' ') || ' improves', array_to_string(ws[1:3], ' ') || ' degrades', array_to_string(ws[1:3], ' ') || ' evaluation benchmark']
+               ELSE [title, array_to_string(ws[1:4], ' '), array_to_string(ws[1:3], ' ') || ' benchmark review', array_to_string(ws[1:2], ' ') || ' robustness solution'] END AS q FROM w)
+      SELECT id, generate_subscripts(q, 1) AS pos, unnest(q) AS query FROM qs""",
+}
