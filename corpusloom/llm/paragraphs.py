@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components, cut_lineage
 from .jaccard_join import SHINGLE, SIMILARITY, shingles
-from .similar import links_within, signature
-from .words import mix, split_words
+from .similar import links_within, signatures
+from .words import HASHES, grams, mix, split_words
 
 #: Least hashes that a band takes together. Two are enough where unlike paragraphs share next to no shingles.
 BAND_ROWS = 2
@@ -27,47 +27,73 @@ def bands_for(target: float, t: float, rows: int) -> int:
     return math.ceil(math.log(1 - target) / math.log(1 - t**rows))
 
 
-def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A bucket for each band: the least hashes under ``rows`` permutations, and the band's number."""
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    least = np.empty(len(seeds), np.uint64)
-    step = max(1, (1 << 22) // max(1, len(s)))
-    for a in range(0, len(seeds), step):
-        least[a : a + step] = mix(s[None, :] ^ seeds[a : a + step, None]).min(axis=1)
-    least = least.reshape(bands, rows)
-    key = np.arange(bands, dtype=np.uint64)
+def seeds_for(count: int) -> np.ndarray:
+    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def band_keys(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each set a bucket for each band: the least hashes under ``rows`` permutations, and the band's number.
+
+    The sets stand one after the other in ``values``, each from its start.
+    """
+    least = np.stack([np.minimum.reduceat(mix(values ^ seed), starts) for seed in seeds_for(bands * rows)], 1).reshape(-1, bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), least.shape[:2])
     for k in range(rows):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, :, k])
     return key
 
 
+def _line_sets(words: list[bytes], counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with n words at least, the shingle sets of all of them one after the other, and each one's start."""
+    g = grams(HASHES.of(words), n)
+    line = np.repeat(np.arange(len(counts)), counts)
+    inside = line[: len(g)] == line[n - 1 :][: len(g)]
+    g, line = g[inside], line[: len(g)][inside]
+    order = np.lexsort((g, line))
+    g, line = g[order], line[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (line[1:] != line[:-1])
+    g, line = g[new], line[new]
+    starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(g) else np.empty(0, np.int64)
+    return line[starts], g, starts
+
+
 def _units(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
     """A row for each line with n words at least, with its place, the signature of its shingles and its bands."""
-    names = ["rid", "doc_id", "para", "from", "to", "n_words", "sig", "size", "bands"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
 
-        def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)], names)
-            out.clear()
-            return made
+    def made(lines: list[tuple], words: list[bytes], counts: list[int]) -> pa.RecordBatch | None:
+        kept, values, starts = _line_sets(words, np.array(counts, np.int64), n)
+        if not len(kept):
+            return None
+        sizes = np.diff(starts, append=len(values))
+        rid, doc, para, start, end = (list(c) for c in zip(*(lines[i] for i in kept), strict=True))
+        keys = np.ascontiguousarray(band_keys(values, starts, bands, rows)).view(np.int64)
+        held = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(para, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
+                pa.array(np.array(counts)[kept].astype(np.int32)), pa.array(signatures(values, starts).view(np.int64)), pa.array(sizes.astype(np.int32)), held,
+            ],
+            ["rid", "doc_id", "para", "from", "to", "n_words", "sig", "size", "bands"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, words, counts = [], [], []
         for batch in batches:
-            for rid, doc, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                at, rid, doc = 0, rid.as_py(), doc.as_py()
+            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                at = 0
                 for para, line in enumerate((text.as_py() or "").split("\n")):
-                    data = line.encode("utf-8", "surrogatepass")
-                    s = shingles(data, n) if len(data) >= 2 * n - 1 else np.empty(0, np.uint64)
-                    if len(s):
-                        count = len(split_words(data))
-                        if count >= n:
-                            out.append((rid, doc, para, at, at + len(line), count, signature(s), len(s), band_keys(s, bands, rows).view(np.int64)))
+                    own = split_words(line.encode("utf-8", "surrogatepass"))
+                    lines.append((rid, doc, para, at, at + len(line)))
+                    words += own
+                    counts.append(len(own))
                     at += len(line) + 1
-                if len(out) >= 5_000:
-                    yield batch_of()
-        yield batch_of()
+                if len(words) > 100_000:
+                    if (out := made(lines, words, counts)) is not None:
+                        yield out
+                    lines, words, counts = [], [], []
+        if (out := made(lines, words, counts)) is not None:
+            yield out
 
     return docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         run, "rid long, doc_id long, para int, from long, to long, n_words int, sig long, size int, bands array<bigint>"

@@ -38,10 +38,14 @@ def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(few(keys.select(on).distinct()), on, "left_semi")
 
 
+def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set of hashes; the sets stand one after the other, each from its start."""
+    sizes = np.diff(starts, append=len(values)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A5)), starts) + sizes)
+
+
 def signature(shingles: np.ndarray) -> int:
-    """A 64-bit hash of a set of hashes."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(shingles ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(shingles))])).view(np.int64)[0])
+    return int(signatures(shingles, np.zeros(1, np.int64)).view(np.int64)[0]) if len(shingles) else 0
 
 
 def sketch(shingles: np.ndarray) -> bytes:

@@ -281,12 +281,22 @@ def test_paragraphs(stored, empty):
     assert paragraphs.repeated_spans(empty).count() == 0
 
 
+def test_line_sets_are_shingles():
+    lines = ["", "a b c d", "a b c d e", "a b c d e a b c d e a b c d e", "x " * 9, "one two three four five six seven"]
+    words = [split_words(x.encode()) for x in lines]
+    kept, values, starts = paragraphs._line_sets([w for ws in words for w in ws], np.array([len(w) for w in words]), 5)
+    assert kept.tolist() == [2, 3, 4, 5]
+    for k, part in zip(kept, np.split(values, starts[1:]), strict=True):
+        assert part.tolist() == jaccard_join.shingles(lines[k].encode()).tolist()
+    assert similar.signatures(values, starts).view(np.int64).tolist() == [similar.signature(jaccard_join.shingles(lines[k].encode())) for k in kept]
+
+
 def test_band_recall():
     rnd = np.random.default_rng(9)
     met = 0
     for _ in range(300):
         both, a, b = rnd.integers(0, 2**63, 80).astype(np.uint64), rnd.integers(0, 2**63, 10).astype(np.uint64), rnd.integers(0, 2**63, 10).astype(np.uint64)
-        keys = [set(paragraphs.band_keys(np.unique(np.r_[both, x]), 7, 2).tolist()) for x in (a, b)]
+        keys = [set(paragraphs.band_keys(np.unique(np.r_[both, x]), np.zeros(1, np.int64), 7, 2)[0].tolist()) for x in (a, b)]
         met += bool(keys[0] & keys[1])
     assert met >= 296 and paragraphs.bands_for(0.999, 0.8, 2) == 7
 
