@@ -106,20 +106,16 @@ def _likely_links(rows: DataFrame, reps: DataFrame, t: float, depth: int, small:
         if still is not None:
             nodes = nodes.join(few(still.select(F.col("bucket").alias("parent"), "sig")), ["parent", "sig"], "left_semi")
         nodes = nodes.select("bucket", "sig")
-        counts = nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        counts = nodes.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sig").alias("pivot")).where("n > 1")
         held = cut_lineage(nodes.join(counts, "bucket"))
         done = held.where(F.col("n") <= small).select("bucket", "sig")
-        large = held.where(F.col("n") > small).select("bucket", "sig")
+        large = held.where(F.col("n") > small).select("bucket", "sig", "pivot")
         if not large.isEmpty():
             met = cut_lineage(links_to_pivots(large, reps, t, SETTLED))
             found = met.where("linked AND sig <> pivot").select(F.col("sig").alias("src"), F.col("pivot").alias("dst"))
             links = found if links is None else links.union(found)
-            rest = met.where("NOT settled").select("bucket", "sig")
-            size = rest.count()
-            left = sized(rest.groupBy("bucket").agg(F.count("*").alias("n")), size)
-            rest = cut_lineage(sized(rest.join(left, "bucket"), size))
-            done = done.union((rest if d == depth else rest.where(F.col("n") <= small)).where("n > 1").select("bucket", "sig"))
-            still = rest.where(F.col("n") > small)
+            still = met.where("NOT settled").select("bucket", "sig")
+            done = done.union(still) if d == depth else done
         leaves = done if leaves is None else leaves.union(done)
         if large.isEmpty() or still.isEmpty():
             break

@@ -199,7 +199,7 @@ def links_within(members: DataFrame, reps: DataFrame, held: DataFrame, t: float,
 
 
 def links_to_pivots(members: DataFrame, reps: DataFrame, t: float, settled: float) -> DataFrame:
-    """bucket, sig, pivot, linked and settled: each member of a large bucket against one of its members, by sketches.
+    """bucket, sig, pivot, linked and settled: each member of a large bucket against one of them, its pivot, by sketches.
 
     In a bucket of near copies this links all of them in linear work. ``settled``
     are those so near the pivot that whatever is alike to them is linked to it too.
@@ -216,8 +216,7 @@ def links_to_pivots(members: DataFrame, reps: DataFrame, t: float, settled: floa
             near = np.where(np.maximum(a, b) <= SKETCH, c >= settled * (a + b - c) - 1e-6, c >= settled * SKETCH)
             yield pa.RecordBatch.from_arrays([*(col(i) for i in range(3)), pa.array(linked), pa.array(near & linked)], ["bucket", "sig", "pivot", "linked", "settled"])
 
-    pivots = members.groupBy("bucket").agg(F.min("sig").alias("pivot"))
     light = only(reps.select("sig", "size", "sketch"), members, "sig")
-    pivots = pivots.join(light.select(F.col("sig").alias("pivot"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch")), "pivot")
-    rows = sized(members.join(light, "sig"), members.count()).join(few(pivots), "bucket")
+    pivots = members.select(F.col("pivot").alias("sig")).distinct().join(light, "sig").select(F.col("sig").alias("pivot"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch"))
+    rows = sized(members.join(light, "sig"), members.count()).join(few(pivots), "pivot")
     return rows.select("bucket", "sig", "pivot", "size", "p_size", "sketch", "p_sketch").mapInArrow(run, "bucket long, sig long, pivot long, linked boolean, settled boolean")
