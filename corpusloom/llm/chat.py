@@ -50,34 +50,33 @@ def ranked_paths(messages: DataFrame, branches: int | None = None, max_rounds: i
     )
     light = cut_lineage(base.select("conv_id", "msg_id", "parent_id", "score"))
     there = light.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
-    # links[k]: the ancestor 2^k steps up, null where the root is nearer
     start = light.join(there, ["conv_id", "parent_id"], "left").select(
         "conv_id", F.col("msg_id").alias("node"), F.when(F.col("known"), F.col("parent_id")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")
     )
-    links = [cut_lineage(start)]
+    start = cut_lineage(start)
+    # links[k]: the ancestor 2^k steps up, of messages that have one; done: depth and score of those whose root is reached
+    links, done = [start.where("up IS NOT NULL")], start.where("up IS NULL")
+    active = links[0].count()
     for _ in range(max_rounds):
-        now = links[-1]
-        if now.where("up IS NOT NULL").isEmpty():
+        if not active:
             break
-        above = now.select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
-        links.append(
-            cut_lineage(
-                now.join(above, ["conv_id", "up"], "left").select(
-                    "conv_id", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                    (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
-                )
-            )
-        )
-        if len(links) > 2 and links[-1].where("up IS NOT NULL").count() == links[-2].where("up IS NOT NULL").count():
-            break  # what still has an ancestor is on a cycle
+        above = links[-1].union(done).select("conv_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
+        moved = cut_lineage(
+            links[-1].join(above, ["conv_id", "up"]).select("conv_id", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"))
+        )
+        links.append(moved.where("up IS NOT NULL"))
+        done = done.union(moved.where("up IS NULL"))
+        before, active = active, links[-1].count()
+        if active == before:
+            break  # what still has an ancestor is on a cycle, or below one
     inner = start.where("up IS NOT NULL").select("conv_id", F.col("up").alias("node")).distinct()
-    leaves = links[-1].where("up IS NULL").join(inner, ["conv_id", "node"], "left_anti")
+    leaves = done.join(inner, ["conv_id", "node"], "left_anti")
     order = W.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     leaves = leaves.withColumn("rank", F.row_number().over(order))
     leaves = leaves if branches is None else leaves.where(F.col("rank") <= branches)
     paths = leaves.select("conv_id", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
-    for k in reversed(range(len(links) - 1)):
-        step = links[k].where("up IS NOT NULL").select("conv_id", "node", F.col("up").alias("to"))
+    for k in reversed(range(len(links))):
+        step = links[k].select("conv_id", "node", F.col("up").alias("to"))
         paths = paths.union(paths.join(step, ["conv_id", "node"]).select("conv_id", "leaf", "rank", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up")))
         paths = cut_lineage(paths)
     return paths.join(base.select("conv_id", F.col("msg_id").alias("node"), "role", "text"), ["conv_id", "node"]).select("conv_id", "leaf", "rank", "up", "role", "text")
