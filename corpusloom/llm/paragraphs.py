@@ -1,4 +1,4 @@
-"""Substring dedup: paragraph MinHash bands, exact Jaccard and components."""
+"""Substring dedup: paragraph MinHash bands, exact Jaccard and components; verbatim passages wherever they stand."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components, cut_lineage
 from .jaccard_join import SHINGLE, SIMILARITY, shingles
-from .similar import links_within, signatures
-from .words import HASHES, grams, mix, split_words
+from .similar import groups, links_within, signatures
+from .words import HASHES, MULTIPLIER, TO_WORDS, grams, mix, split_words
 
 #: Least hashes that a band takes together. Two are enough where unlike paragraphs share next to no shingles.
 BAND_ROWS = 2
@@ -66,25 +66,26 @@ def _units(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows
         if not len(kept):
             return None
         sizes = np.diff(starts, append=len(values))
-        rid, doc, para, start, end = (list(c) for c in zip(*(lines[i] for i in kept), strict=True))
+        rid, doc, para, start, end, w_from = (list(c) for c in zip(*(lines[i] for i in kept), strict=True))
         keys = np.ascontiguousarray(band_keys(values, starts, bands, rows)).view(np.int64)
         held = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(para, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
-                pa.array(np.array(counts)[kept].astype(np.int32)), pa.array(signatures(values, starts).view(np.int64)), pa.array(sizes.astype(np.int32)), held,
+                pa.array(w_from, pa.int32()), pa.array(np.array(counts)[kept].astype(np.int32)), pa.array(signatures(values, starts).view(np.int64)), pa.array(sizes.astype(np.int32)), held,
             ],
-            ["rid", "doc_id", "para", "from", "to", "n_words", "sig", "size", "bands"],
+            ["rid", "doc_id", "para", "from", "to", "w_from", "n_words", "sig", "size", "bands"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, words, counts = [], [], []
         for batch in batches:
             for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                at = 0
+                at = n_before = 0
                 for para, line in enumerate((text.as_py() or "").split("\n")):
                     own = split_words(line.encode("utf-8", "surrogatepass"))
-                    lines.append((rid, doc, para, at, at + len(line)))
+                    lines.append((rid, doc, para, at, at + len(line), n_before))
+                    n_before += len(own)
                     words += own
                     counts.append(len(own))
                     at += len(line) + 1
@@ -96,7 +97,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows
             yield out
 
     return docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "rid long, doc_id long, para int, from long, to long, n_words int, sig long, size int, bands array<bigint>"
+        run, "rid long, doc_id long, para int, from long, to long, w_from int, n_words int, sig long, size int, bands array<bigint>"
     )
 
 
@@ -119,6 +120,143 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, n: int) -> DataFram
     return numbered.join(by_doc, "rid").select("text", "want").mapInArrow(run, "sig long, shingles binary")
 
 
+def _doubled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k consecutive words, from halves where k is even."""
+    if k % 2 or k < 8:
+        return grams(hashes, k)
+    half = _doubled(hashes, k // 2)
+    return mix(half[: -(k // 2)] * MULTIPLIER + half[k // 2 :]) if len(half) > k // 2 else np.empty(0, np.uint64)
+
+
+def anchors(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of some n // 2-word grams; what n words share, they share one of them (winnowing)."""
+    k = n // 2
+    g = _doubled(hashes, k)
+    w = n - k + 1
+    if len(g) < w:
+        return np.empty(0, np.int64), g[:0]
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, w).argmin(1) + np.arange(len(g) - w + 1))
+    return at, g[at]
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points from and to of each word of ``split_words``."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.r_[False, np.frombuffer(raw.tobytes().translate(TO_WORDS), np.uint8) != 32, False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    point = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+    return point[edges[::2]], point[edges[1::2]]
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """h, doc_id, rid, w_from, from and to of the windows of n words that may stand elsewhere too, by their anchors."""
+    row = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, g = anchors(HASHES.of(split_words((text.as_py() or "").encode("utf-8", "surrogatepass"))), n)
+                rids.append(np.full(len(at), rid))
+                places.append(at)
+                hashes.append(g)
+            arrays = [pa.array(np.concatenate(rids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "at", "h"])
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(a, 200) for a in range(0, whole.num_rows, 200)):
+                cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
+                for rid, doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    g = _doubled(HASHES.of(split_words(text.encode("utf-8", "surrogatepass"))), n)
+                    # windows that hold an anchor: from n - n // 2 words before it
+                    mark = np.zeros(len(g) + 1, np.int64)
+                    at = np.array(at)
+                    np.add.at(mark, np.maximum(at - (n - n // 2), 0), 1)
+                    np.add.at(mark, np.minimum(at + 1, len(g)), -1)
+                    pos = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                    first, last = word_places(text)
+                    none = np.full(len(pos), np.iinfo(np.int64).max if doc is None else doc)
+                    for c, x in zip(cols, (g[pos].view(np.int64), none, np.full(len(pos), rid), pos, first[pos], last[pos + n - 1]), strict=True):
+                        c.append(x)
+                h, doc, rid, pos, a, b = (np.concatenate(c) for c in cols)
+                held = np.iinfo(np.int64).max
+                arrays = [pa.array(h), pa.array(doc, mask=doc == held), pa.array(rid), *(pa.array(x.astype(np.int32)) for x in (pos, a, b))]
+                yield pa.RecordBatch.from_arrays(arrays, ["h", "doc_id", "rid", "w_from", "from", "to"])
+
+    found = row.select("rid", "text").mapInArrow(anchored, "rid long, at int, h long")
+    found = found.withColumn("n", F.count("*").over(W.partitionBy("h"))).where("n > 1")
+    by_doc = cut_lineage(found.groupBy("rid").agg(F.collect_list("at").alias("at")))
+    by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc
+    return row.join(by_doc, "rid").select("rid", "doc_id", "text", "at").mapInArrow(windowed, "h long, doc_id long, rid long, w_from int, from int, to int")
+
+
+def verbatim_passages(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """rid, doc_id, w_from, w_to, from, to, removed, keep_ids: runs of windows of n words that also stand elsewhere, at no matter which place of a line.
+
+    Of equal windows the one with the smallest (doc_id, place) stays. A window that overlaps it in the same text stays too.
+    """
+    w = W.partitionBy("h").orderBy(F.col("doc_id").isNull(), "doc_id", "rid", "w_from").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    place = F.struct("doc_id", "rid", "w_from")
+    windows = _windows(docs, id_col, text_col, n).withColumn("head", F.first(place).over(w)).withColumn("last", F.last(place).over(w))
+    apart = lambda c: (F.col(f"{c}.rid") != F.col("head.rid")) | (F.col(f"{c}.w_from") >= F.col("head.w_from") + n)
+    found = windows.where(apart("last")).select(
+        "rid", "doc_id", "w_from", "from", "to", F.col("head.doc_id").alias("head"), ((F.col("rid") != F.col("head.rid")) | (F.col("w_from") >= F.col("head.w_from") + n)).alias("removed")
+    )
+    run = W.partitionBy("rid", "removed").orderBy("w_from")
+    found = found.withColumn("run", F.col("w_from") - F.row_number().over(run))
+    return found.groupBy("rid", "doc_id", "removed", "run").agg(
+        F.min("w_from").alias("w_from"), (F.max("w_from") + n).alias("w_to"), F.min("from").cast("long").alias("from"), F.max("to").cast("long").alias("to"), F.collect_set("head").alias("keep_ids")
+    ).drop("run")
+
+
+def merged(parts: list[dict], least: int) -> list[dict]:
+    """Spans of one text from parts that overlap: removed ones joined where they meet, then what stays outside them; ``least`` words and more."""
+
+    def joined(some: list[dict]) -> list[dict]:
+        out: list[dict] = []
+        for p in sorted(some, key=lambda p: (p["w_from"], p["w_to"])):
+            if out and p["w_from"] <= out[-1]["w_to"]:
+                q = out[-1]
+                q.update(w_to=max(q["w_to"], p["w_to"]), to=max(q["to"], p["to"]), keep_ids=q["keep_ids"] | set(p["keep_ids"]))
+                q["from"] = min(q["from"], p["from"])
+            else:
+                out.append({**p, "keep_ids": set(p["keep_ids"])})
+        return out
+
+    gone = [p for p in joined([p for p in parts if p["removed"]]) if p["w_to"] - p["w_from"] >= least]
+    out, k = list(gone), 0
+    for p in joined([p for p in parts if not p["removed"]]):
+        while k < len(gone) and gone[k]["w_to"] <= p["w_from"]:
+            k += 1
+        j, rest = k, dict(p)
+        while j < len(gone) and gone[j]["w_from"] < p["w_to"]:
+            g = gone[j]
+            out.append({**rest, "w_to": g["w_from"], "to": g["from"]})
+            rest.update({"w_from": g["w_to"], "from": g["to"]})
+            j += 1
+        out.append(rest)
+    return [p for p in out if p["w_to"] - p["w_from"] >= least]
+
+
+def _merge_spans(parts: DataFrame, least: int) -> DataFrame:
+    names = ["rid", "doc_id", "from", "to", "n_words", "removed", "keep_ids"]
+    schema = pa.schema([*((c, pa.int64()) for c in names[:5]), ("removed", pa.bool_()), ("keep_ids", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for table in groups(batches, 1):
+            for p in merged(table.to_pylist(), least):
+                out.append({**{c: p[c] for c in names if c in p}, "n_words": p["w_to"] - p["w_from"], "keep_ids": sorted(p["keep_ids"])})
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    rows = parts.select("rid", "doc_id", "w_from", "w_to", "from", "to", "removed", "keep_ids").repartition("rid").sortWithinPartitions("rid")
+    return rows.mapInArrow(run, "rid long, doc_id long, from long, to long, n_words long, removed boolean, keep_ids array<bigint>")
+
+
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, t: float = SIMILARITY, target: float = TARGET_RECALL,
     rows: int = BAND_ROWS, span_words: int = SPAN_WORDS,
@@ -135,8 +273,11 @@ def repeated_spans(
     are one until the end; others meet by MinHash bands, tuned so that a pair at the
     threshold meets with ``target`` odds, and are compared exactly inside each
     bucket. Null and empty texts have no paragraphs. A line that repeats inside one
-    document counts too, and so do repeated rows. No rows give no rows. Other columns are ignored. ``docs`` has to
-    be a stored table: it is read twice.
+    document counts too, and so do repeated rows. Besides, every run of ``span_words`` words
+    and more that stands verbatim at an earlier place, inside other lines or across other line
+    breaks, is removed as well; overlapping spans are merged, and what stays is reported outside the
+    removed ones. No rows give no rows. Other columns are ignored. ``docs`` has to
+    be a stored table: it is read four times.
     """
     bands = bands_for(target, t, rows)
     units = cut_lineage(_units(docs, id_col, text_col, n, bands, rows))
@@ -151,7 +292,7 @@ def repeated_spans(
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     near = linked.join(heads, "component").select("sig", "head")
     repeated = reps.join(near, "sig", "left").where((F.col("copies") > 1) | F.col("head").isNotNull()).select("sig", F.coalesce("head", "first").alias("head"))
-    found = units.select("rid", "doc_id", "para", "from", "to", "n_words", "sig").join(repeated, "sig").withColumn(
+    found = units.select("rid", "doc_id", "para", "from", "to", "w_from", "n_words", "sig").join(repeated, "sig").withColumn(
         "removed", (F.col("rid") != F.col("head.rid")) | (F.col("para") != F.col("head.para"))
     )
     # a span goes on while no judged line that isn't repeated stands between: number the judged lines of a document
@@ -160,7 +301,8 @@ def repeated_spans(
     run = W.partitionBy("rid").orderBy("para")
     new = (F.col("nth") != F.lag("nth").over(run) + 1) | (F.col("removed") != F.lag("removed").over(run))
     found = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(run))
-    spans = found.groupBy("rid", "doc_id", "span", "removed").agg(
-        F.min("from").alias("from"), F.max("to").alias("to"), F.sum("n_words").alias("n_words"), F.array_sort(F.collect_set("head.doc_id")).alias("keep_ids")
+    lines = found.groupBy("rid", "doc_id", "span", "removed").agg(
+        F.min("w_from").alias("w_from"), F.max(F.col("w_from") + F.col("n_words")).alias("w_to"), F.min("from").alias("from"), F.max("to").alias("to"), F.collect_set("head.doc_id").alias("keep_ids")
     )
-    return spans.where(F.col("n_words") >= span_words).select("rid", "doc_id", "from", "to", "n_words", "removed", "keep_ids")
+    parts = lines.drop("span").unionByName(verbatim_passages(docs, id_col, text_col, span_words))
+    return _merge_spans(parts, span_words)

@@ -281,6 +281,36 @@ def test_paragraphs(stored, empty):
     assert paragraphs.repeated_spans(empty).count() == 0
 
 
+def test_passages_inside_and_across_lines(spark, tmp_path):
+    rnd = random.Random(12)
+    passage, odd = sentence(rnd, 57), "é, " + sentence(rnd, 45)
+    rows = [
+        (1, sentence(rnd, 20) + " " + passage + " " + sentence(rnd, 15) + "\nlast words here"),
+        (2, sentence(rnd, 30) + " " + passage + ". " + sentence(rnd, 50)),
+        (3, sentence(rnd, 8) + " " + passage.replace(" ", "\n", 3).replace("a", "A") + " " + sentence(rnd, 9)),
+        (None, sentence(rnd, 30) + " " + odd + " " + sentence(rnd, 70)), (4, "ü " * 9 + odd + "! " + sentence(rnd, 70)),
+        (5, sentence(rnd, 200)), (6, "same " * 130), (7, " ".join(passage.split()[:39]) + " " + sentence(rnd, 39)), (8, None),
+    ]
+    path = str(tmp_path / "documents.parquet")
+    table(spark, rows).write.parquet(path)
+    got = paragraphs.repeated_spans(spark.read.parquet(path)).collect()
+    texts = dict(rows)
+    held = {(r.doc_id, r.removed, tuple(split_words(texts[r.doc_id][r["from"] : r["to"]].encode())), r.n_words, *r.keep_ids) for r in got if r.doc_id != 6}
+    p, o = (tuple(split_words(x.encode())) for x in (passage, odd))
+    assert held == {(1, False, p, 57, 1), (2, True, p, 57, 1), (3, True, p, 57, 1), (4, False, o, 46, 4), (None, True, o, 46, 4)}
+    # a text that repeats itself keeps its first words
+    assert sorted((r.removed, r.n_words) for r in got if r.doc_id == 6) == [(False, 40), (True, 90)]
+
+
+def test_windows_share_an_anchor():
+    rnd = np.random.default_rng(3)
+    for n in (40, 41):
+        for _ in range(200):
+            run = rnd.integers(0, 2**63, n).astype(np.uint64)
+            a, b = (np.concatenate([rnd.integers(0, 2**63, rnd.integers(0, 50)).astype(np.uint64), run, rnd.integers(0, 2**63, rnd.integers(0, 50)).astype(np.uint64)]) for _ in range(2))
+            assert set(paragraphs.anchors(a, n)[1].tolist()) & set(paragraphs.anchors(b, n)[1].tolist())
+
+
 def test_line_sets_are_shingles():
     lines = ["", "a b c d", "a b c d e", "a b c d e a b c d e a b c d e", "x " * 9, "one two three four five six seven"]
     words = [split_words(x.encode()) for x in lines]
