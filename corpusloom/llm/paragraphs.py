@@ -43,6 +43,25 @@ def band_keys(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
     return key
 
 
+def paragraphs_of(text: str, n: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Code points from and to, and words: lines with n words at least, and between them all shorter lines together."""
+    held, at, start, end = [], 0, 0, 0
+    for line in text.split("\n"):
+        own = split_words(line.encode("utf-8", "surrogatepass"))
+        if len(own) >= n:
+            if held:
+                yield start, end, held
+                held = []
+            yield at, at + len(line), own
+        elif own:
+            start = start if held else at
+            held.extend(own)
+            end = at + len(line)
+        at += len(line) + 1
+    if held:
+        yield start, end, held
+
+
 def _line_sets(words: list[bytes], counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines with n words at least, the shingle sets of all of them one after the other, and each one's start."""
     g = grams(HASHES.of(words), n)
@@ -59,7 +78,7 @@ def _line_sets(words: list[bytes], counts: np.ndarray, n: int) -> tuple[np.ndarr
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """A row for each line with n words at least, with its place, the signature of its shingles and its bands."""
+    """A row for each paragraph with n words at least, with its place, the signature of its shingles and its bands."""
 
     def made(lines: list[tuple], words: list[bytes], counts: list[int]) -> pa.RecordBatch | None:
         kept, values, starts = _line_sets(words, np.array(counts, np.int64), n)
@@ -81,14 +100,12 @@ def _units(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows
         lines, words, counts = [], [], []
         for batch in batches:
             for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                at = n_before = 0
-                for para, line in enumerate((text.as_py() or "").split("\n")):
-                    own = split_words(line.encode("utf-8", "surrogatepass"))
-                    lines.append((rid, doc, para, at, at + len(line), n_before))
+                n_before = 0
+                for para, (start, end, own) in enumerate(paragraphs_of(text.as_py() or "", n)):
+                    lines.append((rid, doc, para, start, end, n_before))
                     n_before += len(own)
                     words += own
                     counts.append(len(own))
-                    at += len(line) + 1
                 if len(words) > 100_000:
                     if (out := made(lines, words, counts)) is not None:
                         yield out
@@ -108,10 +125,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, n: int) -> DataFram
         for batch in batches:
             sigs, packed = [], []
             for text, want in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                lines = text.as_py().split("\n")
+                text = text.as_py()
+                places = [(start, end) for start, end, _ in paragraphs_of(text, n)]
                 for w in want:
                     sigs.append(w["sig"])
-                    packed.append(shingles(lines[w["para"]].encode("utf-8", "surrogatepass"), n).astype("<u8").tobytes())
+                    packed.append(shingles(text[slice(*places[w["para"]])].encode("utf-8", "surrogatepass"), n).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(packed, pa.binary())], ["sig", "shingles"])
 
     by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("sig", "para")).alias("want"))
@@ -263,12 +281,12 @@ def repeated_spans(
 ) -> DataFrame:
     """rid, doc_id, from, to, n_words, removed and keep_ids: the spans of ``docs`` whose paragraphs also stand elsewhere.
 
-    Paragraphs are lines with n words at least. Those whose sets of n-word shingles are
+    Paragraphs are lines with n words at least, and between those all shorter lines together. Those whose sets of n-word shingles are
     alike by t or more are linked, and what links connect is a class. Of a class the
     occurrence with the smallest (doc_id, place) stays (null ids count as the largest)
     and all others are removed. Adjacent repeated paragraphs that are both removed, or both stay,
     form a span of code points [from, to) with the doc_ids that keep its paragraphs;
-    lines too short to judge between them go along. Spans of fewer than
+    lines too short to judge between them go along, and their words count. Spans of fewer than
     ``span_words`` words are left alone, so short set phrases are. Equal paragraphs
     are one until the end; others meet by MinHash bands, tuned so that a pair at the
     threshold meets with ``target`` odds, and are compared exactly inside each

@@ -302,6 +302,30 @@ def test_passages_inside_and_across_lines(spark, tmp_path):
     assert sorted((r.removed, r.n_words) for r in got if r.doc_id == 6) == [(False, 40), (True, 90)]
 
 
+def test_short_lines_are_paragraphs(spark, tmp_path):
+    rnd = random.Random(13)
+
+    def verse(words, per=4):
+        return "\n".join(" ".join(words[i : i + per]) for i in range(0, len(words), per))
+
+    words = sentence(rnd, 60).split()
+    # no run of 40 equal words
+    near = [*words[:30], "changed", *words[31:]]
+    a, b, few = sentence(rnd, 19), sentence(rnd, 18), "of so few"
+    rows = [
+        (1, sentence(rnd, 30) + "\n" + verse(words) + "\n\n" + sentence(rnd, 30)), (2, verse(near, 3)),
+        (3, a + "\n" + few + "\n" + b), (4, sentence(rnd, 9) + "\n" + a + "\n" + few.replace("few", "little") + "\n" + b),
+    ]
+    path = str(tmp_path / "documents.parquet")
+    table(spark, rows).write.parquet(path)
+    got = paragraphs.repeated_spans(spark.read.parquet(path)).collect()
+    texts = dict(rows)
+    held = {(r.doc_id, r.removed, texts[r.doc_id][r["from"] : r["to"]], r.n_words, *r.keep_ids) for r in got}
+    assert held == {
+        (1, False, verse(words), 60, 1), (2, True, verse(near, 3), 60, 1), (3, False, rows[2][1], 40, 3), (4, True, rows[3][1].split("\n", 1)[1], 40, 3),
+    }
+
+
 def test_windows_share_an_anchor():
     rnd = np.random.default_rng(3)
     for n in (40, 41):
