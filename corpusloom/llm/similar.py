@@ -120,6 +120,21 @@ def _may_be_similar(c: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, t:
     return np.where(np.maximum(sizes_a, sizes_b) <= SKETCH, c >= t * (sizes_a + sizes_b - c) - 1e-6, c >= need)
 
 
+def _at_pivot(c: np.ndarray, a: np.ndarray, b: np.ndarray, t: float, settled: float) -> tuple[np.ndarray, np.ndarray]:
+    """(linked, settled) of sets of sizes ``a`` whose sketches share ``c`` values with their pivots' of sizes ``b``.
+
+    A settled set x shares ``settled`` of its sketch with the pivot's, and what is alike to x
+    shares as much of x's sketch as _may_be_similar asks for. Both parts lie in x's sketch, so they overlap, in the
+    pivot's sketch too, by what they are more than it together. Sizes differ by t twice at
+    most. All that pass these two bounds are linked: no partner of a settled set is lost here.
+    """
+    low, high, small = np.minimum(a, b), np.maximum(a, b), np.maximum(a, b) <= SKETCH
+    near = np.where(small, c >= settled * (a + b - c) - 1e-6, c >= settled * SKETCH) & (low >= t * high - 1e-9)
+    need = settled * SKETCH - 5 * (t * (1 - t) * SKETCH) ** 0.5 + t * SKETCH - SKETCH
+    linked = (c >= need) | (small & (c >= (settled + t - 1) * (a + b - c) - 1e-6))
+    return linked & (low >= t * t * high - 1e-9), near
+
+
 def _roots(similar: np.ndarray) -> np.ndarray:
     """The first member of each one's group, by a walk over the links of a symmetric matrix."""
     root = np.arange(len(similar))
@@ -202,7 +217,7 @@ def links_to_pivots(members: DataFrame, reps: DataFrame, t: float, settled: floa
     """bucket, sig, pivot, linked and settled: each member of a large bucket against one of them, its pivot, by sketches.
 
     In a bucket of near copies this links all of them in linear work. ``settled``
-    are those so near the pivot that whatever is alike to them is linked to it too.
+    are those so near the pivot that whatever is alike to them is linked to it too, by bounds that are looser than likeness.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +227,8 @@ def links_to_pivots(members: DataFrame, reps: DataFrame, t: float, settled: floa
             a, b = col(x).to_numpy().astype(float), col(y).to_numpy().astype(float)
             pairs = zip(*(col(batch.schema.get_field_index(n)).to_pylist() for n in ("sketch", "p_sketch")), strict=True)
             c = np.array([len(np.intersect1d(np.frombuffer(u, "<u4"), np.frombuffer(v, "<u4"), assume_unique=True)) for u, v in pairs], float)
-            linked = _may_be_similar(c, a, b, t) & (np.minimum(a, b) >= t * np.maximum(a, b) - 1e-9)
-            near = np.where(np.maximum(a, b) <= SKETCH, c >= settled * (a + b - c) - 1e-6, c >= settled * SKETCH)
-            yield pa.RecordBatch.from_arrays([*(col(i) for i in range(3)), pa.array(linked), pa.array(near & linked)], ["bucket", "sig", "pivot", "linked", "settled"])
+            linked, near = _at_pivot(c, a, b, t, settled)
+            yield pa.RecordBatch.from_arrays([*(col(i) for i in range(3)), pa.array(linked), pa.array(near)], ["bucket", "sig", "pivot", "linked", "settled"])
 
     light = only(reps.select("sig", "size", "sketch"), members, "sig")
     pivots = members.select(F.col("pivot").alias("sig")).distinct().join(light, "sig").select(F.col("sig").alias("pivot"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch"))

@@ -250,6 +250,27 @@ def test_jaccard_join_splits_large_buckets(spark, stored, tmp_path, monkeypatch)
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == Counter(brute_classes(rows))
 
 
+def test_partners_of_settled_sets_meet_the_pivot(spark):
+    # a hot group of copies with growing versions: each is alike to the next, but not to those further on
+    rng = np.random.default_rng(6)
+    lost = 0
+    rows, values = [], {}
+    for bucket in range(60):
+        pool = np.unique(rng.integers(0, 2**63, 140 if bucket % 2 else 39).astype(np.uint64))
+        rng.shuffle(pool)
+        for k, size in enumerate((100, 120, 140) if bucket % 2 else (25, 31, 38)):
+            sig = bucket * 10 + k
+            values[sig] = (size, np.sort(pool[:size]))
+            rows.append((bucket, sig, bucket * 10))
+    members = spark.createDataFrame(rows, "bucket bigint, sig bigint, pivot bigint")
+    reps = spark.createDataFrame([(s, n, bytearray(similar.sketch(v))) for s, (n, v) in values.items()], "sig bigint, size int, sketch binary")
+    got = {r.sig: r for r in similar.links_to_pivots(members, reps, 0.8, jaccard_join.SETTLED).collect()}
+    assert any(got[b * 10 + 1].settled for b in range(60))
+    for b in range(60):
+        lost += got[b * 10 + 1].settled and not got[b * 10 + 2].linked
+    assert not lost
+
+
 def test_runs_grow_with_recall():
     assert jaccard_join.runs_for(0.9, 0.8, 1) < jaccard_join.runs_for(0.999, 0.8, 1) < jaccard_join.runs_for(0.999, 0.8, 4)
 
