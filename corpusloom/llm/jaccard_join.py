@@ -26,10 +26,11 @@ SETTLED = 0.75
 def runs_for(target: float, t: float, depth: int) -> int:
     """Runs after which a pair at the threshold has met with the target's odds, even if its buckets are split ``depth`` times.
 
-    A set picks each token with probability 1 / (t * size), so a pair of similarity t
-    shares 2t / (1 + t) / t picks on average; they survive as a branching process.
+    A set picks each token with probability 1 / (t * size), and what the larger set picks
+    the smaller one picks too. So a pair of similarity t shares (tokens in common) / (t * larger size) picks
+    on average: 1 at least, where one set holds the other. They survive as a branching process.
     """
-    mean, p = 2 / (1 + t), 1.0
+    mean, p = 1.0, 1.0
     for _ in range(depth):
         p = 1 - math.exp(-mean * p)
     return math.ceil(math.log(1 - target) / math.log(1 - p))

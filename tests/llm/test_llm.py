@@ -275,6 +275,17 @@ def test_runs_grow_with_recall():
     assert jaccard_join.runs_for(0.9, 0.8, 1) < jaccard_join.runs_for(0.999, 0.8, 1) < jaccard_join.runs_for(0.999, 0.8, 4)
 
 
+def test_contained_sets_meet():
+    rng = np.random.default_rng(8)
+    runs, depth, t, n = jaccard_join.runs_for(jaccard_join.TARGET_RECALL, 0.8, 3), 3, 0.8, 4000
+    missed = 0
+    for _ in range(n):
+        large = rng.integers(0, 2**63, 100).astype(np.uint64)
+        a, b = (set(jaccard_join.chosen_paths(np.sort(x), runs, depth, t)[-1][1].tolist()) for x in (large, large[:80]))
+        missed += not a & b
+    assert missed / n <= 0.0065
+
+
 def test_common_is_exact(monkeypatch):
     monkeypatch.setattr(similar, "COLUMNS", 5)
     rnd = np.random.default_rng(2)
