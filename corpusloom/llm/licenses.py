@@ -68,7 +68,7 @@ def scan_lines(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
     """rid, line, license, score and n_words of each line whose cosine to a template is t or more. ``files`` has rid and text.
 
     A word weighs its count times ln((1 + files) / (1 + files with it)) + 1; the
-    templates' words are counted over all files, others weigh as if in no file.
+    files with a word are counted over all files, for the templates' words and for all others of the lines in question.
     Of several templates the nearest counts, then the first by license.
     """
     spark = files.sparkSession
@@ -79,7 +79,6 @@ def scan_lines(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
     counted = held.select(F.explode(F.concat(F.array(F.lit("")), "w")).alias("w")).groupBy("w").count().collect()
     df = {r["w"]: r["count"] for r in counted}
     n = df.pop("", 0)
-    ceiling = math.log(1 + n) + 1
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     some = "|".join(needles(made, idf, t))
     pattern = rf"(?i)(^|[^a-z0-9])({some})([^a-z0-9]|$)"
@@ -87,9 +86,14 @@ def scan_lines(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
         files.where(F.col("text").rlike(pattern)).select("rid", F.posexplode(F.split("text", "\n")).alias("line", "body"))
         .where(F.col("body").rlike(pattern)).select("rid", "line", words(F.col("body")).alias("words"))
     )
-    counts = lines.select("rid", "line", F.size("words").alias("n_words"), F.explode("words").alias("w")).groupBy("rid", "line", "n_words", "w").agg(F.count("*").alias("tf"))
-    weight = F.coalesce(F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])[F.col("w")], F.lit(ceiling))
-    counts = counts.withColumn("x", F.col("tf") * weight)
+    counts = cut_lineage(lines.select("rid", "line", F.size("words").alias("n_words"), F.explode("words").alias("w")).groupBy("rid", "line", "n_words", "w").agg(F.count("*").alias("tf")))
+    # the other words of these lines, counted over all files
+    others = cut_lineage(counts.where(~F.col("w").isin(vocabulary)).select("w").distinct())
+    others = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    seen = files.select(F.explode(F.array_distinct(words("text"))).alias("w")).join(others, "w", "left_semi").groupBy("w").agg(F.count("*").alias("files"))
+    known = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])[F.col("w")]
+    weight = F.coalesce(known, F.log(F.lit(1.0 + n) / (1 + F.coalesce("files", F.lit(0)))) + 1)
+    counts = cut_lineage(counts.join(seen, "w", "left").withColumn("x", F.col("tf") * weight).drop("files"))
     values = ", ".join(
         f"('{name}', '{lid}', '{w}', {k * idf[w]!r}D / {math.sqrt(sum((c * idf[v]) ** 2 for v, c in ws.items()))!r}D)" for name, lid, ws in made for w, k in ws.items()
     )

@@ -454,6 +454,18 @@ def test_licenses(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_everyday_words_weigh_little(spark):
+    said, mit = "All of it was released under the MIT License.", licenses.TEMPLATES[0][1]
+    texts = [said] + ["all of it was said by the river"] * 300 + ["released under the rain"] * 5 + ["nothing at home"] * 20
+    files = spark.createDataFrame(list(enumerate(texts)), "rid bigint, text string")
+    bags = [Counter(re.findall("[a-z0-9]+", x.lower())) for x in texts]
+    idf = lambda w: np.log((1 + len(bags)) / (1 + sum(w in b for b in bags))) + 1
+    a, b = ({w: k * idf(w) for w, k in Counter(re.findall("[a-z0-9]+", x.lower())).items()} for x in (said, mit))
+    want = sum(a[w] * b[w] for w in a.keys() & b) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    got = {r.rid: (r.license, r.score) for r in licenses.scan_lines(files).collect()}
+    assert want > 0.8 and got == {0: ("MIT", pytest.approx(want, abs=1e-6))}
+
+
 def test_needles_lose_no_line():
     made = licenses.template_table(None)
     idf = {w: 1 + (len(w) % 3) for _, _, ws in made for w in ws}
