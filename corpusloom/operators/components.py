@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) an own one."""
+    """The session's ``spark.checkpoint.dir``; only on one machine (master ``local``), where that is unset, an own one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -26,6 +30,17 @@ def sized(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     return df.coalesce(max(4, -(-rows // each)))
 
 
+#: Bytes up to which a table is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def few(df: DataFrame, more: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast only behind a count of its bytes: 16 for each row, 8 for each column and what ``more`` says of the rest."""
+    size = F.lit(16 + 8 * len(df.columns)) if more is None else F.lit(16 + 8 * len(df.columns)) + F.coalesce(more, F.lit(0))
+    held = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if held <= limit else df
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 

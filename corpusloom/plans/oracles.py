@@ -239,7 +239,7 @@ ORACLES: dict[str, str] = {
     "unique_names": "SELECT trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-') AS name, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1",
     "cascade_delete": "SELECT l_suppkey, count(*) AS lines FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1",
     "feed_counts": f"""WITH {PAPERS} SELECT feed AS source, count(*) AS papers, NULL::VARCHAR AS warning FROM papers GROUP BY 1 UNION ALL SELECT 'other_feed', NULL, 'other_feed was unavailable; results may be partial.'""",
-    "ingest_openalex": """SELECT 'openalex:W' || doc_id AS id, 'Work ' || doc_id AS title, split_part(text, chr(10), 1) AS abstract, 2020 AS publication_year, lang AS venue, '10.1/a' || doc_id AS doi, 'https://doi.org/10.1/a' || doc_id AS url,
+    "ingest_openalex": """SELECT 'openalex:W' || doc_id AS id, 'Work ' || doc_id AS title, text AS abstract, 2020 AS publication_year, lang AS venue, '10.1/a' || doc_id AS doi, 'https://doi.org/10.1/a' || doc_id AS url,
       CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS citation_count, '{"pmid":"' || doc_id || '","openalex":"W' || doc_id || '","doi":"10.1/a' || doc_id || '"}' AS external_ids FROM documents""",
     "derive_queries": rf"""WITH {CONTRADICTIONS}, {EVALUATED.replace("c AS (", "ec AS (", 1).replace(" FROM c)", " FROM ec)").replace("FROM c GROUP", "FROM ec GROUP")},
       cand AS (SELECT sha256(concat_ws(chr(31), 'contradiction', topic, paper_a, paper_b, concept)) AS id, 'c' AS kind,

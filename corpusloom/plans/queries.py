@@ -50,12 +50,10 @@ def evidence_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of items that are cited as source names against the sources of found papers."""
-    found = lexical_topk(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_set("paper_id")).alias("allowed"))
-    cited = lexical_topk(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "paper_id"))), lambda x: x["paper_id"]).alias("ids"))
-    both = cited.join(found, "query_id")
-    made_up = F.concat(F.array(F.lit("d-none")), F.reverse("ids"), F.col("ids"))
-    return both.select("query_id", F.array_join(search.whitelist_citations(made_up, F.col("allowed")), ",").alias("ids"))
+    """Each query's found papers in reverse, as if an answer had cited them, after one that doesn't exist and before themselves again."""
+    found = lexical_topk(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "paper_id"))), lambda x: x["paper_id"]).alias("ids"))
+    cited = F.concat(F.array(F.lit("d-none")), F.reverse("ids"), F.col("ids"))
+    return found.select("query_id", F.array_join(search.whitelist_citations(cited, F.array_sort("ids")), ",").alias("ids"))
 
 
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,12 +318,15 @@ def feed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_openalex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as landed works: an index of their first line's words is turned back into text."""
-    words = F.split(V.first_line(), " ")
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.filter(F.transform(words, lambda v, i: F.when(v == w, i)), lambda i: i.isNotNull()).alias("value"))))
+    """Documents as landed works: an index of the words of their whole text is turned back into text."""
+    docs = V.table(spark, sf_dir, "documents")
+    # a payload's index is an object; words are keyed in SQL, one row for each, so that long texts stay linear
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w")).groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("i")).alias("at"))
+    index = words.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "at")))).alias("abstract_inverted_index"))
+    docs = docs.join(index, "doc_id", "left")
     number = F.col("doc_id").cast("string")
-    works = V.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("https://openalex.org/W"), number).alias("id"), F.concat(F.lit(" Work "), number).alias("title"), F.to_json(index).alias("abstract_inverted_index"),
+    works = docs.select(
+        F.concat(F.lit("https://openalex.org/W"), number).alias("id"), F.concat(F.lit(" Work "), number).alias("title"), "abstract_inverted_index",
         F.array(F.struct(F.struct(F.col("source").alias("display_name")).alias("author"))).alias("authorships"), F.lit("2020").alias("publication_year"),
         F.struct(F.struct(F.col("lang").alias("display_name")).alias("source"), F.lit(None).cast("string").alias("landing_page_url")).alias("primary_location"),
         F.struct(F.lit(None).cast("string").alias("oa_url")).alias("open_access"), F.concat(F.lit("https://doi.org/10.1/A"), number).alias("doi"), F.create_map(F.lit("pmid"), number, F.lit("odd"), number).alias("ids"),

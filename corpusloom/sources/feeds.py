@@ -30,9 +30,11 @@ def inverted_abstract(raw: Column) -> Column:
             lambda e: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<string>")), lambda p: p.rlike(r"^\d{1,9}$")), lambda p: F.struct(p.cast("int").alias("at"), e["key"].alias("token"))),
         )
     )
-    # later entries first, so that the first of each position is the last token
-    last = F.aggregate(F.reverse(pairs), F.create_map().cast("map<int,string>"), lambda m, p: F.when(F.map_contains_key(m, p["at"]), m).otherwise(F.map_concat(m, F.create_map(p["at"], p["token"]))))
-    return F.when(F.size(pairs) > 0, F.array_join(F.transform(F.array_sort(F.map_entries(last)), lambda e: e["value"]), " "))
+    # in order of position, then of entry: the last of each position stays
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["at"].alias("at"), i.alias("i"), p["token"].alias("token"))))
+    after = F.slice(placed, F.lit(2), F.greatest(F.size(placed), F.lit(1)))
+    tokens = F.zip_with(placed, after, lambda p, q: F.when(q.isNull() | (q["at"] != p["at"]), p["token"]))
+    return F.when(F.size(pairs) > 0, F.array_join(tokens, " "))
 
 
 def _names(people: Column, name) -> Column:
