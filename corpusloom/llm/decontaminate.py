@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import cut_lineage
+from .rows import without
 from .words import HASHES, grams, split_words, texts
 
 WINDOW = 10
@@ -180,5 +181,4 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` without a hit word, with their columns. ``docs`` has to be a stored table."""
-    found = contamination(docs, benchmark, **names).where(F.col("n_hit") > 0).select(F.col("rid").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(found, "__row", "left_anti").drop("__row")
+    return without(docs, contamination(docs, benchmark, **names).where(F.col("n_hit") > 0))

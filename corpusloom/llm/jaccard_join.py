@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components, cut_lineage, sized
+from .rows import without
 from .similar import few, links_to_pivots, links_within, only, signature, sketch
 from .words import HASHES, grams, mix, split_words, texts
 
@@ -186,6 +187,4 @@ def near_classes(
 
 def drop_near_duplicates(docs: DataFrame, **names) -> DataFrame:
     """The first row of each class, with its columns."""
-    found = near_classes(docs, **names)
-    gone = found.where(F.col("rid") != F.col("class_rid")).select(F.col("rid").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return without(docs, near_classes(docs, **names).where(F.col("rid") != F.col("class_rid")))

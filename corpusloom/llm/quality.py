@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import cut_lineage
 from .jaccard_join import shingles
+from .rows import without
 from .words import split_words, texts
 
 #: Labelled rows that the document classifier is fitted on, at most; drawn by a hash of the id.
@@ -270,5 +271,4 @@ def classify(
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns. ``docs`` has to be a stored table."""
-    gone = classify(docs, labels, **names).where(~F.col("kept")).select(F.col("rid").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return without(docs, classify(docs, labels, **names).where(~F.col("kept")))

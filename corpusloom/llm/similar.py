@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.components import sized
+from ..operators.components import few, sized
 
 from .words import mix
 
@@ -21,18 +21,11 @@ from .words import mix
 SKETCH = 32
 #: Sets compared in one task at once; a larger bucket is dealt out by pairs of blocks.
 BLOCK = 256
-#: Rows up to which a table of keys is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
 #: Shingles that the sets of a block hold together.
 BLOCK_TOKENS = 1 << 20
 COLUMNS = 1 << 14
 
 
-def few(df: DataFrame) -> DataFrame:
-    """Broadcast only behind a count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows of the keys, before anything wide is shuffled."""
     return df.join(few(keys.select(on).distinct()), on, "left_semi")
