@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components, cut_lineage
 from .jaccard_join import SHINGLE, SIMILARITY, shingles
-from .similar import groups, links_within, signatures
+from .similar import few, groups, links_within, only, signatures
 from .words import HASHES, MULTIPLIER, TO_WORDS, grams, mix, split_words
 
 #: Least hashes that a band takes together. Two are enough where unlike paragraphs share next to no shingles.
@@ -19,7 +19,6 @@ BAND_ROWS = 2
 TARGET_RECALL = 0.999
 #: Words of a repeated span, at least.
 SPAN_WORDS = 40
-BROADCAST_ROWS = 1_000_000
 
 
 def bands_for(target: float, t: float, rows: int) -> int:
@@ -62,9 +61,9 @@ def paragraphs_of(text: str, n: int) -> Iterator[tuple[int, int, list[bytes]]]:
         yield start, end, held
 
 
-def _line_sets(words: list[bytes], counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _line_sets(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines with n words at least, the shingle sets of all of them one after the other, and each one's start."""
-    g = grams(HASHES.of(words), n)
+    g = grams(hashes, n)
     line = np.repeat(np.arange(len(counts)), counts)
     inside = line[: len(g)] == line[n - 1 :][: len(g)]
     g, line = g[inside], line[: len(g)][inside]
@@ -77,48 +76,130 @@ def _line_sets(words: list[bytes], counts: np.ndarray, n: int) -> tuple[np.ndarr
     return line[starts], g, starts
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """A row for each paragraph with n words at least, with its place, the signature of its shingles and its bands."""
+def _doubled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k consecutive words, from halves where k is even."""
+    if k % 2 or k < 8:
+        return grams(hashes, k)
+    half = _doubled(hashes, k // 2)
+    return mix(half[: -(k // 2)] * MULTIPLIER + half[k // 2 :]) if len(half) > k // 2 else np.empty(0, np.uint64)
+
+
+def _sliding(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
+    """The best of every w consecutive values, by doubling."""
+    have = 1
+    while have < w:
+        step = min(have, w - have)
+        x = best(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def anchors(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and hash of some n // 2-word grams; what n words of two texts share, they share one of them (winnowing).
+
+    The texts' words stand one after the other. In a stretch where the same gram comes back again and
+    again only some of its places are kept, n // 4 words apart at most where they are that near.
+    """
+    k = n // 2
+    w = n - k + 1
+    text = np.repeat(np.arange(len(counts)), counts)
+    if len(hashes) < n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    g = _doubled(hashes, k)
+    least = _sliding(g, w, np.minimum)
+    least[text[: len(least)] != text[n - 1 :]] = 0
+    edge = np.zeros(w - 1, np.uint64)
+    at = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), w, np.maximum) == g) & (g > 0))
+    h, of = g[at], text[at]
+    go_on = np.zeros(len(at), bool)
+    go_on[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1]) & (np.diff(at) < w)
+    first = np.maximum.accumulate(np.where(go_on, 0, np.arange(len(at)))) if len(at) else np.empty(0, np.int64)
+    block = (at - at[first]) // max(1, w // 2)
+    kept = ~go_on
+    kept[1:] |= block[1:] != block[:-1]
+    kept[:-1] |= ~go_on[1:]
+    starts = np.cumsum(counts) - counts
+    return of[kept], at[kept] - starts[of[kept]], h[kept]
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points from and to of each word of ``split_words``."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.r_[False, np.frombuffer(raw.tobytes().translate(TO_WORDS), np.uint8) != 32, False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    point = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+    return point[edges[::2]], point[edges[1::2]]
+
+
+#: What is known of each paragraph, as arrays of a document's row: plain arrays take a third of the room of structs.
+LINE = {"para": "int", "from": "int", "to": "int", "w_from": "int", "n_words": "int", "sig": "bigint", "size": "int"}
+_ARROW = {"int": np.int32, "bigint": np.int64}
+
+
+def _lists(rows: np.ndarray, n: int, values: np.ndarray, each: int = 1) -> pa.ListArray:
+    """Values as a list for each of n rows, ``each`` of them for every entry of ``rows``, which says to which row it belongs, in order."""
+    return pa.ListArray.from_arrays(pa.array((np.searchsorted(rows, np.arange(n + 1)) * each).astype(np.int32)), pa.array(values))
+
+
+def _lines(described: DataFrame, bands: int) -> DataFrame:
+    """rid, doc_id and a row for each paragraph."""
+    own = F.transform("sig", lambda _, i: F.slice("bands", i * bands + 1, F.lit(bands))).alias("bands")
+    return described.select("rid", "doc_id", F.arrays_zip(*LINE, own).alias("lines")).select("rid", "doc_id", F.inline("lines"))
+
 
-    def made(lines: list[tuple], words: list[bytes], counts: list[int]) -> pa.RecordBatch | None:
-        kept, values, starts = _line_sets(words, np.array(counts, np.int64), n)
-        if not len(kept):
-            return None
+def _described(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, span_words: int) -> DataFrame:
+    """rid, doc_id, the arrays of LINE and ``bands``, and ``at`` and ``h`` of the anchors, of each row.
+
+    A paragraph with n words at least has its place, the signature of its shingles and its bands.
+    """
+
+    def made(held: list[tuple], paras: list[tuple], words: list[bytes], counts: list[int]) -> pa.RecordBatch:
+        hashes, per_para = HASHES.of(words), np.array(counts, np.int64)
+        doc = np.array([p[0] for p in paras], np.int64)
+        kept, values, starts = _line_sets(hashes, per_para, n)
         sizes = np.diff(starts, append=len(values))
-        rid, doc, para, start, end, w_from = (list(c) for c in zip(*(lines[i] for i in kept), strict=True))
-        keys = np.ascontiguousarray(band_keys(values, starts, bands, rows)).view(np.int64)
-        held = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
+        if len(kept):
+            keys, sigs = np.ascontiguousarray(band_keys(values, starts, bands, rows)).view(np.int64).reshape(-1), signatures(values, starts).view(np.int64)
+        else:
+            keys, sigs = np.empty(0, np.int64), np.empty(0, np.int64)
+        para, start, end, w_from = (np.array([p[i] for p in paras], np.int64)[kept] for i in range(1, 5))
+        columns = dict(zip(LINE, (para, start, end, w_from, per_para[kept], sigs, sizes), strict=True))
+        per_doc = np.bincount(doc, per_para, len(held)).astype(np.int64) if len(doc) else np.zeros(len(held), np.int64)
+        of, at, h = anchors(hashes, per_doc, span_words)
+        rid, ids = zip(*held, strict=True)
+        lines = [_lists(doc[kept], len(held), columns[c].astype(_ARROW[kind])) for c, kind in LINE.items()]
+        found = [_lists(of, len(held), at.astype(np.int32)), _lists(of, len(held), h.view(np.int64))]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(para, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
-                pa.array(w_from, pa.int32()), pa.array(np.array(counts)[kept].astype(np.int32)), pa.array(signatures(values, starts).view(np.int64)), pa.array(sizes.astype(np.int32)), held,
-            ],
-            ["rid", "doc_id", "para", "from", "to", "w_from", "n_words", "sig", "size", "bands"],
-        )
+            [pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), *lines, _lists(doc[kept], len(held), keys, bands), *found], ["rid", "doc_id", *LINE, "bands", "at", "h"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, words, counts = [], [], []
+        held, paras, words, counts = [], [], [], []
         for batch in batches:
             for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 n_before = 0
                 for para, (start, end, own) in enumerate(paragraphs_of(text.as_py() or "", n)):
-                    lines.append((rid, doc, para, start, end, n_before))
+                    paras.append((len(held), para, start, end, n_before))
                     n_before += len(own)
                     words += own
                     counts.append(len(own))
-                if len(words) > 100_000:
-                    if (out := made(lines, words, counts)) is not None:
-                        yield out
-                    lines, words, counts = [], [], []
-        if (out := made(lines, words, counts)) is not None:
-            yield out
+                held.append((rid, doc))
+                if len(words) > 100_000 or len(held) >= 10_000:
+                    yield made(held, paras, words, counts)
+                    held, paras, words, counts = [], [], [], []
+        if held:
+            yield made(held, paras, words, counts)
 
     return docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "rid long, doc_id long, para int, from long, to long, w_from int, n_words int, sig long, size int, bands array<bigint>"
+        run, f"rid long, doc_id long, {', '.join(f'`{c}` array<{kind}>' for c, kind in LINE.items())}, bands array<bigint>, at array<int>, h array<bigint>"
     )
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, n: int) -> DataFrame:
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(sig, shingles) of the wanted (rid, sig, para); the lines are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,100 +213,114 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, n: int) -> DataFram
                     packed.append(shingles(text[slice(*places[w["para"]])].encode("utf-8", "surrogatepass"), n).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(packed, pa.binary())], ["sig", "shingles"])
 
-    by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("sig", "para")).alias("want"))
-    by_doc = F.broadcast(by_doc) if wanted.count() <= BROADCAST_ROWS else by_doc
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
-    return numbered.join(by_doc, "rid").select("text", "want").mapInArrow(run, "sig long, shingles binary")
-
+    by_doc = cut_lineage(wanted.groupBy("rid").agg(F.collect_list(F.struct("sig", "para")).alias("want")))
+    return _numbered(docs, id_col, text_col).join(few(by_doc, 24 * F.size("want")), "rid").select("text", "want").mapInArrow(run, "sig long, shingles binary")
 
-def _doubled(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every k consecutive words, from halves where k is even."""
-    if k % 2 or k < 8:
-        return grams(hashes, k)
-    half = _doubled(hashes, k // 2)
-    return mix(half[: -(k // 2)] * MULTIPLIER + half[k // 2 :]) if len(half) > k // 2 else np.empty(0, np.uint64)
 
+def _contexts(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, k: int, reach: int) -> DataFrame:
+    """For each asked place a check of the anchor's words, the hashes of ``reach`` words beyond it, their outer points and the point at its inner side.
 
-def anchors(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of some n // 2-word grams; what n words share, they share one of them (winnowing)."""
-    k = n // 2
-    g = _doubled(hashes, k)
-    w = n - k + 1
-    if len(g) < w:
-        return np.empty(0, np.int64), g[:0]
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, w).argmin(1) + np.arange(len(g) - w + 1))
-    return at, g[at]
+    ``asked`` has rid, at, side (0: the anchor's start and what stands before, 1: its end and what follows) and mine.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(a, 500) for a in range(0, whole.num_rows, 500)):
+                rows = []
+                for rid, doc, text, want in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    h = HASHES.of(split_words(text.encode("utf-8", "surrogatepass")))
+                    first, last = (x.astype("<u4") for x in word_places(text))
+                    low = (h >> np.uint64(32)).astype("<u4")
+                    for code in want:
+                        a, b, side = code >> 2, (code >> 2) + k, code >> 1 & 1
+                        check = int(grams(h[a:b] ^ np.uint64(0x94D049BB133111EB), k).view(np.int64)[0])
+                        if side:
+                            beyond, points, edge = low[b : b + reach], last[b - 1 : b + reach], first[a]
+                        else:
+                            beyond, points, edge = low[max(0, a - reach) : a][::-1], first[max(0, a - reach) : a + 1][::-1], last[b - 1]
+                        rows.append((rid, doc, a, side, bool(code & 1), check, beyond.tobytes(), points.tobytes(), int(edge)))
+                cols = list(zip(*rows, strict=True)) or [()] * 9
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+                names = ["rid", "doc_id", "at", "side", "mine", "check", "beyond", "points", "edge"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    code = F.col("at").cast("long") * 4 + F.col("side") * 2 + F.col("mine").cast("int")
+    by_doc = cut_lineage(asked.select("rid", code.alias("code")).groupBy("rid").agg(F.collect_set("code").alias("want")))
+    rows = _numbered(docs, id_col, text_col).join(few(by_doc, 8 * F.size("want")), "rid").select("rid", "doc_id", "text", "want")
+    return rows.mapInArrow(run, "rid long, doc_id long, at int, side int, mine boolean, check long, beyond binary, points binary, edge long")
+
+
+def _extended(met: DataFrame) -> DataFrame:
+    """``met`` with ok, whether the anchors' words agree, n_more, how many words beyond them do, and the points where these end on either side."""
 
-def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points from and to of each word of ``split_words``."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    inside = np.r_[False, np.frombuffer(raw.tobytes().translate(TO_WORDS), np.uint8) != 32, False]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    point = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-    return point[edges[::2]], point[edges[1::2]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
+            more, mine, others = [], [], []
+            for a, b, p, q in zip(col("beyond"), col("m_beyond"), col("points"), col("m_points"), strict=True):
+                j = 0
+                if b is not None:
+                    n = min(len(a), len(b)) // 4
+                    x = np.frombuffer(a, "<u4", n) != np.frombuffer(b, "<u4", n)
+                    j = int(x.argmax()) if x.any() else n
+                more.append(j)
+                mine.append(int.from_bytes(p[4 * j : 4 * j + 4], "little"))
+                others.append(int.from_bytes(q[4 * j : 4 * j + 4], "little") if b is not None else None)
+            kept = ["rid", "doc_id", "at", "side", "run", "removed", "edge", "m_rid", "m_at", "m_doc_id", "m_edge", "ok"]
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.int64()) for x in (more, mine, others))], [*kept, "n_more", "point", "m_point"])
+
+    return met.mapInArrow(
+        run, "rid long, doc_id long, at int, side int, run int, removed boolean, edge long, m_rid long, m_at int, m_doc_id long, m_edge long, ok boolean, n_more long, point long, m_point long"
+    )
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """h, doc_id, rid, w_from, from and to of the windows of n words that may stand elsewhere too, by their anchors."""
-    row = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def verbatim_passages(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """rid, doc_id, w_from, w_to, from, to, removed, keep_ids: what stands verbatim elsewhere too, at no matter which place of a line.
 
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids, places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at, g = anchors(HASHES.of(split_words((text.as_py() or "").encode("utf-8", "surrogatepass"))), n)
-                rids.append(np.full(len(at), rid))
-                places.append(at)
-                hashes.append(g)
-            arrays = [pa.array(np.concatenate(rids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "at", "h"])
-
-    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(a, 200) for a in range(0, whole.num_rows, 200)):
-                cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
-                for rid, doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    g = _doubled(HASHES.of(split_words(text.encode("utf-8", "surrogatepass"))), n)
-                    # windows that hold an anchor: from n - n // 2 words before it
-                    mark = np.zeros(len(g) + 1, np.int64)
-                    at = np.array(at)
-                    np.add.at(mark, np.maximum(at - (n - n // 2), 0), 1)
-                    np.add.at(mark, np.minimum(at + 1, len(g)), -1)
-                    pos = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-                    first, last = word_places(text)
-                    none = np.full(len(pos), np.iinfo(np.int64).max if doc is None else doc)
-                    for c, x in zip(cols, (g[pos].view(np.int64), none, np.full(len(pos), rid), pos, first[pos], last[pos + n - 1]), strict=True):
-                        c.append(x)
-                h, doc, rid, pos, a, b = (np.concatenate(c) for c in cols)
-                held = np.iinfo(np.int64).max
-                arrays = [pa.array(h), pa.array(doc, mask=doc == held), pa.array(rid), *(pa.array(x.astype(np.int32)) for x in (pos, a, b))]
-                yield pa.RecordBatch.from_arrays(arrays, ["h", "doc_id", "rid", "w_from", "from", "to"])
-
-    found = row.select("rid", "text").mapInArrow(anchored, "rid long, at int, h long")
-    found = found.withColumn("n", F.count("*").over(W.partitionBy("h"))).where("n > 1")
-    by_doc = cut_lineage(found.groupBy("rid").agg(F.collect_list("at").alias("at")))
-    by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc
-    return row.join(by_doc, "rid").select("rid", "doc_id", "text", "at").mapInArrow(windowed, "h long, doc_id long, rid long, w_from int, from int, to int")
-
-
-def verbatim_passages(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """rid, doc_id, w_from, w_to, from, to, removed, keep_ids: runs of windows of n words that also stand elsewhere, at no matter which place of a line.
-
-    Of equal windows the one with the smallest (doc_id, place) stays. A window that overlaps it in the same text stays too.
+    ``rows`` has rid, doc_id and the anchors of ``docs``. Of equal anchors the one with the smallest (doc_id, place) stays; one that begins
+    less than n words after it in the same text stays too. Anchors that touch are a run; at its ends the words beyond
+    are compared with those of the place that stays, so nothing of n words and more that is shared is lost or cut short.
     """
-    w = W.partitionBy("h").orderBy(F.col("doc_id").isNull(), "doc_id", "rid", "w_from").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    place = F.struct("doc_id", "rid", "w_from")
-    windows = _windows(docs, id_col, text_col, n).withColumn("head", F.first(place).over(w)).withColumn("last", F.last(place).over(w))
-    apart = lambda c: (F.col(f"{c}.rid") != F.col("head.rid")) | (F.col(f"{c}.w_from") >= F.col("head.w_from") + n)
-    found = windows.where(apart("last")).select(
-        "rid", "doc_id", "w_from", "from", "to", F.col("head.doc_id").alias("head"), ((F.col("rid") != F.col("head.rid")) | (F.col("w_from") >= F.col("head.w_from") + n)).alias("removed")
+    k = n // 2
+    found = rows.select("rid", "doc_id", F.arrays_zip("at", "h").alias("a")).select("rid", "doc_id", F.inline("a"))
+    twice = cut_lineage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    found = found.join(few(twice), "h", "left_semi")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "at")
+    apart = lambda rid, at: (rid != F.col("head.rid")) | (at >= F.col("head.at") + n)
+    heads = found.groupBy("h").agg(F.min(place).alias("head"), F.max(place).alias("last")).where(apart(F.col("last.rid"), F.col("last.at")))
+    held = found.join(heads.select("h", F.struct("head.doc_id", "head.rid", "head.at").alias("head")), "h").select("rid", "doc_id", "at", "head", apart(F.col("rid"), F.col("at")).alias("removed"))
+    order = W.partitionBy("rid", "removed").orderBy("at")
+    new = F.coalesce(F.col("at") > F.lag("at").over(order) + k + 1, F.lit(True)).cast("int")
+    held = held.withColumn("new", new).withColumn("run", F.sum("new").over(order).cast("int"))
+    end = F.struct("at", F.when(F.col("removed"), F.col("head.rid")).alias("m_rid"), F.when(F.col("removed"), F.col("head.at")).alias("m_at"))
+    runs = cut_lineage(held.groupBy("rid", "removed", "run").agg(F.min(end).alias("first"), F.max(end).alias("final"), F.collect_set("head.doc_id").alias("keep_ids")))
+    side = lambda c, s: F.struct(F.lit(s).alias("side"), f"{c}.at", f"{c}.m_rid", f"{c}.m_at")
+    ends = runs.select("rid", "removed", "run", F.inline(F.array(side("first", 0), side("final", 1))))
+    mates = ends.where("m_rid IS NOT NULL").select(F.col("m_rid").alias("rid"), F.col("m_at").alias("at"), "side").distinct()
+    asked = ends.select("rid", "at", "side", F.lit(True).alias("mine")).unionByName(mates.withColumn("mine", F.lit(False)))
+    contexts = cut_lineage(_contexts(docs, asked, id_col, text_col, k, n - k))
+    others = contexts.where("NOT mine").select(
+        F.col("rid").alias("m_rid"), F.col("at").alias("m_at"), "side", *(F.col(c).alias(f"m_{c}") for c in ("doc_id", "check", "beyond", "points", "edge"))
     )
-    run = W.partitionBy("rid", "removed").orderBy("w_from")
-    found = found.withColumn("run", F.col("w_from") - F.row_number().over(run))
-    return found.groupBy("rid", "doc_id", "removed", "run").agg(
-        F.min("w_from").alias("w_from"), (F.max("w_from") + n).alias("w_to"), F.min("from").cast("long").alias("from"), F.max("to").cast("long").alias("to"), F.collect_set("head").alias("keep_ids")
-    ).drop("run")
+    own = contexts.where("mine").join(ends, ["rid", "at", "side"])
+    met = own.join(others, ["m_rid", "m_at", "side"], "left").withColumn("ok", F.coalesce(F.col("check") == F.col("m_check"), F.lit(True)))
+    done = cut_lineage(_extended(met))
+    left, more = F.col("side") == 0, F.col("n_more").cast("int")
+    mine = done.groupBy("rid", "doc_id", "removed", "run").agg(
+        F.min(F.when(left, F.col("at") - more)).alias("w_from"), F.max(F.when(~left, F.col("at") + k + more)).alias("w_to"),
+        F.min(F.when(left, F.col("point"))).alias("from"), F.max(F.when(~left, F.col("point"))).alias("to"), F.min("ok").alias("ok"),
+    ).where("ok").drop("ok").join(runs.select("rid", "removed", "run", "keep_ids"), ["rid", "removed", "run"]).drop("run")
+    # what the removed ends have in common with the places that stay lies in these too
+    stays = done.where("ok AND m_rid IS NOT NULL").groupBy("m_rid", "m_doc_id", "m_at", "side", "m_edge").agg(F.max(F.struct("n_more", "m_point")).alias("best"))
+    more = F.col("best.n_more").cast("int")
+    stays = stays.select(
+        F.col("m_rid").alias("rid"), F.col("m_doc_id").alias("doc_id"), F.lit(False).alias("removed"),
+        F.when(left, F.col("m_at") - more).otherwise(F.col("m_at")).alias("w_from"), F.when(left, F.col("m_at") + k).otherwise(F.col("m_at") + k + more).alias("w_to"),
+        F.when(left, F.col("best.m_point")).otherwise(F.col("m_edge")).alias("from"), F.when(left, F.col("m_edge")).otherwise(F.col("best.m_point")).alias("to"),
+        F.when(F.col("m_doc_id").isNotNull(), F.array("m_doc_id")).otherwise(F.array().cast("array<bigint>")).alias("keep_ids"),
+    )
+    return mine.unionByName(stays)
 
 
 def merged(parts: list[dict], least: int) -> list[dict]:
@@ -298,19 +393,23 @@ def repeated_spans(
     be a stored table: it is read four times.
     """
     bands = bands_for(target, t, rows)
-    units = cut_lineage(_units(docs, id_col, text_col, n, bands, rows))
+    described = cut_lineage(_described(docs, id_col, text_col, n, bands, rows, span_words))
+    units = _lines(described, bands)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "para")
-    reps = cut_lineage(units.groupBy("sig", "size").agg(F.count("*").alias("copies"), F.min(place).alias("first")))
-    nodes = units.select("sig", F.explode("bands").alias("bucket")).distinct()
-    members = cut_lineage(nodes.join(nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "sig"))
-    wanted = members.select("sig").distinct().join(reps, "sig").select("sig", "first.rid", "first.para")
-    links = cut_lineage(links_within(members, reps, _sets(docs, cut_lineage(wanted), text_col, n), t, exact=True))
+    # one row for each set of shingles; its bands are the same in every copy
+    reps = cut_lineage(units.groupBy("sig", "size").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("bands").alias("bands")))
+    nodes = reps.select("sig", F.explode("bands").alias("bucket"))
+    reps = reps.drop("bands")
+    shared = cut_lineage(nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    members = cut_lineage(nodes.join(few(shared), "bucket", "left_semi"))
+    wanted = only(reps, members, "sig").select("sig", "first.rid", "first.para")
+    links = cut_lineage(links_within(members, reps, _sets(docs, cut_lineage(wanted), id_col, text_col, n), t, exact=True))
     component = connected_components(links.select(F.col("sig").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "sig")
     linked = component.join(reps, "sig")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     near = linked.join(heads, "component").select("sig", "head")
     repeated = reps.join(near, "sig", "left").where((F.col("copies") > 1) | F.col("head").isNotNull()).select("sig", F.coalesce("head", "first").alias("head"))
-    found = units.select("rid", "doc_id", "para", "from", "to", "w_from", "n_words", "sig").join(repeated, "sig").withColumn(
+    found = units.drop("size", "bands").join(few(cut_lineage(repeated), F.lit(48)), "sig").withColumn(
         "removed", (F.col("rid") != F.col("head.rid")) | (F.col("para") != F.col("head.para"))
     )
     # a span goes on while no judged line that isn't repeated stands between: number the judged lines of a document
@@ -320,7 +419,7 @@ def repeated_spans(
     new = (F.col("nth") != F.lag("nth").over(run) + 1) | (F.col("removed") != F.lag("removed").over(run))
     found = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(run))
     lines = found.groupBy("rid", "doc_id", "span", "removed").agg(
-        F.min("w_from").alias("w_from"), F.max(F.col("w_from") + F.col("n_words")).alias("w_to"), F.min("from").alias("from"), F.max("to").alias("to"), F.collect_set("head.doc_id").alias("keep_ids")
+        F.min("w_from").alias("w_from"), F.max(F.col("w_from") + F.col("n_words")).alias("w_to"), F.min("from").cast("long").alias("from"), F.max("to").cast("long").alias("to"), F.collect_set("head.doc_id").alias("keep_ids")
     )
-    parts = lines.drop("span").unionByName(verbatim_passages(docs, id_col, text_col, span_words))
+    parts = lines.drop("span").unionByName(verbatim_passages(described, docs, id_col, text_col, span_words))
     return _merge_spans(parts, span_words)
