@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import math
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import cut_lineage
@@ -20,49 +23,102 @@ FAN_IN = 16
 END_ID = 1
 
 
-class WordIds(dict):
-    """A text's part between white space -> its ids as little-endian 32-bit bytes.
+#: Normalizer and pattern of tokenizers whose ids of a text are those of its parts between white space. Fixed values.
+PARTED_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PARTED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    The tokenizer's pattern never crosses white space, so a text's ids are its
-    parts' ids in order. Parts are encoded once and remembered, ``limit`` at most.
-    Letters with punctuation behind them are two pieces for the pattern and are
-    looked up apart, in lower case as the tokenizer sees them.
+
+class WordIds:
+    """The ids of texts, each part between ASCII white space encoded once.
+
+    Where the tokenizer's normalizer and pattern are the ones above, nothing crosses white space, so
+    a text's ids are its parts' ids in order. Of a part of plain letters with punctuation
+    behind them the pattern makes two pieces, which are looked up apart, in lower case as
+    the tokenizer sees them. What has been encoded is remembered, ``limit`` parts and
+    ``pieces_limit`` pieces at most. Texts of other tokenizers are encoded whole.
     """
 
-    LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-    #: Unlike Python, the pattern doesn't take these as white space.
-    SEPARATORS = re.compile("[\x1c-\x1f]")
+    LETTERS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<behind>[!-/:-@\[-`{-~]*)$"
+    #: Rows taken at once, and the longest part that is remembered.
+    ROWS, LONGEST = 1000, 64
 
-    def __init__(self, path: str, limit: int = 250_000, parts_limit: int = 800_000):
-        super().__init__()
+    def __init__(self, path: str, limit: int = 400_000, pieces_limit: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.parts_limit, self.parts = Tokenizer.from_file(path), limit, parts_limit, {}
+        self.tokenizer, self.limit, self.pieces_limit = Tokenizer.from_file(path), limit, pieces_limit
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        parted = made.get("normalizer") == PARTED_NORMALIZER and (first.get("pattern"), first.get("behavior"), first.get("invert")) == ({"Regex": PARTED_PATTERN}, "Removed", True)
+        self.parted, self.pieces = parted and made.get("post_processor") is None, {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.n, self.starts, self.ids = 0, np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def encode(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return ids.tobytes()
-
-    def part(self, text: str) -> bytes:
-        if (got := self.parts.get(text)) is None:
-            if len(self.parts) >= self.parts_limit:
-                self.parts.clear()
-            got = self.parts[text] = self.encode(text)
-        return got
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 64:
-            return self.encode(chunk)
-        if len(self) >= self.limit:
-            self.clear()
-        m = self.LETTERS.fullmatch(chunk)
-        got = self[chunk] = (self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")) if m else self.encode(chunk)
+    def piece(self, text: str) -> bytes:
+        if (got := self.pieces.get(text)) is None:
+            if len(self.pieces) >= self.pieces_limit:
+                self.pieces.clear()
+            got = self.pieces[text] = self.encode(text)
         return got
 
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return self.encode(text) if self.SEPARATORS.search(text) else b"".join(map(self.__getitem__, text.split()))
+    def _encoded(self, parts: pa.Array) -> list[bytes]:
+        """The ids of each part."""
+        found = pc.extract_regex(parts, self.LETTERS)
+        letters = pc.utf8_lower(pc.struct_field(found, "letters")).to_pylist()
+        out = []
+        for part, head, behind in zip(parts.to_pylist(), letters, pc.struct_field(found, "behind").to_pylist(), strict=True):
+            if head is None or len(part) > self.LONGEST:
+                out.append(self.encode(part))
+            else:
+                out.append(self.piece(head) + self.piece(behind) if behind else self.piece(head))
+        return out
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of each of these distinct parts are."""
+        names = parts.to_pylist()
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new) and self.n + len(new) > self.limit and self.n:
+            self._clear()
+            return self._places(parts)
+        if len(new):
+            got = self._encoded(parts.take(pa.array(new)))
+            ends = self.starts[self.n] + np.cumsum([len(x) // 4 for x in got])
+            at[new] = np.arange(self.n, self.n + len(new))
+            self.starts = np.concatenate([self.starts[: self.n + 1], ends])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), "<u4")])
+            # long ones are there for this call only
+            self.place.update((names[i], int(at[i])) for i in new if len(names[i]) <= self.LONGEST)
+            self.n += len(new)
+        return at
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null has none."""
+        if not self.parted:
+            for text in texts:
+                yield np.frombuffer(self.encode(text.as_py() or ""), "<u4")
+            return
+        for few in (texts.slice(a, self.ROWS) for a in range(0, len(texts), self.ROWS)):
+            split = pc.ascii_split_whitespace(pc.fill_null(few, ""))
+            offsets = split.offsets.to_numpy()
+            flat = split.flatten().dictionary_encode()
+            at = self._places(flat.dictionary)[flat.indices.to_numpy()]
+            begin = self.starts[at]
+            size = self.starts[at + 1] - begin
+            ends = np.r_[0, np.cumsum(size)]
+            ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+            cuts = ends[offsets - offsets[0]]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield ids[a:b]
 
 
 _ids: dict[str, WordIds] = {}
@@ -147,8 +203,8 @@ def _pack_documents(docs: DataFrame, path: str, id_col: str, text_col: str, capa
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             part = batch.column(0)[0].as_py() if part is None and batch.num_rows else part
-            for doc, text in zip(batch.column(1), batch.column(2), strict=True):
-                data, doc = ids.of(text.as_py()) + end, doc.as_py()
+            for doc, found in zip(batch.column(1).to_pylist(), ids.of(batch.column(2)), strict=True):
+                data = found.astype("<u4").tobytes() + end
                 n = len(data) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - start)
