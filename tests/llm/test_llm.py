@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, decontaminate, exact_dedup, jaccard_join, licenses, packing, paragraphs, quality, sharding, similar, url_filter
 from corpusloom.llm.queries import tokenizer_path
-from corpusloom.llm.words import split_words
+from corpusloom.llm.words import HASHES, split_words
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid string, sig string, bucket string, found string, slot string, size string, `from` string"
 WORDS = [a + b for a in "bkmprst" for b in ("ara", "elo", "inu", "oma", "uti", "ado", "eru")]
@@ -83,10 +84,22 @@ def test_exact_dedup(stored, empty):
 
 @pytest.mark.parametrize("fan_in", [2, 3, 16])
 def test_tree_merge_rounds(stored, fan_in):
-    runs = exact_dedup.digest_runs(stored).withColumn("slot", (F.col("rid") % 9).cast("int"))
-    merged = exact_dedup.tree_merge(runs, fan_in, leaves=9).collect()
-    whole = runs.groupBy("digest").agg(F.count("*").alias("n")).collect()
-    assert {(bytes(r.digest), r.n) for r in merged} == {(bytes(r.digest), r.n) for r in whole}
+    runs = exact_dedup.digest_runs(stored).repartition(9)
+    merged = exact_dedup.tree_merge(runs, fan_in, leaves=9)
+    n = fan_in ** {2: 4, 3: 2, 16: 1}[fan_in]
+    assert merged.rdd.getNumPartitions() == n
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    whole = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min_by("rid", first).alias("rid")).collect()
+    got = merged.withColumn("at", F.spark_partition_id()).collect()
+    assert Counter((bytes(r.digest), r.n, r.rid) for r in got) == Counter((bytes(r.digest), r.n, r.rid) for r in whole)
+    # each run ends in the partition that its digest names
+    assert all(int.from_bytes(bytes(r.digest)[:4], "big") % n == r["at"] for r in got)
+
+
+def test_equal_digests_need_proof(spark):
+    rows = [(1, 3, b"d" * 32, 9, 5), (2, 2, b"d" * 32, 9, 5), (3, None, b"d" * 32, 9, 5), (4, 1, b"d" * 32, 9, 6), (5, 7, b"d" * 32, 8, 5)]
+    runs = spark.createDataFrame([(r, d, bytearray(x), n, p) for r, d, x, n, p in rows], "rid bigint, doc_id bigint, digest binary, n_bytes bigint, proof bigint")
+    assert sorted((r.doc_id, r.n) for r in exact_dedup.tree_merge(runs, leaves=3).collect()) == [(1, 1), (2, 3), (7, 1)]
 
 
 def test_sharding(stored, empty):
@@ -199,9 +212,14 @@ def test_packing(stored, empty):
 
 
 def test_word_ids_are_the_tokenizers():
-    ids = packing.word_ids(tokenizer_path())
-    for text in ("ÀÉ'S don't CAN'T 123abc <|endoftext|> x\u00a0y İ Σας\u0308 e\u0301 ﬁ \x1cq a\u200bb", "", "it's'll we'd.'s", "x" * 300, "Ǆ ß ẞ µ ª"):
-        assert ids.of(text) == ids.encode(text)
+    texts = ["ÀÉ'S don't CAN'T 123abc <|endoftext|> x\u00a0y İ Σας\u0308 e\u0301 ﬁ \x1cq a\u200bb", "", None, " \t\n", "it's'll we'd.'s", "x" * 300 + " a", "Ǆ ß ẞ µ ª", "Word, word. 'tis Été", "\u0301x \x85 a\u2028b x<|startoftext|>y"] * 3
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        ids = packing.WordIds(tokenizer_path(name), limit=9)
+        assert ids.parted == (name == "word_bpe_49k.json")
+        want = [ids.encode(t or "") for t in texts]
+        for _ in range(2):
+            assert [x.astype("<u4").tobytes() for x in ids.of(pa.array(texts).slice(1))] == want[1:]
+    assert list(ids.of(pa.array([], pa.string()))) == []
 
 
 def test_open_bins_close_the_fullest():
@@ -364,13 +382,19 @@ def test_windows_share_an_anchor():
         for _ in range(200):
             run = rnd.integers(0, 2**63, n).astype(np.uint64)
             a, b = (np.concatenate([rnd.integers(0, 2**63, rnd.integers(0, 50)).astype(np.uint64), run, rnd.integers(0, 2**63, rnd.integers(0, 50)).astype(np.uint64)]) for _ in range(2))
-            assert set(paragraphs.anchors(a, n)[1].tolist()) & set(paragraphs.anchors(b, n)[1].tolist())
+            found = [set(paragraphs.anchors(x, np.array([len(x)]), n)[2].tolist()) for x in (a, b)]
+            assert found[0] & found[1]
+            of, at, h = paragraphs.anchors(np.concatenate([a, b]), np.array([len(a), 0, len(b)]), n)
+            assert [set(h[of == i].tolist()) for i in (0, 2)] == found and set(of.tolist()) == {0, 2}
+            assert all(at[of == i].max() + n // 2 <= len(x) for i, x in ((0, a), (2, b)))
+    same = np.full(200, 7, np.uint64)
+    assert len(paragraphs.anchors(same, np.array([200]), 40)[1]) < 25
 
 
 def test_line_sets_are_shingles():
     lines = ["", "a b c d", "a b c d e", "a b c d e a b c d e a b c d e", "x " * 9, "one two three four five six seven"]
     words = [split_words(x.encode()) for x in lines]
-    kept, values, starts = paragraphs._line_sets([w for ws in words for w in ws], np.array([len(w) for w in words]), 5)
+    kept, values, starts = paragraphs._line_sets(HASHES.of([w for ws in words for w in ws]), np.array([len(w) for w in words]), 5)
     assert kept.tolist() == [2, 3, 4, 5]
     for k, part in zip(kept, np.split(values, starts[1:]), strict=True):
         assert part.tolist() == jaccard_join.shingles(lines[k].encode()).tolist()
@@ -462,10 +486,51 @@ def test_everyday_words_weigh_little(spark):
     idf = lambda w: np.log((1 + len(bags)) / (1 + sum(w in b for b in bags))) + 1
     a, b = ({w: k * idf(w) for w, k in Counter(re.findall("[a-z0-9]+", x.lower())).items()} for x in (said, mit))
     want = sum(a[w] * b[w] for w in a.keys() & b) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-    got = {r.rid: (r.license, r.score) for r in licenses.scan_lines(files).collect()}
+    got = {r.rid: (r.license, r.score) for r in licenses.scan_pieces(files).collect()}
     assert want > 0.8 and got == {0: ("MIT", pytest.approx(want, abs=1e-6))}
 
 
+def brute_pieces(text):
+    lines = text.split("\n")
+    out = dict(enumerate(lines))
+    blank = next((i for i, x in enumerate(lines) if i and not x.strip(" \t\r")), len(lines))
+    header = "\n".join(lines[:blank])
+    if "\n" in header.strip(" "):
+        out[-1] = header
+    if "\n" in text.strip(" ") and header.strip(" ") != text.strip(" "):
+        out[-2] = text
+    return out
+
+
+def test_headers_and_full_texts_match_as_brute_force(spark):
+    rnd = random.Random(14)
+
+    def wrapped(text, mark="", width=6):
+        w = text.split(" ")
+        return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    full = [x for _, x in licenses.TEMPLATES if len(x.split()) > 60]
+    texts = [None, "", "\n\n", *[wrapped(x) for x in full], *[wrapped(x, " * ") + "\n\n" + sentence(rnd, 300) for x in full[:2]], wrapped("Copyright of some people " + full[2]) + "\n\nan end"]
+    texts += [wrapped(licenses.TEMPLATES[0][1], "# ", 2) + "\n\ncode " + sentence(rnd, 40), sentence(rnd, 60), wrapped(" ".join(full[2].split()[:60] + sentence(rnd, 60).split()))]
+    texts += [licenses.TEMPLATES[5][1] + "\n" + sentence(rnd, 5000)] + [sentence(rnd, 30) + " software the of" for _ in range(30)]
+    files = spark.createDataFrame(list(enumerate(texts)), "rid bigint, text string")
+    bag = lambda x: Counter(re.findall("[a-z0-9]+", x.lower()))
+    df = Counter(w for x in texts for w in bag(x or ""))
+    weights = lambda x: {w: k * (np.log((1 + len(texts)) / (1 + df[w])) + 1) for w, k in bag(x).items()}
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    made = [(lid, weights(x)) for lid, x in licenses.TEMPLATES]
+    want = {}
+    for i, text in enumerate(texts):
+        for piece, body in brute_pieces(text or "").items():
+            v = weights(body)
+            best = max(((round(sum(v[w] * u[w] for w in v.keys() & u.keys()) / size(v) / size(u), 9), lid) for lid, u in made), default=(0, None)) if v else (0, None)
+            if best[0] >= 0.8:
+                want[i, piece] = best
+    got = {(r.rid, r.piece): (r.score, r.license) for r in licenses.scan_pieces(files).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-6 for k in want)
+    assert {-1, -2} <= {p for _, p in want} and {lid for _, lid in want.values()} >= {"MIT", "ISC", "BSD-3-Clause", "GPL-3.0", "Apache-2.0"}
+
+
 def test_needles_lose_no_line():
     made = licenses.template_table(None)
     idf = {w: 1 + (len(w) % 3) for _, _, ws in made for w in ws}
