@@ -40,24 +40,26 @@ def identity_keys(papers: DataFrame, key: str = "id") -> DataFrame:
 def _title_links(records: DataFrame) -> DataFrame:
     """(src, dst) components that a title joins: in each group in order, unless an identifier type is known with other values only.
 
-    ``records`` has title, component, first (the component's place), and types: a map of identifier type to values.
-    What a group has taken in counts for the next; components without a conflict go to the first.
+    ``records`` has title, component, first (the component's place) and types, the types of identifier that it knows.
+    Components never share a value, they would be one: so one that shares a type with what its group has taken
+    in is in conflict. Each round takes the next one of every group and drops what conflicts with it; a group
+    takes in no more than there are types, so rounds are few, and no group is ever gathered.
     """
-    ordered = records.groupBy("title").agg(F.collect_list(F.struct("first", "component", "types")).alias("parts"))
-    in_order = lambda a, b: F.when(a["first"] < b["first"], -1).when(a["first"] > b["first"], 1).otherwise(0)
-    ordered = ordered.withColumn("parts", F.array_sort("parts", in_order))
-    start = F.struct(F.create_map().cast("map<string,array<string>>").alias("types"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(acc: Column, part: Column) -> Column:
-        conflict = F.exists(
-            F.map_entries(part["types"]),
-            lambda e: F.map_contains_key(acc["types"], e["key"]) & ~F.arrays_overlap(F.try_element_at(acc["types"], e["key"]), e["value"]),
-        )
-        merged = F.map_zip_with(acc["types"], part["types"], lambda _, a, b: F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))))
-        return F.when(conflict & (F.size(acc["taken"]) > 0), acc).otherwise(F.struct(merged.alias("types"), F.array_append(acc["taken"], part["component"]).alias("taken")))
-
-    taken = ordered.where(F.size("parts") > 1).select(F.aggregate("parts", start, step)["taken"].alias("taken"))
-    return taken.select(F.explode("taken").alias("src"), F.col("taken")[0].alias("dst")).where("src <> dst")
+    least = lambda rows: rows.groupBy("title").agg(F.min_by(F.struct("component", "types"), F.struct("first", "component")).alias("h"))
+    rest, taken, lead = records, None, None
+    while True:
+        head = cut_lineage(least(rest).select("title", "h.component", "h.types"))
+        if head.isEmpty():
+            break
+        lead = head if lead is None else lead
+        taken = head.select("title", "component") if taken is None else taken.union(head.select("title", "component"))
+        other = head.select("title", F.col("types").alias("known"), F.col("component").alias("of"))
+        # without any type there is no conflict: those go along at once
+        rest = cut_lineage(rest.where(F.size("types") > 0).join(other, "title").where(~F.arrays_overlap("types", "known") & (F.col("component") != F.col("of"))).drop("known", "of"))
+    if taken is None:
+        return records.select(F.col("component").alias("src"), F.col("component").alias("dst"))
+    plain = records.where(F.size("types") == 0).select("title", "component")
+    return taken.union(plain).join(lead.select("title", F.col("component").alias("dst")), "title").select(F.col("component").alias("src"), "dst").where("src <> dst").distinct()
 
 
 def resolve_duplicates(papers: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def resolve_duplicates(papers: DataFrame) -> DataFrame:
 
     ``papers`` has ord, its records' order. First, records that share a strong key
     are one; then equal titles join what these made, in order, unless both know an identifier type
-    with no value in common. Titles are settled in one pass over all groups, each against
+    with no value in common. Titles are settled in rounds over all groups at once, each against
     the components of the first step.
     """
     named = cut_lineage(normalize_identities(papers).select("ord", "n_title", _strong(F.col("external_ids")).alias("keys")))
@@ -76,15 +78,10 @@ def resolve_duplicates(papers: DataFrame) -> DataFrame:
     placed = named.join(by_key.withColumnRenamed("node", "ord"), "ord", "left").withColumn("component", F.coalesce("component", "ord"))
     placed = cut_lineage(placed)
     # the type is what stands before the last colon, so an identifier with a colon is a type of its own
-    values = placed.select("component", F.explode("keys").alias("key")).select(
-        "component", F.regexp_extract("key", r"(?s)^(.*):[^:]*$", 1).alias("type"), F.regexp_extract("key", r"(?s)([^:]*)$", 1).alias("value")
-    )
-    types = values.groupBy("component", "type").agg(F.array_sort(F.collect_set("value")).alias("values")).groupBy("component").agg(
-        F.map_from_entries(F.collect_list(F.struct("type", "values"))).alias("types")
-    )
+    types = placed.select("component", F.explode("keys").alias("key")).groupBy("component").agg(F.collect_set(F.regexp_extract("key", r"(?s)^(.*):[^:]*$", 1)).alias("types"))
     titles = placed.where(F.length("n_title") >= 8).groupBy(F.col("n_title").alias("title"), "component").agg(F.min("ord").alias("first"))
     shared = titles.join(titles.groupBy("title").agg(F.count("*").alias("n")).where("n > 1"), "title")
-    records = shared.join(types, "component", "left").select("title", "component", "first", F.coalesce("types", F.create_map().cast("map<string,array<string>>")).alias("types"))
+    records = cut_lineage(shared.join(types, "component", "left").select("title", "component", "first", F.coalesce("types", F.array().cast("array<string>")).alias("types")))
     bridged = connected_components(_title_links(records)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return placed.join(bridged, "component", "left").select("ord", F.coalesce("joined", "component").alias("component"))
 

@@ -6,11 +6,13 @@ neither NFKC nor Unicode word boundaries.
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import ABSOLUTE_PHRASES, STOP_WORDS
 from ..operators.critic import QUESTION_STOPS
-from ..operators.gaps import CONDITIONS, GENERIC, NEGATIVE, POSITIVE
+from ..operators.gaps import CLASSES, CONDITIONS, FEASIBILITY, FORMATS, GENERIC, NEGATIVE, POSITIVE
 from ..operators.sections import SECTIONS
-from .views import CONDITION_WORDS, HEADINGS
+from .views import CONDITION_WORDS, HEADINGS, METHOD_NAMES
 
 
 def _list(values: list[str]) -> str:
@@ -154,6 +156,67 @@ CONTRADICTIONS = rf"""{SCOPED},
     pr AS (SELECT a.topic, a.paper_id AS paper_a, b.paper_id AS paper_b, array_to_string(list_sort(list_intersect(a.tk, b.tk))[1:3], ' ') AS concept, a.lang <> b.lang AS conditioned
       FROM cl a JOIN cl b ON a.topic = b.topic AND a.paper_ord < b.paper_ord WHERE a.pol <> 'neutral' AND b.pol <> 'neutral' AND a.pol <> b.pol AND len(list_intersect(a.tk, b.tk)) > 0)"""
 
+FEED_RANK = "CASE feed WHEN 'openalex' THEN 0 WHEN 'semantic_scholar' THEN 1 ELSE 2 END"
+
+
+def components(source: str) -> str:
+    """Records of one doi are one; then the first of each title takes in those that share no type of identifier with what it has."""
+    return f"""rc AS (SELECT *, CASE WHEN doi IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY doi) END AS comp0, {dedup_title("title")} AS dt FROM {source}),
+      ct AS (SELECT dt, comp0, list_distinct(list_concat(list(feed), list_filter([any_value(CASE WHEN doi IS NOT NULL THEN 'doi' END)], lambda x: x IS NOT NULL))) AS types FROM rc GROUP BY ALL),
+      tf AS (SELECT dt, list_reduce(list({{'types': types, 'taken': [comp0]}} ORDER BY comp0), lambda a, b: CASE WHEN len(list_intersect(a.types, b.types)) > 0 THEN a
+          ELSE {{'types': list_concat(a.types, b.types), 'taken': list_concat(a.taken, b.taken)}} END).taken AS taken FROM ct WHERE length(dt) >= 8 GROUP BY dt),
+      tl AS (SELECT unnest(taken) AS comp0, taken[1] AS component FROM tf),
+      cp AS (SELECT rc.*, coalesce(component, comp0) AS component FROM rc LEFT JOIN tl USING (comp0))"""
+
+
+MERGED = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY doi IS NULL, {FEED_RANK}, id) AS k FROM cp),
+      mf AS (SELECT component, feed, last(ord ORDER BY k) AS n FROM rk GROUP BY ALL),
+      mi AS (SELECT component, string_agg('"' || feed || '":"' || n || '"', ',') FILTER (feed = 'arxiv') AS ar, string_agg('"' || feed || '":"' || n || '"', ',' ORDER BY feed) FILTER (feed <> 'arxiv') AS ot FROM mf GROUP BY 1),
+      mg AS (SELECT component, first(id ORDER BY k) AS id, first(title ORDER BY k) AS title, first(abstract ORDER BY length(abstract) DESC, k) FILTER (length(abstract) > 0) AS abstract,
+        first(concat_ws(',', venue, lang) ORDER BY k) AS authors, first(year ORDER BY k) AS publication_year, first(venue ORDER BY k) FILTER (venue <> '') AS venue, first(doi ORDER BY k) FILTER (doi IS NOT NULL) AS doi,
+        first('https://papers.example/' || ord ORDER BY k) AS url, max(cites) AS citation_count, first(feed ORDER BY k) AS source, count(*) AS records FROM rk GROUP BY component)"""
+
+
+def ranked(source: str) -> str:
+    """rank and score of (query_id, id, title, abstract, publication_year, citation_count, venue, doi) rows beside q, their query's words."""
+    return f"""rp AS (SELECT *, {dedup_title("title")} AS nt, {words_of(dedup_title("title"))} AS tt, {words_of(dedup_title("coalesce(abstract, '')"))} AS ab,
+        ((abstract IS NOT NULL)::INT + (venue IS NOT NULL)::INT + (doi IS NOT NULL)::INT + 3) / 6 AS completeness FROM {source}),
+      sc AS (SELECT *, 0.5 * coalesce(len(list_intersect(q, tt)) / nullif(len(q), 0), 0) + 0.25 * coalesce(len(list_intersect(q, ab)) / nullif(len(q), 0), 0)
+        + 0.15 * greatest(0, least(1, 1 - (2026 - publication_year) / 10)) + 0.07 * least(ln(1 + citation_count) / ln(1001), 1) + 0.03 * completeness AS score FROM rp),
+      fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, publication_year DESC, citation_count DESC, nt, id) AS rank FROM sc)"""
+
+
+def said(kind: str, part: int, **columns: str) -> str:
+    """A title (0) or question (1) as SQL, with each {name} replaced by its expression."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return " || ".join(columns[x] if i % 2 else quoted(x) for i, x in enumerate(re.split(r"\{(\w+)\}", FORMATS[kind][part])) if x)
+
+
+def _contradicted(part: int) -> str:
+    names = {x: x for x in ("topic", "concept", "paper_a", "paper_b")}
+    return f"CASE WHEN conditioned THEN {said('conditioned', part, **names)} ELSE {said('contradiction', part, **names)} END"
+
+
+_EVALUATION = {"topic": "lang", "method": "source", "condition": "cond"}
+#: Contradictions and evaluation gaps as candidates, and their queries.
+DERIVED = rf"""{CONTRADICTIONS}, {EVALUATED.replace("c AS (", "ec AS (", 1).replace(" FROM c)", " FROM ec)").replace("FROM c GROUP", "FROM ec GROUP")},
+      cand AS (SELECT sha256(concat_ws(chr(31), 'contradiction', topic, paper_a, paper_b, concept)) AS id, 'c' AS kind, {_contradicted(0)} AS title, {_contradicted(1)} AS rq,
+          topic, [paper_a] AS support, [paper_a, paper_b] AS cited, CASE WHEN conditioned THEN 0.38 ELSE 0.52 END AS confidence FROM pr
+        UNION ALL SELECT sha256(concat_ws(chr(31), 'evaluation', lang, source, cond)), 'e', {said("evaluation", 0, **_EVALUATION)}, {said("evaluation", 1, **_EVALUATION)}, lang, ab.ids, ab.ids, 0.45
+          FROM eg JOIN (SELECT lang, source, cond, list('d' || doc_id ORDER BY 'd' || doc_id)[1:3] AS ids FROM k WHERE status = 'explicitly_absent' GROUP BY ALL) AS ab USING (lang, source, cond)),
+      cw AS (SELECT *, list_filter({plain_words("rq", 3)}, lambda w: NOT list_contains({_list(QUESTION_STOPS)}, lower(w))) AS ws FROM cand),
+      qs AS (SELECT id, CASE kind WHEN 'c' THEN [regexp_replace(title, '^(Conflicting evidence on|Context-conditioned disagreement on) ', ''), array_to_string(ws[1:3], ' ') || ' improves', array_to_string(ws[1:3], ' ') || ' degrades', array_to_string(ws[1:3], ' ') || ' evaluation benchmark']
+               ELSE [title, array_to_string(ws[1:4], ' '), array_to_string(ws[1:3], ' ') || ' benchmark review', array_to_string(ws[1:2], ' ') || ' robustness solution'] END AS q FROM cw),
+      oq AS (SELECT id, generate_subscripts(q, 1) AS pos, unnest(q) AS query FROM qs)"""
+
+#: The best five papers of each such query, and which of them share three words with their candidate.
+OVERLAPS = rf"""{DERIVED}, ot AS (SELECT id AS cid, pos, unnest({parts("query")}) AS t FROM oq), os AS (SELECT cid, pos, tokens.id, sum(tokens.w)::BIGINT AS hits FROM tokens JOIN ot USING (t) GROUP BY ALL),
+      orr AS (SELECT *, row_number() OVER (PARTITION BY cid, pos ORDER BY hits DESC, year DESC, cites DESC, {stored_title("title")}, id) AS nth FROM os JOIN papers USING (id)),
+      kw AS (SELECT *, list_distinct({plain_words("lower(title || ' ' || rq)", 3)}) AS kt FROM cand),
+      fp AS (SELECT DISTINCT cid AS id, orr.id AS paper_id, list_distinct({plain_words("lower(concat_ws(' ', orr.title, abstract))", 3)}) AS pt FROM orr WHERE nth <= 5),
+      ov AS (SELECT id, paper_id, len(list_intersect(kt, pt))::BIGINT AS shared FROM fp JOIN kw USING (id) WHERE NOT list_contains(support, paper_id) AND len(list_intersect(kt, pt)) >= 3)"""
+
+
 ORACLES: dict[str, str] = {
     "lexical_topk": f"WITH {scores(False)} SELECT query_id, rank, id AS paper_id, score FROM r WHERE rank <= 10",
     "rank_components": f"""WITH {scores(False)},
@@ -180,6 +243,19 @@ ORACLES: dict[str, str] = {
         CASE WHEN length({dedup_title("title")}) >= 8 THEN 'title:' || {dedup_title("title")} END], lambda x: x IS NOT NULL) AS ks FROM papers)
       SELECT id, generate_subscripts(ks, 1) - 1 AS pos, unnest(ks) AS key FROM k""",
     "source_pairs": f"""WITH {PAPERS} SELECT id, feed AS provider, id AS external_id FROM papers UNION SELECT id, feed, ord::VARCHAR FROM papers UNION SELECT id, 'doi', doi FROM papers WHERE doi IS NOT NULL""",
+    "duplicate_components": f"""WITH {PAPERS}, {components("papers")} SELECT ord, component FROM cp""",
+    "merged_papers": f"""WITH {PAPERS}, {components("papers")}, {MERGED} SELECT mg.*, '{{' || concat_ws(',', ar, '"doi":"' || doi || '"', ot) || '}}' AS external_ids FROM mg JOIN mi USING (component)""",
+    "upserted_papers": f"""WITH {PAPERS}, g AS (SELECT *, ord IN (SELECT doc_id FROM labels) AS stored, CASE WHEN length({stored_title("title")}) >= 8 THEN 'title:' || {stored_title("title")} ELSE coalesce('doi:' || doi, id) END AS grp,
+        CASE WHEN doi IS NOT NULL THEN 'doi:' || doi WHEN feed = 'arxiv' THEN 'arxiv:' || id ELSE 'source:' || feed || ':' || id END AS ck FROM papers),
+      u AS (SELECT grp, 0 AS new, ord AS age, 's' || id AS rid, 'stored:' || id AS ck, 3 AS kind, cites, year, to_timestamp(ord)::TIMESTAMP AS ts FROM g WHERE stored
+        UNION ALL SELECT grp, 1, 0, id, ck, CASE WHEN doi IS NOT NULL THEN 0 WHEN feed = 'arxiv' THEN 1 ELSE 2 END, cites, year, TIMESTAMP '2026-01-01' FROM g),
+      o AS (SELECT grp, coalesce(first(rid ORDER BY age, rid) FILTER (new = 0), substr(min(sha256(ck)) FILTER (new = 1), 1, 32)) AS id, first(ck ORDER BY new, age, rid) AS own, first(ck ORDER BY kind, new, age, rid) AS best,
+        max(cites) AS citation_count, first(year ORDER BY new, age, rid) AS publication_year, min(ts) AS first_discovered_at, max(ts) AS updated_at FROM u GROUP BY grp)
+      SELECT id, CASE WHEN count(*) OVER (PARTITION BY best) = 1 THEN best ELSE own END AS canonical_key, citation_count, publication_year, first_discovered_at, updated_at FROM o""",
+    "batched_search": f"""WITH {scores(False)}, ft AS (SELECT *, row_number() OVER (PARTITION BY query_id, feed ORDER BY score DESC, id) AS nth FROM s JOIN papers USING (id)),
+      fe AS (SELECT query_id, ord FROM ft WHERE nth <= 10), us AS (SELECT * FROM papers WHERE ord IN (SELECT ord FROM fe)), {components("us")}, {MERGED},
+      wq AS (SELECT DISTINCT query_id, component FROM fe JOIN cp USING (ord)), wp AS (SELECT query_id, {words_of(dedup_title("text"))} AS q, mg.* FROM wq JOIN mg USING (component) JOIN benchmark ON query_id = item_id), {ranked("wp")}
+      SELECT query_id, rank, id, round(score, 9) AS score FROM fr WHERE rank <= 5""",
     "reconciled_discoveries": f"""WITH {SEEN} SELECT event_type AS watch_topic_id, (user::BIGINT % 25)::VARCHAR AS paper_id, min(f) AS first_seen_at, max(l) AS last_seen_at, max(r) AS rank_score FROM seen GROUP BY ALL""",
     "extraction_coverage": f"""WITH {EVALUATED} SELECT lang AS topic, 'evaluation_condition' AS dimension, count(*) FILTER (status = 'observed') AS extracted, count(*) AS cards,
       round(count(*) FILTER (status = 'observed') / count(*), 9) AS coverage FROM c GROUP BY lang HAVING count(*) FILTER (status = 'observed') > 0""",
@@ -236,20 +312,67 @@ ORACLES: dict[str, str] = {
     "upsert_snapshot": """WITH i AS (SELECT o_custkey + 10 AS id, last(o_orderpriority ORDER BY o_orderkey) AS seg, last(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END ORDER BY o_orderkey) AS best FROM orders GROUP BY 1)
       SELECT coalesce(c_custkey, id) AS id, coalesce(c_name, 'x') AS name, greatest(c_acctbal, best) AS best, coalesce(seg, c_mktsegment) AS segment FROM customer FULL JOIN i ON c_custkey = id""",
     "parent_check": "SELECT o_orderkey, o_custkey, CASE WHEN c_custkey IS NULL THEN 'unknown o_custkey' END AS reason FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0",
-    "unique_names": "SELECT trim(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '-', 'g'), '-') AS name, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1",
+    "unique_names": "SELECT trim(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '[^a-z0-9]+', '-', 'g'), '-') AS name, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "cascade_delete": "SELECT l_suppkey, count(*) AS lines FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1",
     "feed_counts": f"""WITH {PAPERS} SELECT feed AS source, count(*) AS papers, NULL::VARCHAR AS warning FROM papers GROUP BY 1 UNION ALL SELECT 'other_feed', NULL, 'other_feed was unavailable; results may be partial.'""",
     "ingest_openalex": """SELECT 'openalex:W' || doc_id AS id, 'Work ' || doc_id AS title, text AS abstract, 2020 AS publication_year, lang AS venue, '10.1/a' || doc_id AS doi, 'https://doi.org/10.1/a' || doc_id AS url,
       CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS citation_count, '{"pmid":"' || doc_id || '","openalex":"W' || doc_id || '","doi":"10.1/a' || doc_id || '"}' AS external_ids FROM documents""",
-    "derive_queries": rf"""WITH {CONTRADICTIONS}, {EVALUATED.replace("c AS (", "ec AS (", 1).replace(" FROM c)", " FROM ec)").replace("FROM c GROUP", "FROM ec GROUP")},
-      cand AS (SELECT sha256(concat_ws(chr(31), 'contradiction', topic, paper_a, paper_b, concept)) AS id, 'c' AS kind,
-          concept || ' in ' || topic AS title,
-          CASE WHEN conditioned THEN 'Within the retrieved corpus of ' || topic || ', under which experimental conditions (e.g., across datasets or evaluation settings) does ' || concept || ' improve or degrade performance?'
-               ELSE 'Within the retrieved corpus of ' || topic || ', why do paper ''' || paper_a || ''' and paper ''' || paper_b || ''' report opposing outcomes for ' || concept || ' under similar conditions?' END AS rq FROM pr
-        UNION ALL SELECT sha256(concat_ws(chr(31), 'evaluation', lang, source, cond)), 'e', 'Underrepresented evaluation condition in ' || lang || ': ' || cond || ' for ' || source,
-          'Within the retrieved corpus of ' || lang || ', how does ' || source || ' perform under evaluation condition ''' || cond || '''?' FROM eg),
-      w AS (SELECT *, list_filter({plain_words("rq", 3)}, lambda w: NOT list_contains({_list(QUESTION_STOPS)}, lower(w))) AS ws FROM cand),
-      qs AS (SELECT id, CASE kind WHEN 'c' THEN [title, array_to_string(ws[1:3], ' ') || ' improves', array_to_string(ws[1:3], ' ') || ' degrades', array_to_string(ws[1:3], ' ') || ' evaluation benchmark']
-               ELSE [title, array_to_string(ws[1:4], ' '), array_to_string(ws[1:3], ' ') || ' benchmark review', array_to_string(ws[1:2], ' ') || ' robustness solution'] END AS q FROM w)
-      SELECT id, generate_subscripts(q, 1) AS pos, unnest(q) AS query FROM qs""",
+    "derive_queries": f"""WITH {DERIVED} SELECT id, pos, query FROM oq""",
+    "overlap_check": f"""WITH {OVERLAPS} SELECT id, paper_id, shared FROM ov""",
+    "critic_decisions": f"""WITH {OVERLAPS}, on_card AS (SELECT 'd' || doc_id AS paper_id, doc_id, lang, list_distinct({plain_words("lower(source || ' improves under ' || word)", 3)}) AS cw FROM ec WHERE doc_id % 10 = 0),
+      rs AS (SELECT id, first(paper_id ORDER BY doc_id) AS resolved_by FROM kw JOIN on_card ON topic = lang WHERE len(list_intersect(kt, cw)) >= 3 AND NOT list_contains(cited, paper_id) GROUP BY id),
+      on_fresh AS (SELECT id, count(*) AS n FROM ov GROUP BY id),
+      dc AS (SELECT kw.id, confidence, resolved_by, coalesce(n, 0) AS overlapping FROM kw LEFT JOIN rs USING (id) LEFT JOIN on_fresh USING (id))
+      SELECT id, CASE WHEN resolved_by IS NOT NULL THEN 'rejected' WHEN overlapping > 0 THEN 'downgraded' ELSE 'preserved' END AS decision, resolved_by, overlapping::INT AS overlapping,
+        CASE WHEN resolved_by IS NOT NULL THEN 0 WHEN overlapping > 0 THEN round(greatest(0.1, confidence - 0.15), 2) ELSE round(least(1, confidence + 0.15), 2) END::DOUBLE AS new_confidence FROM dc""",
+    "ingest_arxiv": r"""SELECT 'arxiv:2401.' || doc_id AS id, 'Entry ' || doc_id AS title, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS abstract, source AS authors, (2000 + doc_id % 20)::INT AS publication_year, lang AS venue,
+      CASE WHEN doc_id % 2 = 0 THEN '10.1/b' || doc_id END AS doi, 'http://arxiv.org/abs/2401.' || doc_id || 'v2' AS url,
+      '{"arxiv":"2401.' || doc_id || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"doi":"10.1/b' || doc_id || '"' ELSE '' END || '}' AS external_ids FROM documents WHERE doc_id % 50 <> 0""",
+    "ingest_semantic_scholar": r"""SELECT 'semantic_scholar:p' || doc_id AS id, 'Record ' || doc_id AS title, sha256(trim(text, ' ')) AS abstract, source AS authors, CASE WHEN doc_id % 3 <> 0 THEN 2019 END AS publication_year, lang AS venue,
+      '10.2/c' || doc_id AS doi, 'https://s2.example/' || doc_id AS url, n_chars::INT AS citation_count, '{"arxiv":"2401.' || doc_id || '","semantic_scholar":"p' || doc_id || '","doi":"10.2/c' || doc_id || '"}' AS external_ids
+      FROM documents WHERE doc_id % 50 <> 0""",
+    "retrieved_gaps": rf"""WITH qq AS (SELECT item_id AS question_id, 'p' || item_id % 3 AS project_id, list_distinct({plain_words(fold("text"), 1)}) AS q FROM benchmark),
+      gp AS (SELECT doc_id, 'g' || doc_id AS id, list_distinct({plain_words(fold("split_part(text, chr(10), 1)"), 1)}) AS t, list_distinct({plain_words(fold("text"), 1)}) AS d, list_distinct({plain_words(fold("split_part(text, chr(10), 1) || ' ' || source"), 1)}) AS r,
+        row_number() OVER (ORDER BY n_chars DESC, 'g' || doc_id) <= 50 AS recent FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+      lk AS (SELECT 'p' || doc_id % 3 AS project_id, 'g' || doc_id AS id, CASE WHEN toxic = 1 THEN 'rejected' ELSE 'interesting' END AS status FROM labels WHERE quality = 0 OR toxic = 1),
+      h AS (SELECT question_id, gp.id, recent, status, 3.0 * len(list_intersect(q, t)) + 2.0 * len(list_intersect(q, d)) + 2.0 * len(list_intersect(q, r)) AS lexical FROM qq CROSS JOIN gp LEFT JOIN lk ON lk.project_id = qq.project_id AND lk.id = gp.id),
+      b AS (SELECT *, 2 * lexical + CASE WHEN status = 'interesting' THEN 4 ELSE 0 END AS total FROM h WHERE lexical > 0 AND (recent OR status IS NOT NULL)),
+      z AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY total DESC, status IS NULL, id) AS rank FROM b)
+      SELECT question_id, rank, id AS candidate_id, lexical::DOUBLE AS lexical, total::DOUBLE AS total FROM z WHERE rank <= 4""",
+    "analyzed_topics": f"""WITH {CONTRADICTIONS}, c1 AS (SELECT query_id::VARCHAR AS query_id, count(*) FILTER (ord IN (SELECT doc_id FROM labels)) AS cards, count(*) FILTER (ord NOT IN (SELECT doc_id FROM labels)) AS unread, max(total_matching) AS matching FROM r WHERE rank <= 50 GROUP BY 1),
+      m1 AS (SELECT topic AS query_id, count(DISTINCT (paper_a, paper_b, concept)) AS mined FROM pr GROUP BY 1),
+      t1 AS (SELECT b.item_id::VARCHAR AS query_id, coalesce(cards, 0) AS cards, coalesce(unread, 0) AS unread, coalesce(matching, 0) AS matching, coalesce(mined, 0) AS mined FROM benchmark b LEFT JOIN c1 ON c1.query_id = b.item_id::VARCHAR LEFT JOIN m1 ON m1.query_id = b.item_id::VARCHAR)
+      SELECT *, CASE WHEN cards < 2 THEN 'insufficient structured evidence' WHEN mined = 0 THEN 'no contradiction gap was found' ELSE 'mined' END AS status FROM t1""",
+    "analyzed_gaps": f"""WITH {EVALUATED}, n AS (SELECT *, {gap_id("evaluation", "lang", f"{slug('source', 20)} || '-' || {slug('cond', 20)}")} AS id, sha256(concat_ws(chr(31), 'evaluation', lang, source, cond)) AS key FROM eg),
+      o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY id, key) AS nth FROM n)
+      SELECT lang AS topic, id, {said("evaluation", 0, **_EVALUATION)} AS title, CASE WHEN lang = 'en' THEN 0.9 ELSE 0.45 END::DOUBLE AS confidence, lang = 'en' AS was_stored FROM o WHERE nth <= 2""",
+    "scanned_topics": f"""WITH {scores(False)}, ft AS (SELECT *, row_number() OVER (PARTITION BY query_id, feed ORDER BY score DESC, id) AS nth FROM s JOIN papers USING (id) WHERE query_id % 2 = 0),
+      fe AS (SELECT query_id, ord FROM ft WHERE nth <= 20), us AS (SELECT * FROM papers WHERE ord IN (SELECT ord FROM fe)), {components("us")}, {MERGED},
+      wq AS (SELECT DISTINCT query_id, component FROM fe JOIN cp USING (ord)), wp AS (SELECT query_id, {words_of(dedup_title("text"))} AS q, mg.* FROM wq JOIN mg USING (component) JOIN benchmark ON query_id = item_id), {ranked("wp")}
+      SELECT query_id AS watch_topic_id, id AS paper_id, round(score, 9) AS rank_score, true AS is_new FROM fr WHERE rank <= 10""",
+    "retrieval_log": f"""WITH {OVERLAPS}, g AS (SELECT cid AS id, pos, string_agg(orr.id, ',' ORDER BY nth) AS ids, count(*) AS n FROM orr WHERE nth <= 5 GROUP BY ALL)
+      SELECT oq.id, oq.pos, query, coalesce(ids, '') AS ids, coalesce(n, 0) AS result_count, 'openalex,semantic_scholar' AS answered, 'arxiv' AS failed FROM oq LEFT JOIN g ON g.id = oq.id AND g.pos = oq.pos""",
+    "appended_reviews": """WITH k AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+      a AS (SELECT o_custkey, o_orderkey, (coalesce(n, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::INT AS v FROM orders LEFT JOIN b USING (o_custkey) WHERE o_orderstatus <> 'F' AND o_custkey IN (SELECT c_custkey FROM k))
+      SELECT o_custkey AS candidate_id, o_orderkey, v AS review_version, NULL::VARCHAR AS reason FROM a
+      UNION ALL SELECT o_custkey, o_orderkey, NULL, 'unknown candidate_id' FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT c_custkey FROM k)""",
+    "reconciled_cards": """SELECT (o_orderkey % 100)::VARCHAR AS paper_id, last(o_orderpriority ORDER BY o_orderdate, o_orderkey < 100, o_orderkey::VARCHAR) AS problem, to_timestamp(min(o_orderkey))::TIMESTAMP AS created_at,
+      max(o_orderdate)::TIMESTAMP AS updated_at FROM orders GROUP BY 1""",
+    "reconciled_sources": """WITH e AS (SELECT user_id, event_type, max(ts) AS t, min(event_id) AS e FROM events GROUP BY ALL)
+      SELECT (user_id % 25)::VARCHAR AS paper_id, event_type AS provider, 'x' AS external_id, max(t) AS retrieved_at, first('https://events.example/' || e ORDER BY user_id >= 25, user_id::VARCHAR) FILTER (e % 3 <> 0) AS source_url FROM e GROUP BY ALL""",
+    "picked_insights": """SELECT 'd' || doc_id AS paper_id, CASE doc_id % 5 WHEN 1 THEN 'Stored claim' WHEN 2 THEN 'Method' ELSE 'Contribution' END AS kind,
+      CASE doc_id % 5 WHEN 2 THEN source ELSE split_part(text, chr(10), 1) END AS text, CASE doc_id % 5 WHEN 1 THEN 'Results' END AS source_section FROM documents WHERE doc_id % 5 <> 4""",
+    "first_fit_groups": f"""WITH RECURSIVE {STATEMENTS}, f AS (
+        SELECT topic, nth, paper_id, 1::BIGINT AS grp, [tokens] AS gs FROM nst WHERE nth = 1
+        UNION ALL SELECT topic, nth, paper_id, coalesce(fit, len(gs) + 1) AS grp, CASE WHEN fit IS NULL THEN list_append(gs, tokens) ELSE list_transform(gs, lambda g, i: CASE WHEN i = fit THEN list_distinct(list_concat(g, tokens)) ELSE g END) END
+          FROM (SELECT n.topic, n.nth, n.paper_id, n.tokens, f.gs, list_position(list_transform(f.gs, lambda g: len(list_intersect(g, n.tokens)) >= 2 OR len(list_intersect(g, n.tokens)) / len(list_distinct(list_concat(g, n.tokens))) >= 0.35), true)::BIGINT AS fit
+            FROM f JOIN nst n ON n.topic = f.topic AND n.nth = f.nth + 1))
+      SELECT topic, paper_id, grp AS "group" FROM f""",
+    "transfers_by_class": f"""WITH b AS (SELECT doc_id, lang, ({_list(METHOD_NAMES)})[n_chars % {len(METHOD_NAMES)} + 1] AS method, lower(source) AS dataset, 'modality ' || n_chars % 5 AS modality FROM documents WHERE n_chars % 10 <> 4),
+      v AS (SELECT doc_id, lang, method, 'dataset' AS dimension, dataset AS value FROM b UNION ALL SELECT doc_id, lang, method, 'modality', modality FROM b), big AS (SELECT lang FROM b GROUP BY 1 HAVING count(*) >= 4),
+      k AS (SELECT lang, method, dimension, value, count(*) AS n FROM v GROUP BY ALL), t AS (SELECT lang, dimension, value AS target, count(*) AS target_papers FROM v GROUP BY ALL HAVING count(*) >= 2),
+      cl AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(lower(method), '{'|'.join(w)}') THEN '{c}'" for c, w in CLASSES.items())} ELSE 'unknown' END AS method_class FROM k WHERE n >= 2 AND lang IN (SELECT lang FROM big)),
+      fs(method_class, dimension, feasibility) AS (VALUES {", ".join(f"('{c}', '{d}', {x}::DOUBLE)" for c, ds in FEASIBILITY.items() for d, x in ds.items())})
+      SELECT cl.lang AS topic, method, dimension, value AS source, target, n AS source_papers, target_papers, method_class, feasibility, round(least(0.8, feasibility * 0.8), 2) AS confidence
+      FROM cl JOIN fs USING (method_class, dimension) JOIN t USING (lang, dimension) WHERE target <> value AND NOT EXISTS (SELECT 1 FROM k o WHERE o.lang = cl.lang AND o.method = cl.method AND o.dimension = cl.dimension AND o.value = target)""",
 }

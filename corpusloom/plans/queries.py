@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import critic, gaps, resolve, search, sections, upsert, watch
+from ..operators.components import cut_lineage
 from ..sources import feeds
 from ..streaming import watch as streaming
 from . import views as V
@@ -173,11 +174,10 @@ def derive_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Candidates, fetched papers of their queries, overlaps, and the feeds."""
     papers = V.papers(spark, sf_dir)
-    cards = V.evaluated_cards(spark, sf_dir)
-    found = gaps.as_candidates(evaluation=gaps.evaluation_gaps(cards, gaps.build_facets(cards))).withColumn("id", F.col("gap_key"))
+    found = cut_lineage(_candidates(spark, sf_dir).withColumn("id", F.col("gap_key")))
     asked = critic.derive_queries(found)
     hits = search.lexical_search(asked.select(F.struct("id", "pos").alias("query_id"), "query"), papers, None, 5)
-    fetched = hits.select("query_id.id", "query_id.pos", "rank", "paper_id")
+    fetched = cut_lineage(hits.select("query_id.id", "query_id.pos", "rank", "paper_id"))
     feeds_state = papers.select("source").distinct().withColumn("warning", F.lit(None).cast("string"))
     return found, fetched, critic.overlap_check(found, fetched, papers), feeds_state
 
@@ -188,7 +188,7 @@ def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def critic_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _, overlaps, state = _reviewed(spark, sf_dir)
-    invalid = critic.memory_invalidation(found, V.document_cards(spark, sf_dir).withColumn("topic", F.element_at("datasets", 1)))
+    invalid = critic.memory_invalidation(found, V.claiming_cards(spark, sf_dir))
     return critic.decide(found, invalid, overlaps, state).select("id", "decision", "resolved_by", F.size("overlapping_paper_ids").alias("overlapping"), "new_confidence")
 
 
@@ -301,7 +301,8 @@ def parent_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.check_unique(V.table(spark, sf_dir, "pages"), T.slug(F.col("url")))
+    """First lines that more than one document has, as names."""
+    return upsert.check_unique(V.table(spark, sf_dir, "documents"), T.slug(V.first_line()))
 
 
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,6 +336,109 @@ def ingest_openalex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.openalex_papers(works).select("id", "title", "abstract", "publication_year", "venue", "doi", "url", "citation_count", F.to_json("external_ids").alias("external_ids"))
 
 
+def ingest_arxiv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as landed Atom entries; one in fifty is an error entry."""
+    number = F.col("doc_id").cast("string")
+    entries = V.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit(" http://arxiv.org/abs/2401."), number, F.lit("v2 ")).alias("id"), F.when(F.col("doc_id") % 50 == 0, " Error ").otherwise(F.concat(F.lit("\n Entry\n  "), number)).alias("title"),
+        F.col("text").alias("summary"), F.concat((F.col("doc_id") % 20 + 2000).cast("string"), F.lit("-05-01T00:00:00Z")).alias("published"), F.array(F.struct(F.col("source").alias("name")), F.struct(F.lit(" ").alias("name"))).alias("author"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doi: 10.1/B"), number, F.lit("."))).alias("arxiv:doi"), F.concat(F.lit(" "), "lang").alias("arxiv:journal_ref"),
+    )
+    return feeds.arxiv_papers(entries).select("id", "title", "abstract", F.array_join("authors", ",").alias("authors"), "publication_year", "venue", "doi", "url", F.to_json("external_ids").alias("external_ids"))
+
+
+def ingest_semantic_scholar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as landed records; one in fifty has no title."""
+    number = F.col("doc_id").cast("string")
+    records = V.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("p"), number).alias("paperId"), F.create_map(F.lit("ArXiv"), F.concat(F.lit("2401."), number, F.lit("v3")), F.lit("CorpusId"), number).alias("externalIds"),
+        F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.concat(F.lit(" Record "), number)).alias("title"), F.col("text").alias("abstract"), F.array(F.struct(F.concat(F.lit(" "), "source").alias("name"))).alias("authors"),
+        F.when(F.col("doc_id") % 3 == 0, "2019.5").otherwise("2019").alias("year"), F.col("lang").alias("venue"), F.concat(F.lit("https://s2.example/"), number).alias("url"),
+        F.concat(F.lit("https://doi.org/10.2/C"), number).alias("doi"), F.col("n_chars").cast("string").alias("citationCount"),
+    )
+    return feeds.semantic_scholar_papers(records).select("id", "title", F.sha2("abstract", 256).alias("abstract"), F.array_join("authors", ",").alias("authors"), "publication_year", "venue", "doi", "url", "citation_count", F.to_json("external_ids").alias("external_ids"))
+
+
+def retrieved_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps of labelled documents for each item; a toxic one is rejected, one of bad quality interesting, in its project."""
+    links = V.table(spark, sf_dir, "labels").where("quality = 0 OR toxic = 1").select(
+        F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("project_id"), F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("candidate_id"), F.when(F.col("toxic") == 1, "rejected").otherwise("interesting").alias("status")
+    )
+    return search.retrieve_gaps(_questions(spark, sf_dir), V.document_gaps(spark, sf_dir), links)
+
+
+def analyzed_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each item's topic after its contradictions were mined."""
+    corpus = scoped_corpus(spark, sf_dir)
+    mined = gaps.as_candidates(contradiction=_contradictions(spark, sf_dir))
+    return gaps.analyze_gaps(V.queries(spark, sf_dir), corpus, mined, mined.limit(0), 2, "contradiction")[1]
+
+
+def analyzed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two evaluation gaps of each language; those of English are stored already, with a confidence of their own."""
+    cards = V.evaluated_cards(spark, sf_dir)
+    mined = cut_lineage(gaps.as_candidates(evaluation=gaps.evaluation_gaps(cards, gaps.build_facets(cards))))
+    stored = mined.where("topic = 'en'").withColumn("confidence", F.lit(0.9))
+    none = spark.createDataFrame([], "query_id string, has_card boolean, total_matching bigint")
+    rows = gaps.analyze_gaps(mined.select(F.col("topic").alias("query_id")).distinct(), none, mined, stored, 2)[0]
+    return rows.select("topic", "id", "title", "confidence", "was_stored")
+
+
+def scanned_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of every second item as a watched topic."""
+    topics = V.queries(spark, sf_dir).select(F.col("query_id").alias("id"), "query", (F.col("query_id") % 2 == 0).alias("enabled"))
+    after, _ = watch.scan_topics(topics, V.papers(spark, sf_dir), None, YEAR, F.lit("2026-01-01").cast("timestamp"), 10)
+    return after.select("watch_topic_id", "paper_id", F.round("rank_score", 9).alias("rank_score"), "is_new")
+
+
+def retrieval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each query of a candidate brought, with one feed out of reach."""
+    found, fetched, _, state = _reviewed(spark, sf_dir)
+    state = state.withColumn("warning", F.when(F.col("source") == "arxiv", "out of reach"))
+    log = critic.retrieval_log(critic.derive_queries(found), fetched, state, F.lit("2026-01-01").cast("timestamp"))
+    return log.select("id", "pos", "query", F.array_join("retrieved_paper_ids", ",").alias("ids"), F.col("result_count").cast("long").alias("result_count"), F.array_join("successful_sources", ",").alias("answered"), F.array_join("failed_sources", ",").alias("failed"))
+
+
+def appended_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders as reviews of their customers, numbered on from the filled ones; customers in debt are unknown."""
+    rows = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("candidate_id"), "o_orderkey", F.timestamp_seconds("o_orderkey").alias("created_at"), "o_orderstatus")
+    known = V.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    good, bad = critic.append_reviews(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'"), known)
+    return good.select("candidate_id", "o_orderkey", "review_version", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("candidate_id", "o_orderkey", F.lit(None).cast("int").alias("review_version"), "reason"))
+
+
+def reconciled_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cards that fold into a hundredth of them: the newest stays."""
+    cards = V.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("paper_id"), F.col("o_orderpriority").alias("problem"), F.timestamp_seconds("o_orderkey").alias("created_at"), F.col("o_orderdate").cast("timestamp").alias("updated_at")
+    )
+    ids = cards.select(F.col("paper_id").alias("old_id"), (F.col("paper_id").cast("long") % 100).cast("string").alias("new_id"))
+    return resolve.reconcile_cards(cards, ids)
+
+
+def reconciled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' event types as provenance that folds into 25 users: latest retrieval, the survivor's own url first."""
+    rows = V.table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("paper_id"), F.col("event_type").alias("provider")).agg(F.max("ts").alias("retrieved_at"), F.min("event_id").alias("e"))
+    rows = rows.select("paper_id", "provider", F.lit("x").alias("external_id"), "retrieved_at", F.when(F.col("e") % 3 == 0, "").otherwise(F.concat(F.lit("https://events.example/"), F.col("e").cast("string"))).alias("source_url"))
+    ids = rows.select(F.col("paper_id").alias("old_id")).distinct().withColumn("new_id", (F.col("old_id").cast("long") % 25).cast("string"))
+    return resolve.reconcile_sources(rows, ids)
+
+
+def picked_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch.pick_insight(V.varied_cards(spark, sf_dir))
+
+
+def first_fit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements grouped in the order they are read, each with the first group that it fits."""
+    statements = gaps.limitation_statements(gaps.build_facets(V.scoped_cards(spark, sf_dir)))
+    return gaps.group_statements(statements, mode="first_fit").select("topic", "paper_id", F.col("group").cast("long").alias("group"))
+
+
+def transfers_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = V.method_cards(spark, sf_dir)
+    return gaps.method_transfers(cards, gaps.build_facets(cards)).select("topic", "method", "dimension", "source", "target", "source_papers", "target_papers", "method_class", "feasibility", "confidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -342,5 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reconciled_discoveries, extraction_coverage, coverage_gaps, evaluation_gaps, method_transfers, contradictions, context_compatibility, statement_groups, theme_phrases, explicit_gaps, scan_claims,
         derive_queries, overlap_check, critic_decisions, track_discoveries, track_discoveries_stream, pending_notifications, notified_discoveries, digest_windows, digest_candidates, digest_activity,
         scan_state, digest_periods, detect_sections, select_sections, validate_evidence, text_gate, upsert_snapshot, parent_check, unique_names, cascade_delete, feed_counts, ingest_openalex,
+        ingest_arxiv, ingest_semantic_scholar, retrieved_gaps, analyzed_topics, analyzed_gaps, scanned_topics, retrieval_log, appended_reviews, reconciled_cards, reconciled_sources, picked_insights,
+        first_fit_groups, transfers_by_class,
     )
 }

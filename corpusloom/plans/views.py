@@ -79,6 +79,54 @@ def evaluated_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def claiming_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cards of their language; one in ten claims that its source improves under its condition."""
+    word = F.element_at(F.array(*map(F.lit, CONDITION_WORDS)), (F.col("n_chars") % len(CONDITION_WORDS) + 1).cast("int"))
+    null = F.lit(None).cast("string")
+    claim = F.struct(F.concat("source", F.lit(" improves under "), word).alias("claim"), null.alias("source_section"), null.alias("supporting_text"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("topic"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id"), F.col("doc_id").alias("paper_ord"),
+        *_card(main_claims=F.when(F.col("doc_id") % 10 == 0, F.array(claim)).otherwise(F.array().cast(CLAIMS))),
+    )
+
+
+#: A method of each class, and one of none.
+METHOD_NAMES = ["YOLO head", "Dropout", "SimCLR pretraining", "U-Net", "Focal loss", "Curriculum", "Plain averaging"]
+
+
+def method_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cards of their language: a method by length, the source as data, and one of five modalities."""
+    null = F.lit(None).cast("string")
+    modality = F.struct(F.concat(F.lit("Modality "), (F.col("n_chars") % 5).cast("string")).alias("value"), F.lit("observed").alias("status"), null.alias("source_section"), null.alias("supporting_text"))
+    method = F.element_at(F.array(*map(F.lit, METHOD_NAMES)), (F.col("n_chars") % len(METHOD_NAMES) + 1).cast("int"))
+    # the even lengths know no modality 4: it is there to move to
+    return table(spark, sf_dir, "documents").where("n_chars % 10 <> 4").select(
+        F.col("lang").alias("topic"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id"), F.col("doc_id").alias("paper_ord"),
+        *_card(methods=F.array(method), datasets=F.array("source"), modalities=F.array(modality)),
+    )
+
+
+def varied_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cards that have a contribution, a claim, a method or a limitation, or nothing, in turn."""
+    turn = F.col("doc_id") % 5
+    none = F.array().cast(STRINGS)
+    claim = F.struct(first_line().alias("claim"), F.lit("Results").alias("source_section"), F.lit(None).cast("string").alias("supporting_text"))
+    some = lambda k: F.when((turn == k) | (turn == 3), F.array(first_line())).otherwise(none)
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id"),
+        *_card(contributions=some(0), main_claims=F.when(turn == 1, F.array(claim)).otherwise(F.array().cast(CLAIMS)), methods=F.when(turn == 2, F.array("source")).otherwise(none), limitations=F.when(turn == 2, F.array("lang")).otherwise(none)),
+    )
+
+
+def document_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as gaps: title, text, and a question of title and source."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return docs.select(
+        F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("id"), first_line().alias("title"), F.col("text").alias("description"), F.concat_ws(" ", first_line(), "source").alias("research_question"),
+        F.timestamp_seconds(F.col("n_chars")).alias("created_at"),
+    )
+
+
 def order_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cards: parts by brand and size are methods, the suppliers' nations datasets."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")

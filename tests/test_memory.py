@@ -192,7 +192,7 @@ def test_packet_is_bounded(spark):
     links = memory.empty(spark, "project_papers")
     project = spark.createDataFrame([("p", "Name", None, None, ["k"], [], [], ["bad idea"], NOW, NOW)], memory.TABLES["projects"])
     out = search.evidence_packet(questions, evidence, found, papers, cards(spark).drop("topic", "paper_ord"), memory.empty(spark, "gap_candidates"), memory.empty(spark, "gap_reviews"), project, links, memory.empty(spark, "project_gaps")).first().packet
-    assert len(out) <= 8000 and out.startswith("--- Project Memory ---") and "REJECTED IDEAS" in out and out.index("Paper p0") < out.index("Paper p5")
+    assert len(out) <= 8000 and out.startswith("# Project") and "given up earlier" in out and out.index("Paper p0") < out.index("Paper p5")
 
 
 def test_sections(spark):
