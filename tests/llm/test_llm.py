@@ -96,6 +96,15 @@ def test_tree_merge_rounds(stored, fan_in):
     assert all(int.from_bytes(bytes(r.digest)[:4], "big") % n == r["at"] for r in got)
 
 
+def test_runs_of_many_batches(spark, stored):
+    want = Counter((r.doc_id, r.n) for r in exact_dedup.tree_merge(exact_dedup.digest_runs(stored), leaves=2).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert Counter((r.doc_id, r.n) for r in exact_dedup.tree_merge(exact_dedup.digest_runs(stored), leaves=2).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_equal_digests_need_proof(spark):
     rows = [(1, 3, b"d" * 32, 9, 5), (2, 2, b"d" * 32, 9, 5), (3, None, b"d" * 32, 9, 5), (4, 1, b"d" * 32, 9, 6), (5, 7, b"d" * 32, 8, 5)]
     runs = spark.createDataFrame([(r, d, bytearray(x), n, p) for r, d, x, n, p in rows], "rid bigint, doc_id bigint, digest binary, n_bytes bigint, proof bigint")
