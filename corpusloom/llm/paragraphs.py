@@ -289,7 +289,9 @@ def verbatim_passages(rows: DataFrame, docs: DataFrame, id_col: str, text_col: s
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "at")
     apart = lambda rid, at: (rid != F.col("head.rid")) | (at >= F.col("head.at") + n)
     heads = found.groupBy("h").agg(F.min(place).alias("head"), F.max(place).alias("last")).where(apart(F.col("last.rid"), F.col("last.at")))
-    held = found.join(heads.select("h", F.struct("head.doc_id", "head.rid", "head.at").alias("head")), "h").select("rid", "doc_id", "at", "head", apart(F.col("rid"), F.col("at")).alias("removed"))
+    # cut, so that the join deals out a hot anchor's places by itself
+    heads = cut_lineage(heads.select("h", F.struct("head.doc_id", "head.rid", "head.at").alias("head")))
+    held = found.join(heads, "h").select("rid", "doc_id", "at", "head", apart(F.col("rid"), F.col("at")).alias("removed"))
     order = W.partitionBy("rid", "removed").orderBy("at")
     new = F.coalesce(F.col("at") > F.lag("at").over(order) + k + 1, F.lit(True)).cast("int")
     held = held.withColumn("new", new).withColumn("run", F.sum("new").over(order).cast("int"))
