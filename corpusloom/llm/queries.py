@@ -87,7 +87,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
+#: The words of ``[0-9a-z]`` and all non-ASCII characters, A-Z in lower case.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _crc_table() -> str:
+    """The 256 remainders of CRC-32's byte-wise form, by its rule."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(str(x))
+    return ", ".join(out)
+
+
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+
 ORACLES: dict[str, str] = {
+    "op5_sharding": rf"""
+        WITH t AS (SELECT [{_crc_table()}]::UBIGINT[] AS crc),
+        b AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size,
+                     list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)) AS bytes FROM documents),
+        c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(crc[(xor(a, x) & 255)::BIGINT + 1], a >> 8)), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM b, t),
+        s AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::HUGEINT AS upto, sum(size) OVER ()::HUGEINT AS total FROM c),
+        h AS (SELECT *, least(((2 * upto - size) * 40) // (2 * total), 39)::INT AS shard FROM s)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM h""",
+    "op6_ngram_jaccard": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT rid, doc_id, CASE WHEN len(w) > 0 THEN list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [] END AS g FROM d),
+        x AS (SELECT rid, len(g) AS n, unnest(g) AS t FROM s),
+        p AS (SELECT a.rid AS u, b.rid AS v FROM x a JOIN x b ON a.t = b.t AND a.rid <> b.rid GROUP BY a.rid, b.rid, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-6),
+        reach(u, v) AS (SELECT u, v FROM p UNION SELECT reach.u, p.v FROM reach JOIN p ON reach.v = p.u),
+        c AS (SELECT u AS rid, min(doc_id) AS least FROM reach JOIN d ON v = d.rid GROUP BY u),
+        k AS (SELECT u AS rid, count(*) AS n_links FROM p GROUP BY u)
+        SELECT doc_id, least(doc_id, coalesce(c.least, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, len(g)::INT AS n_shingles FROM s LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)""",
+    "op7_license_scan": rf"""
+        WITH f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+                     concat_ws('/', coalesce(source, ''), coalesce(lang, ''), (doc_id % 100)::VARCHAR, doc_id || '.txt') AS path FROM documents),
+        hd AS (SELECT *, regexp_extract(text, '(?s)\A(.*?)(?:
+[ 	]*(?:
+|\z)|\z)', 1) AS header, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS dir FROM f),
+        pc AS (SELECT rid, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS piece FROM f
+               UNION ALL SELECT rid, header, -1 FROM hd WHERE contains(trim(header), chr(10))
+               UNION ALL SELECT rid, text, -2 FROM hd WHERE contains(trim(text), chr(10)) AND trim(header) <> trim(text)),
+        tm(template, license, body) AS (VALUES {_TEMPLATES}),
+        df AS (SELECT w, count(*) AS files FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM f) GROUP BY w),
+        n AS (SELECT count(*) AS n FROM f),
+        v AS (SELECT rid, piece, n_words, q.w, count(*) * (ln((1 + n) / (1 + coalesce(files, 0))) + 1) AS x
+              FROM (SELECT rid, piece, len(ws) AS n_words, unnest(ws) AS w FROM (SELECT rid, piece, regexp_extract_all(lower(body), '[a-z0-9]+') AS ws FROM pc)) q LEFT JOIN df ON df.w = q.w, n GROUP BY rid, piece, n_words, q.w, n, files),
+        tv AS (SELECT template, license, q.w, count(*) * (ln((1 + n) / (1 + coalesce(files, 0))) + 1) AS x
+               FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM tm) q LEFT JOIN df ON df.w = q.w, n GROUP BY template, license, q.w, n, files),
+        nv AS (SELECT rid, piece, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL), nt AS (SELECT template, sqrt(sum(x * x)) AS t_norm FROM tv GROUP BY ALL),
+        sc AS (SELECT rid, piece, n_words, license, sum(v.x * tv.x) / norm / t_norm AS score FROM v JOIN tv ON v.w = tv.w JOIN nv USING (rid, piece) JOIN nt USING (template) GROUP BY rid, piece, n_words, template, license, norm, t_norm),
+        bp AS (SELECT rid, piece, n_words, max({{'s': round(score, 9), 'l': license}}) AS best FROM sc WHERE score >= 0.8 GROUP BY ALL),
+        own AS (SELECT rid, max(best) AS best, greatest(sum(n_words) FILTER (piece >= 0), max(n_words) FILTER (piece < 0)) AS matched FROM bp GROUP BY rid),
+        sp AS (SELECT dir, max(best) AS best, first(path ORDER BY best.s DESC, path) AS license_path FROM own JOIN hd USING (rid) WHERE matched >= 0.5 * len(regexp_extract_all(lower(text), '[a-z0-9]+')) GROUP BY dir),
+        nr AS (SELECT a.dir, first(sp.best ORDER BY length(sp.dir) DESC) AS best, first(license_path ORDER BY length(sp.dir) DESC) AS license_path
+               FROM (SELECT DISTINCT dir FROM hd) a JOIN sp ON a.dir = sp.dir OR sp.dir = '' OR starts_with(a.dir, sp.dir || '/') GROUP BY a.dir)
+        SELECT doc_id, path, coalesce(own.best.l, nr.best.l) AS license, coalesce(own.best.s, nr.best.s) AS score, CASE WHEN own.rid IS NOT NULL THEN 'own' WHEN nr.dir IS NOT NULL THEN 'inherited' END AS origin,
+               CASE WHEN own.rid IS NOT NULL THEN path ELSE nr.license_path END AS license_path FROM hd LEFT JOIN own USING (rid) LEFT JOIN nr ON nr.dir = hd.dir""",
     "op3_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
                    UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),

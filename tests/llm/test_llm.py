@@ -298,6 +298,22 @@ def test_partners_of_settled_sets_meet_the_pivot(spark):
     assert not lost
 
 
+def test_links_across_sizes_in_large_buckets(spark, tmp_path):
+    # families of copies whose last word differs, with two shorter versions: the shortest is alike to the other one only
+    rnd = random.Random(15)
+    rows, short = [], []
+    for _ in range(6):
+        words = [f"w{rnd.randrange(10**8)}" for _ in range(103)]
+        rows += [(len(rows) + i, " ".join([*words, f"e{rnd.randrange(10**9)}"])) for i in range(300)]
+        short.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(words[:88])), (len(rows) + 1, " ".join(words[:72]))]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(path)
+    got = {r.doc_id: r for r in jaccard_join.near_classes(spark.read.parquet(path)).collect()}
+    assert all((got[x].n_links, got[y].n_links) == (301, 1) for x, y in short)
+    assert all(got[i].n_links == 300 for i in range(300)) and len({r.class_id for r in got.values()}) == 6
+
+
 def test_runs_grow_with_recall():
     assert jaccard_join.runs_for(0.9, 0.8, 1) < jaccard_join.runs_for(0.999, 0.8, 1) < jaccard_join.runs_for(0.999, 0.8, 4)
 
