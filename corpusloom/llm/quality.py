@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.components import cut_lineage
+from ..operators.components import cut_lineage, few
 from .jaccard_join import shingles
 from .rows import without
 from .words import split_words, texts
@@ -23,7 +23,6 @@ LEAST_G2 = 40.0
 PURE = 0.7
 PREFIXES = (4, 5, 6)
 PENALTY = 1.0
-BROADCAST_ROWS = 100_000
 
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes(range(0x61, 0x7B))
@@ -224,24 +223,22 @@ def _strength(n: str, s: str, mean: F.Column) -> F.Column:
     n, s = F.col(n).cast("double"), F.col(s)
     within = mean * (1 - mean)
     between = F.sum((s / n - mean) ** 2 * n - within) / F.sum(n)
-    return F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.max(within) / F.greatest(between, F.lit(1e-9)) - 1))
+    return F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.sum(n * within) / F.sum(n) / F.greatest(between, F.lit(1e-9)) - 1))
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """host, path, path_p, host_p and global_p: shares of good documents, each shrunk toward the level above."""
-    good = (1 - F.col("p_bad")) * (1 - F.col("p_toxic"))
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("s"))
+    """host, path, global_p, host_p and path_p: shares of good documents, each shrunk toward the level above; and the sums they are made of.
+
+    ``scored`` has host, path and good: a label, or the classifier's probability.
+    """
+    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("h_n"), F.sum("s").alias("h_s"))
     whole = hosts.agg((F.sum("h_s") / F.sum("h_n")).alias("global_p"))
-    host_prior = hosts.join(F.broadcast(whole)).agg(F.max("global_p").alias("global_p"), _strength("h_n", "h_s", F.col("global_p")).alias("k_host"))
-    shrunk = hosts.join(F.broadcast(host_prior)).select(
-        "host", "global_p", ((F.col("h_s") + F.col("k_host") * F.col("global_p")) / (F.col("h_n") + F.col("k_host"))).alias("host_p")
-    )
+    prior = hosts.join(F.broadcast(whole)).agg(F.max("global_p").alias("global_p"), _strength("h_n", "h_s", F.col("global_p")).alias("k_host"))  # one row
+    shrunk = hosts.join(F.broadcast(prior)).withColumn("host_p", (F.col("h_s") + F.col("k_host") * F.col("global_p")) / (F.col("h_n") + F.col("k_host")))
     joined = paths.join(shrunk, "host")
     path_prior = joined.agg(_strength("n", "s", F.col("host_p")).alias("k_path"))  # one row
-    return joined.join(F.broadcast(path_prior)).select(
-        "host", "path", "global_p", "host_p", ((F.col("s") + F.col("k_path") * F.col("host_p")) / (F.col("n") + F.col("k_path"))).alias("path_p")
-    )
+    return joined.join(F.broadcast(path_prior)).withColumn("path_p", (F.col("s") + F.col("k_path") * F.col("host_p")) / (F.col("n") + F.col("k_path")))
 
 
 def classify(
@@ -250,23 +247,29 @@ def classify(
     """rid, doc_id, p_document, host_p, path_p, score and kept for every row of ``docs``.
 
     The classifier gives each document a probability of being good (neither of bad
-    quality nor toxic) from its whole text. Summed by path and host these give
-    posterior means, shrunk toward the host's and the global mean as if that many
-    more documents had been seen as the spread between groups says. The document's
-    odds are then moved by the path's odds over the global ones; kept are scores
+    quality nor toxic) from its whole text. Labels where there are any, these probabilities elsewhere, summed up
+    by path and host, give posterior means, shrunk toward the host's and the global mean as if that many
+    more documents had been seen as the spread between groups says. A document's
+    odds are then moved by the odds of its path's other documents over the global ones; kept are scores
     of a half and more. Null hosts and paths are one group of
-    their own; null texts count as empty; repeated rows are all judged. No rows
-    give no rows. Other columns are ignored.
+    their own; null texts count as empty; repeated rows are all judged; a document labelled more than once
+    counts as bad if one label says so. No rows give no rows. Other columns are ignored.
     """
     model = train(docs, labels, id_col, text_col, rows)
-    scored = cut_lineage(score_documents(docs, model, id_col, text_col, host_col, path_col))
-    sites = cut_lineage(site_posteriors(scored))
-    logit = lambda p: F.log(p / (1 - p))
+    scored = score_documents(docs, model, id_col, text_col, host_col, path_col)
+    named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+    named = cut_lineage(named.groupBy("doc_id").agg((1.0 - F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("double"))).alias("label")))
     inside = lambda p: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))
     p = inside((1 - F.col("p_bad")) * (1 - F.col("p_toxic")))
-    joined = scored.join(F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites, ["host", "path"])
-    score = 1 / (1 + F.exp(-(logit(p) + logit(inside(F.col("path_p"))) - logit(inside(F.col("global_p"))))))
-    return joined.select("rid", "doc_id", "host", "path", p.alias("p_document"), "host_p", "path_p", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
+    scored = cut_lineage(scored.join(few(named), "doc_id", "left").withColumn("p_document", p).withColumn("good", F.coalesce("label", "p_document")))
+    sites = cut_lineage(site_posteriors(scored))
+    logit = lambda p: F.log(p / (1 - p))
+    joined = scored.join(few(sites, F.length("host") + F.length("path")), ["host", "path"])
+    # the document itself says nothing of its site
+    host = (F.col("h_s") - F.col("good") + F.col("k_host") * F.col("global_p")) / (F.col("h_n") - 1 + F.col("k_host"))
+    path = (F.col("s") - F.col("good") + F.col("k_path") * host) / (F.col("n") - 1 + F.col("k_path"))
+    score = 1 / (1 + F.exp(-(logit(F.col("p_document")) + logit(inside(path)) - logit(inside(F.col("global_p"))))))
+    return joined.select("rid", "doc_id", "host", "path", "p_document", "host_p", "path_p", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:

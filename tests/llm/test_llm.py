@@ -465,7 +465,7 @@ def test_quality(spark, empty):
 
 def test_sparse_sites_shrink(spark):
     rows = [("big", "a", 0.1)] * 400 + [("bad", "a", 0.9)] * 400 + [("tiny", "a", 0.9)] + [("big", "b", 0.1)] * 2
-    scored = spark.createDataFrame([(h, p, x, 0.0) for h, p, x in rows], "host string, path string, p_bad double, p_toxic double")
+    scored = spark.createDataFrame([(h, p, 1 - x) for h, p, x in rows], "host string, path string, good double")
     got = {(r.host, r.path): r for r in quality.site_posteriors(scored).collect()}
     assert got["big", "a"].path_p > 0.85 > got["bad", "a"].path_p + 0.6
     assert got["bad", "a"].host_p < got["tiny", "a"].host_p < got["tiny", "a"].global_p
