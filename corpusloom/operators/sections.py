@@ -45,25 +45,30 @@ def section_order(name: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SECTIONS)), name)
 
 
+#: Where a text is cut into lines, as Python's splitlines does.
+BREAKS = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def detect_sections(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, ord, section, body): the first heading of each name opens a section, which goes on to the next opened one."""
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text_col), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")).alias("pos", "raw"))
-    lines = lines.select("doc", "pos", normalized_line(F.col("raw")).alias("line"))
-    alone = section_name(F.col("line"))
-    lead = section_name(F.regexp_extract("line", INLINE, 1))
-    lines = lines.withColumn("name", F.when(F.col("line") != "", F.coalesce(alone, lead))).withColumn(
-        "inline", F.when(F.col("name").isNotNull() & alone.isNull(), normalized_line(F.regexp_extract("line", INLINE, 2)))
-    )
-    # documents without any heading leave before the windows
-    with_any = lines.where("name IS NOT NULL").select("doc").distinct()
-    lines = lines.join(with_any, "doc", "left_semi")
-    first = F.row_number().over(W.partitionBy("doc", "name").orderBy("pos")) == 1
-    opened = lines.withColumn("opens", F.col("name").isNotNull() & first)
-    upto = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    held = opened.withColumn("section", F.last(F.when(F.col("opens"), F.col("name")), ignorenulls=True).over(upto)).where("section IS NOT NULL")
-    part = F.when(F.col("opens"), F.col("inline")).otherwise(F.col("line"))
-    bodies = held.withColumn("part", part).where("part <> ''").groupBy("doc", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
-    return bodies.select("doc", section_order(F.col("section")).cast("int").alias("ord"), "section", F.array_join(F.transform("parts", lambda p: p["part"]), "\n").alias("body"))
+    """(doc, ord, section, body): the first heading of each name opens a section, which goes on to the next opened one.
+
+    Texts are taken in compatibility form. A text's lines stay together in its row: no more than one row
+    for each section leaves it, and nothing is shuffled.
+    """
+    lines = docs.select(F.col(key).alias("doc"), T.nfkc(F.col(text_col)).alias("t"))
+    lines = lines.select("doc", F.transform(F.split("t", BREAKS), normalized_line).alias("lines"))
+    name = lambda x: F.when(x != "", F.coalesce(section_name(x), section_name(F.regexp_extract(x, INLINE, 1))))
+    named = lines.withColumn("names", F.transform("lines", name))
+    at = lambda section: F.array_position("names", F.lit(section)).cast("int")
+    first = [F.when(at(x) > 0, F.struct(at(x).alias("pos"), F.lit(i + 1).alias("ord"), F.lit(x).alias("section"))) for i, x in enumerate(SECTIONS)]
+    opened = named.select("doc", "lines", F.array_sort(F.array_compact(F.array(*first))).alias("opened"))
+    rows = opened.select("doc", "lines", F.transform("opened", lambda o: o["pos"]).alias("starts"), F.posexplode("opened").alias("i", "o"))
+    head = F.element_at("lines", F.col("o.pos"))
+    inline = F.when(section_name(head).isNull(), normalized_line(F.regexp_extract(head, INLINE, 2)))
+    end = F.coalesce(F.try_element_at("starts", F.col("i") + 2), F.size("lines") + 1)
+    parts = F.concat(F.array_compact(F.array(inline)), F.slice("lines", F.col("o.pos") + 1, end - F.col("o.pos") - 1))
+    body = F.array_join(F.filter(parts, lambda x: x != ""), "\n")
+    return rows.select("doc", "o.ord", "o.section", body.alias("body")).where("body <> ''")
 
 
 def excerpt(x: Column, limit: Column) -> Column:

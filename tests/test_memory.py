@@ -195,6 +195,12 @@ def test_packet_is_bounded(spark):
     assert len(out) <= 8000 and out.startswith("# Project") and "given up earlier" in out and out.index("Paper p0") < out.index("Paper p5")
 
 
+def test_headings_in_compatibility_form(spark):
+    docs = spark.createDataFrame([(1, "\uff32\uff45\uff53\uff55\uff4c\uff54\uff53\u2028one\r\ntwo\x0bMethod: three\nResults\nfour"), (2, None), (3, ""), (4, "Abstract\n\n"), (4, "Abstract\nx")], "doc_id bigint, text string")
+    got = {(r.doc, r.ord, r.section, r.body) for r in sections.detect_sections(docs).collect()}
+    assert got == {(1, 6, "Results", "one\ntwo"), (1, 4, "Method", "three\nResults\nfour"), (4, 1, "Abstract", "x")}
+
+
 def test_sections(spark):
     text = "Abstract: A concise abstract.\n1. Introduction\nintro line\nII. Methodology\nmethod line\n3 Results\nresult line\nMethods\nmore\nReferences\n[1]"
     docs = spark.createDataFrame([(1, text), (2, "no headings at all"), (3, None)], "doc_id int, text string")
