@@ -57,7 +57,8 @@ def detect_sections(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     """
     lines = docs.select(F.col(key).alias("doc"), T.nfkc(F.col(text_col)).alias("t"))
     lines = lines.select("doc", F.transform(F.split("t", BREAKS), normalized_line).alias("lines"))
-    name = lambda x: F.when(x != "", F.coalesce(section_name(x), section_name(F.regexp_extract(x, INLINE, 1))))
+    lead = lambda x: F.when(x.rlike(r"[:\-–—]\s"), section_name(F.regexp_extract(x, INLINE, 1)))
+    name = lambda x: F.when(x != "", F.coalesce(section_name(x), lead(x)))
     named = lines.withColumn("names", F.transform("lines", name))
     at = lambda section: F.array_position("names", F.lit(section)).cast("int")
     first = [F.when(at(x) > 0, F.struct(at(x).alias("pos"), F.lit(i + 1).alias("ord"), F.lit(x).alias("section"))) for i, x in enumerate(SECTIONS)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
+from .components import few
 from .upsert import check_parents
 
 
@@ -89,13 +90,15 @@ def pick_insight(cards: DataFrame) -> DataFrame:
 def digest_candidates(papers: DataFrame, discoveries: DataFrame, topics: DataFrame, periods: DataFrame) -> DataFrame:
     """(period_start, rank, paper_id, topic_names, highest_rank): papers first discovered, or first seen by a topic, in each period [start, end).
 
-    Order: highest rank (none and 0 count as -1), latest discovery, title. ``periods`` has period_start and period_end; it is short: a row for each digest.
+    Order: highest rank (none and 0 count as -1), latest discovery, title. ``periods`` has period_start and period_end.
     """
-    periods = F.broadcast(periods.select("period_start", "period_end"))
-    inside = lambda c: (F.col(c) >= F.col("period_start")) & (F.col(c) < F.col("period_end"))
-    by_paper = papers.select(F.col("id").alias("paper_id"), "first_discovered_at").join(periods, inside("first_discovered_at")).select("period_start", "paper_id")
+    # a period is met by its days, then exactly
+    day = F.explode(F.sequence(F.date_trunc("day", "period_start"), F.date_trunc("day", "period_end"), F.expr("INTERVAL 1 day")))
+    days = few(periods.where("period_start <= period_end").select("period_start", "period_end", day.alias("day")))
+    within = lambda df, c: df.withColumn("day", F.date_trunc("day", c)).join(days, "day").where((F.col(c) >= F.col("period_start")) & (F.col(c) < F.col("period_end")))
+    by_paper = within(papers.select(F.col("id").alias("paper_id"), "first_discovered_at"), "first_discovered_at").select("period_start", "paper_id")
     named = discoveries.join(topics.select(F.col("id").alias("watch_topic_id"), F.col("name").alias("topic")), "watch_topic_id")
-    seen = named.join(periods, inside("first_seen_at")).groupBy("period_start", "paper_id").agg(F.array_sort(F.collect_set("topic")).alias("topic_names"), F.max("rank_score").alias("highest_rank"))
+    seen = within(named, "first_seen_at").groupBy("period_start", "paper_id").agg(F.array_sort(F.collect_set("topic")).alias("topic_names"), F.max("rank_score").alias("highest_rank"))
     rows = by_paper.union(seen.select("period_start", "paper_id")).distinct().join(seen, ["period_start", "paper_id"], "left")
     rows = rows.join(papers.select(F.col("id").alias("paper_id"), "title", "first_discovered_at"), "paper_id")
     rank = F.coalesce(F.nullif("highest_rank", F.lit(0.0)), F.lit(-1.0))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import re
 
-from ..functions.text import ABSOLUTE_PHRASES, STOP_WORDS
+from ..functions.text import ABSOLUTE_PATTERNS, ABSOLUTE_PHRASES, CORPUS_SCOPED, STOP_WORDS
 from ..operators.critic import QUESTION_STOPS
 from ..operators.gaps import CLASSES, CONDITIONS, FEASIBILITY, FORMATS, GENERIC, NEGATIVE, POSITIVE
 from ..operators.sections import SECTIONS
-from .views import CONDITION_WORDS, HEADINGS, METHOD_NAMES
+from .views import CLAIM_TAILS, CONDITION_WORDS, HEADINGS, METHOD_NAMES
 
 
 def _list(values: list[str]) -> str:
@@ -217,6 +217,12 @@ OVERLAPS = rf"""{DERIVED}, ot AS (SELECT id AS cid, pos, unnest({parts("query")}
       ov AS (SELECT id, paper_id, len(list_intersect(kt, pt))::BIGINT AS shared FROM fp JOIN kw USING (id) WHERE NOT list_contains(support, paper_id) AND len(list_intersect(kt, pt)) >= 3)"""
 
 
+def _rewritten(x: str) -> str:
+    for pattern in ABSOLUTE_PATTERNS:
+        x = f"regexp_replace({x}, '{pattern}', '{CORPUS_SCOPED}', 'gi')"
+    return x
+
+
 ORACLES: dict[str, str] = {
     "lexical_topk": f"WITH {scores(False)} SELECT query_id, rank, id AS paper_id, score FROM r WHERE rank <= 10",
     "rank_components": f"""WITH {scores(False)},
@@ -375,4 +381,43 @@ ORACLES: dict[str, str] = {
       fs(method_class, dimension, feasibility) AS (VALUES {", ".join(f"('{c}', '{d}', {x}::DOUBLE)" for c, ds in FEASIBILITY.items() for d, x in ds.items())})
       SELECT cl.lang AS topic, method, dimension, value AS source, target, n AS source_papers, target_papers, method_class, feasibility, round(least(0.8, feasibility * 0.8), 2) AS confidence
       FROM cl JOIN fs USING (method_class, dimension) JOIN t USING (lang, dimension) WHERE target <> value AND NOT EXISTS (SELECT 1 FROM k o WHERE o.lang = cl.lang AND o.method = cl.method AND o.dimension = cl.dimension AND o.value = target)""",
+    "cleaned_papers": f"""WITH {PAPERS} SELECT id, 'T' || id AS title, venue, venue AS authors, CASE WHEN ord % 7 <> 0 THEN cites::INT END AS citation_count, '{{"doi":"' || id || '"}}' AS external_ids FROM papers WHERE ord % 50 <> 0""",
+    "names_and_links": f"""WITH {PAPERS} SELECT id, 'topic ' || lower(venue) || ' ' || lang AS name, 'https://doi.org/' || doi AS link FROM papers WHERE doi IS NOT NULL
+      UNION ALL SELECT id, 'topic ' || lower(venue) || ' ' || lang, 'https://papers.example/' || ord FROM papers WHERE doi IS NULL""",
+    "rewritten_claims": f"""WITH t AS (SELECT doc_id, text || ({_list(CLAIM_TAILS)})[doc_id % {len(CLAIM_TAILS)} + 1] AS x FROM documents), y AS (SELECT doc_id, {_rewritten("x")} AS t FROM t)
+      SELECT doc_id, length(t) AS n, sha256(t) AS digest FROM y""",
+    "latest_reviews": "SELECT o_custkey AS candidate_id, max(o_orderkey) AS review_version, last(o_orderstatus ORDER BY o_orderkey) AS decision, last(o_orderpriority ORDER BY o_orderkey) AS rationale FROM orders GROUP BY 1",
+    "candidate_details": """SELECT c_custkey AS id, CASE WHEN count(o_orderkey) > 0 THEN count(o_orderkey) END AS n, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS decisions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
+    "listed_candidates": "SELECT c_custkey AS id, c_mktsegment AS gap_type, to_timestamp(c_custkey % 100)::TIMESTAMP AS created_at FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey % 100 DESC, c_custkey LIMIT 20",
+    "updated_status": """WITH l AS (SELECT o_custkey + 100 AS id, last(o_orderstatus ORDER BY o_orderkey) AS s, last(o_totalprice ORDER BY o_orderkey) AS p FROM orders GROUP BY 1)
+      SELECT c_custkey AS id, c_mktsegment AS gap_type, coalesce(s, 'open') AS review_status, coalesce(p, c_acctbal) AS confidence FROM customer LEFT JOIN l ON id = c_custkey""",
+    "upserted_cards": """WITH o AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), n AS (SELECT *, split_part(text, chr(10), 1) AS line, CASE WHEN doc_id % 4 = 0 THEN 'given' END AS url FROM documents WHERE doc_id % 2 = 0),
+      a AS (SELECT * FROM n WHERE lang <> 'de')
+      SELECT 'd' || coalesce(o.doc_id, a.doc_id) AS paper_id, coalesce(a.line, 'old') AS problem, coalesce(a.url, o.source) AS source_url, coalesce(a.source, o.lang) AS sections,
+        coalesce(to_timestamp(o.doc_id)::TIMESTAMP, TIMESTAMP '2026-01-01') AS created_at, CASE WHEN a.doc_id IS NULL THEN to_timestamp(o.doc_id)::TIMESTAMP ELSE TIMESTAMP '2026-01-01' END AS updated_at, NULL::VARCHAR AS reason
+      FROM o FULL JOIN a ON o.doc_id = a.doc_id
+      UNION ALL SELECT 'd' || doc_id, line, url, source || ',' || source, TIMESTAMP '2026-01-01', TIMESTAMP '2026-01-01', 'unknown paper_id' FROM n WHERE lang = 'de'""",
 }
+
+
+def _short(x: str, n: int) -> str:
+    return f"(CASE WHEN length({x}) <= {n} THEN {x} ELSE substr({x}, 1, {n - 3}) || '...' END)"
+
+
+_CLAIM = "split_part(d.text, chr(10), 1) || CASE WHEN quality = 1 THEN ' improves' ELSE ' degrades' END"
+ORACLES["evidence_packets"] = f"""WITH ev AS ({ORACLES["evidence_retrieval"]}), gv AS ({ORACLES["retrieved_gaps"]}),
+      asked AS (SELECT item_id AS question_id, 'p' || item_id % 3 AS project_id FROM benchmark), pj AS (SELECT DISTINCT 'p' || doc_id % 3 AS id FROM labels),
+      bp AS (SELECT question_id, 0 AS part, 0 AS rank, concat_ws(chr(10), '# Project', 'name: Project ' || id, 'goal: ' || CASE WHEN id <> 'p0' THEN 'Goal of ' || id ELSE 'none' END, 'keywords: key, ' || id, 'constraints: few papers',
+        CASE WHEN id = 'p1' THEN 'given up earlier, not to be proposed again: an old idea' END) AS text FROM asked JOIN pj ON id = project_id),
+      pp AS (SELECT question_id, 1 AS part, rank, concat_ws(chr(10), '# Paper ' || paper_id, 'title: ' || split_part(d.text, chr(10), 1), 'abstract: ' || {_short("coalesce(nullif(d.text, ''), 'none')", 300)},
+          CASE WHEN 'p' || doc_id % 3 = project_id AND quality IS NOT NULL THEN 'relation to the project: ' || CASE WHEN toxic = 1 THEN 'seed, note: read first' WHEN quality = 0 THEN 'background, note: none' ELSE 'other, note: none' END END,
+          CASE WHEN quality IS NOT NULL THEN concat_ws(chr(10), 'methods: ' || source, 'data: ' || lang, 'claims: "' || {_short(_CLAIM, 100)} || '" [Section]', 'limitations: ' || nullif(split_part(d.text, chr(10), 1), '')) END) AS text
+        FROM ev JOIN asked USING (question_id) JOIN documents d ON 'd' || doc_id = paper_id LEFT JOIN labels USING (doc_id)),
+      gg AS (SELECT question_id, 2 AS part, rank, concat_ws(chr(10), '# Gap ' || candidate_id, 'title: ' || split_part(d.text, chr(10), 1), 'kind: explicit', 'review: pending', 'confidence: ' || CASE WHEN doc_id % 2 = 0 THEN '0.5' ELSE 'unknown' END,
+          'question: ' || {_short("split_part(d.text, chr(10), 1) || ' ' || source", 200)}, 'description: ' || {_short("d.text", 200)},
+          CASE WHEN 'p' || doc_id % 3 = project_id AND toxic = 1 THEN 'status in the project: rejected (closed, no open gap any more)' WHEN 'p' || doc_id % 3 = project_id AND quality = 0 THEN 'status in the project: interesting (open)' END,
+          CASE WHEN doc_id % 2 = 0 THEN 'last review, version 2: downgraded; ' || {_short("split_part(d.text, chr(10), 1)", 150)} || '; caveats: ' || source || ', ' || lang END) AS text
+        FROM gv JOIN asked USING (question_id) JOIN documents d ON 'g' || doc_id = candidate_id LEFT JOIN labels USING (doc_id)),
+      al AS (SELECT question_id, part, rank, text FROM bp UNION ALL SELECT question_id, part, rank, {_short("text", 600)} FROM pp UNION ALL SELECT question_id, part, rank, {_short("text", 600)} FROM gg),
+      pk AS (SELECT question_id, string_agg(text, chr(10) || chr(10) ORDER BY part, rank) AS p FROM al GROUP BY 1), tr AS (SELECT question_id, {_short("p", 8000)} AS p FROM pk)
+      SELECT item_id AS question_id, length(coalesce(p, '')) AS n, sha256(coalesce(p, '')) AS digest FROM benchmark LEFT JOIN tr ON item_id = question_id"""

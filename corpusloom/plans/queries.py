@@ -359,12 +359,25 @@ def ingest_semantic_scholar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.semantic_scholar_papers(records).select("id", "title", F.sha2("abstract", 256).alias("abstract"), F.array_join("authors", ",").alias("authors"), "publication_year", "venue", "doi", "url", "citation_count", F.to_json("external_ids").alias("external_ids"))
 
 
-def retrieved_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gaps of labelled documents for each item; a toxic one is rejected, one of bad quality interesting, in its project."""
-    links = V.table(spark, sf_dir, "labels").where("quality = 0 OR toxic = 1").select(
+def _gap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "labels").where("quality = 0 OR toxic = 1").select(
         F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("project_id"), F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("candidate_id"), F.when(F.col("toxic") == 1, "rejected").otherwise("interesting").alias("status")
     )
-    return search.retrieve_gaps(_questions(spark, sf_dir), V.document_gaps(spark, sf_dir), links)
+
+
+def retrieved_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps of labelled documents for each item; a toxic one is rejected, one of bad quality interesting, in its project."""
+    return search.retrieve_gaps(_questions(spark, sf_dir), V.document_gaps(spark, sf_dir), _gap_links(spark, sf_dir))
+
+
+def evidence_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an answer to each item would be given: its project, found papers and found gaps."""
+    links = _links(spark, sf_dir).withColumn("note", F.when(F.col("relation") == "seed", "read first"))
+    packets = search.evidence_packet(
+        _questions(spark, sf_dir), evidence_retrieval(spark, sf_dir), retrieved_gaps(spark, sf_dir), V.papers(spark, sf_dir), V.document_cards(spark, sf_dir), V.document_gaps(spark, sf_dir), V.gap_reviews(spark, sf_dir),
+        V.projects(spark, sf_dir), links, _gap_links(spark, sf_dir),
+    )
+    return packets.select("question_id", F.length("packet").cast("long").alias("n"), F.sha2("packet", 256).alias("digest"))
 
 
 def analyzed_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,6 +452,73 @@ def transfers_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.method_transfers(cards, gaps.build_facets(cards)).select("topic", "method", "dimension", "source", "target", "source_papers", "target_papers", "method_class", "feasibility", "confidence")
 
 
+def cleaned_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with padded strings, blank authors and identifiers and negative counts, cleaned; one in fifty has no title."""
+    pad = lambda x: F.concat(F.lit("  "), x, F.lit(" "))
+    rough = V.papers(spark, sf_dir).withColumns(
+        {
+            "title": F.when(F.col("ord") % 50 == 0, "  ").otherwise(pad(F.concat(F.lit("T"), "id"))), "venue": pad(F.col("venue")), "authors": F.array(pad(F.col("authors")[0]), F.lit(" "), F.lit(None).cast("string")),
+            "citation_count": F.when(F.col("ord") % 7 == 0, -1).otherwise(F.col("citation_count")), "external_ids": F.create_map(F.lit(" DOI "), pad(F.col("id")), F.lit("blank"), F.lit(" "), F.lit("none"), F.lit(None).cast("string")),
+        }
+    )
+    return feeds.clean_papers(rough).select("id", "title", "venue", F.array_join("authors", ",").alias("authors"), "citation_count", F.to_json("external_ids").alias("external_ids"))
+
+
+def names_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = V.papers(spark, sf_dir)
+    return papers.select("id", T.norm_name(F.concat(F.lit(" Topic  "), F.upper("venue"), F.lit("\t"), F.col("authors")[1])).alias("name"), T.canonical_link(F.col("doi"), F.col("url")).alias("link"))
+
+
+def rewritten_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that claim too much at their end, rewritten."""
+    tail = F.element_at(F.array(*map(F.lit, V.CLAIM_TAILS)), (F.col("doc_id") % len(V.CLAIM_TAILS) + 1).cast("int"))
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", T.rewrite_claims(F.concat("text", tail)).alias("t"))
+    return docs.select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("digest"))
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("review_version"), F.col("o_orderstatus").alias("decision"), F.col("o_orderpriority").alias("rationale"))
+
+
+def latest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reviews of their customers: the last of each."""
+    return search.latest_reviews(_reviews(spark, sf_dir)).select("candidate_id", "review_version", "decision", "rationale")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("gap_type"), F.lit("open").alias("review_status"), F.col("c_acctbal").alias("confidence"), F.timestamp_seconds(F.col("c_custkey") % 100).alias("created_at")
+    )
+
+
+def candidate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gaps.candidate_detail(_customers(spark, sf_dir), _reviews(spark, sf_dir))
+    return found.select("id", F.size("reviews").cast("long").alias("n"), F.array_join(F.transform("reviews", lambda r: r["decision"]), "").alias("decisions"))
+
+
+def listed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.list_candidates(_customers(spark, sf_dir), "BUILDING", 20).select("id", "gap_type", "created_at")
+
+
+def updated_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' status by the last of their orders; orders of others are left out."""
+    patches = V.table(spark, sf_dir, "orders").select((F.col("o_custkey") + 100).alias("id"), F.col("o_orderstatus").alias("review_status"), F.col("o_totalprice").alias("confidence"), F.col("o_orderkey").alias("ord"))
+    return gaps.update_status(_customers(spark, sf_dir), patches).select("id", "gap_type", "review_status", "confidence")
+
+
+def upserted_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents' cards, then a card for each second document; those of documents in German are of unknown papers."""
+    docs = V.table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id")
+    stored = docs.join(V.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(name, F.lit("old").alias("problem"), F.col("source").alias("source_url"), F.array("lang").alias("selected_sections"), F.timestamp_seconds("doc_id").alias("created_at"), F.timestamp_seconds("doc_id").alias("updated_at"))
+    now = F.lit("2026-01-01").cast("timestamp")
+    incoming = docs.where("doc_id % 2 = 0").select(name, V.first_line().alias("problem"), F.when(F.col("doc_id") % 4 == 0, "given").alias("source_url"), F.array("source", "source").alias("selected_sections"), now.alias("created_at"), now.alias("updated_at"), F.lit(1).alias("ord"))
+    known = docs.where("lang <> 'de'").select(name.alias("id"))
+    cards, rejected = sections.upsert_cards(stored, incoming, known)
+    out = cards.select("paper_id", "problem", "source_url", F.array_join("selected_sections", ",").alias("sections"), "created_at", "updated_at", F.lit(None).cast("string").alias("reason"))
+    return out.unionByName(rejected.select("paper_id", "problem", "source_url", F.array_join("selected_sections", ",").alias("sections"), "created_at", "updated_at", "reason"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -447,6 +527,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         derive_queries, overlap_check, critic_decisions, track_discoveries, track_discoveries_stream, pending_notifications, notified_discoveries, digest_windows, digest_candidates, digest_activity,
         scan_state, digest_periods, detect_sections, select_sections, validate_evidence, text_gate, upsert_snapshot, parent_check, unique_names, cascade_delete, feed_counts, ingest_openalex,
         ingest_arxiv, ingest_semantic_scholar, retrieved_gaps, analyzed_topics, analyzed_gaps, scanned_topics, retrieval_log, appended_reviews, reconciled_cards, reconciled_sources, picked_insights,
-        first_fit_groups, transfers_by_class,
+        first_fit_groups, transfers_by_class, cleaned_papers, names_and_links, rewritten_claims, latest_reviews, candidate_details, listed_candidates, updated_status, upserted_cards, evidence_packets,
     )
 }

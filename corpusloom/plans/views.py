@@ -90,6 +90,8 @@ def claiming_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Ends of texts that claim too much, or don't.
+CLAIM_TAILS = [" No  one has studied it.", " This is THE first of them.", " no research exists; nobody has ever looked", " The first paper to do so.", " This was the first."]
 #: A method of each class, and one of none.
 METHOD_NAMES = ["YOLO head", "Dropout", "SimCLR pretraining", "U-Net", "Focal loss", "Curriculum", "Plain averaging"]
 
@@ -123,7 +125,24 @@ def document_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     return docs.select(
         F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("id"), first_line().alias("title"), F.col("text").alias("description"), F.concat_ws(" ", first_line(), "source").alias("research_question"),
-        F.timestamp_seconds(F.col("n_chars")).alias("created_at"),
+        F.timestamp_seconds(F.col("n_chars")).alias("created_at"), F.lit("explicit").alias("gap_type"), F.lit("pending").alias("review_status"), F.when(F.col("doc_id") % 2 == 0, 0.5).alias("confidence"),
+    )
+
+
+def gap_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reviews of every second document's gap."""
+    decision = F.element_at(F.array(F.lit("preserved"), F.lit("downgraded")), F.col("review_version"))
+    rows = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").withColumn("review_version", F.explode(F.array(F.lit(1), F.lit(2))))
+    return rows.select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("candidate_id"), "review_version", decision.alias("decision"), first_line().alias("rationale"), F.array("source", "lang").alias("caveats"))
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three projects that share the labelled documents."""
+    none = F.array().cast(STRINGS)
+    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("id")).distinct()
+    return rows.select(
+        "id", F.concat(F.lit("Project "), "id").alias("name"), F.when(F.col("id") != "p0", F.concat(F.lit("Goal of "), "id")).alias("goal"), F.array(F.lit("key"), F.col("id")).alias("keywords"),
+        none.alias("hypotheses"), F.array(F.lit("few papers")).alias("constraints"), F.when(F.col("id") == "p1", F.array(F.lit("an old idea"))).otherwise(none).alias("rejected_ideas"),
     )
 
 

@@ -1,8 +1,13 @@
 """The research memory's operators on hand-made rows."""
 
+import os
 import random
+import shutil
+import subprocess
+import sys
 from collections import defaultdict
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -410,7 +415,37 @@ def test_snapshots(spark, tmp_path):
     assert path.endswith("v=1") and memory.read_snapshot(spark, str(tmp_path), "papers", 1).first().id == "m1"
 
 
-def test_entry_without_the_subpackage():
-    import __spark_entry__ as entry
-
-    assert {"lexical_topk", "coverage_gaps"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+def test_statement_links_as_brute_force(spark):
+    rnd = random.Random(3)
+    words = [a + b for a in "bcdfg" for b in ("al", "em", "in", "or")]
+    rows = [(f"t{k % 3}", f"p{k}", "limitations[0]", " ".join(rnd.sample(words, rnd.choice([1, 1, 2, 2, 3, 4]))), k) for k in range(120)]
+    given = spark.createDataFrame(rows, "topic string, paper_id string, field string, statement string, place int")
+    root = {k: k for *_, k in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for topic, _, _, said, k in rows:
+        for other, _, _, heard, j in rows[:k]:
+            a, b = set(said.split()), set(heard.split())
+            if topic == other and (len(a & b) >= 2 or len(a & b) / len(a | b) >= 0.35):
+                root[find(max(k, j))] = find(min(k, j))
+    want = {k: min(j for j in root if find(j) == find(k)) for k in root}
+    got = {r.place: r.group for r in gaps.group_statements(given).collect()}
+    first = {(r.topic, r.nth): r.place for r in gaps.group_statements(given).collect()}
+    topics = {k: t for t, *_, k in rows}
+    assert {k: first[topics[k], g] for k, g in got.items()} == want
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """Without the training-data folders and the pipeline all other queries are there."""
+    top = Path(__file__).resolve().parent.parent
+    shutil.copytree(top / "corpusloom", tmp_path / "corpusloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = set(e.queries()), set(e.oracle_sql()); assert o <= q and {'lexical_topk', 'coverage_gaps'} <= q and not any(x.startswith('op') or x == 'pipeline' for x in q); print(len(q))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split()[-1]) > 50
