@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 and returns the columns of documents, but for the last, which returns pieces of
 packed sequences. ``docs`` has to be a stored table, so what a stage returns is
 written before the next one reads it.
+
+In every stage a null text counts as empty; empty and null texts are equal to each other, have no shingles
+and no benchmark words, and pack as the end id alone. A null doc_id counts as the largest; ties go to the
+row scanned first; repeated rows are judged each, as copies of each other. Very long texts are read whole.
+Empty tables give no rows. Further columns go along, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from corpusloom.operators.components import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; without labels none does."""
     return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
@@ -28,12 +33,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays: the smallest doc_id. Texts without words are classes of their own."""
     return jaccard_join.drop_near_duplicates(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go; an empty benchmark leaves all."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
