@@ -584,3 +584,19 @@ def test_pipeline_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     want = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    table(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_go_along(spark, tmp_path):
+    rows = [(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "z", None), (3, None, None, None)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string, row string, Row_ string").write.parquet(path)
+    kept = exact_dedup.drop_duplicates(spark.read.parquet(path))
+    assert kept.columns == ["doc_id", "text", "row", "Row_"] and {tuple(r) for r in kept.collect()} == {rows[0], rows[2]}
