@@ -104,10 +104,14 @@ def _likely_links(rows: DataFrame, reps: DataFrame, t: float, depth: int, small:
     rows = rows.join(few(copies.select("rid")), "rid", "left_anti")
     leaves, links, still = None, None, None
     for d in range(1, depth + 1):
-        nodes = rows.where("size > 0").select("sig", F.explode(f"nodes_{d}").alias("n")).select("sig", F.col("n.parent").alias("parent"), F.col("n.path").alias("bucket"))
-        if still is not None:
-            nodes = nodes.join(few(still.select(F.col("bucket").alias("parent"), "sig")), ["parent", "sig"], "left_semi")
-        nodes = nodes.select("bucket", "sig")
+        picks = rows.where("size > 0")
+        if still is None:
+            nodes = picks.select("sig", F.explode(f"nodes_{d}.path").alias("bucket"))
+        else:
+            # one row for each set says in which buckets it picks again
+            again = still.groupBy("sig").agg(F.collect_set("bucket").alias("parents"))
+            picks = picks.join(few(cut_lineage(again), 8 * F.size("parents")), "sig", "left").select("sig", "parents", F.explode(f"nodes_{d}").alias("n"))
+            nodes = picks.where(F.coalesce(F.array_contains("parents", F.col("n.parent")), F.lit(False))).select("sig", F.col("n.path").alias("bucket"))
         counts = nodes.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sig").alias("pivot")).where("n > 1")
         held = cut_lineage(nodes.join(counts, "bucket"))
         done = held.where(F.col("n") <= small).select("bucket", "sig")
