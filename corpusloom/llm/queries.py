@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, licenses, packing, paragraphs, quality, sharding, url_filter
+from . import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, merkle, packing, paragraphs, quality, sharding, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    made = byte_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    read = byte_bpe.decode(made, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents whose number's CRC-32 is even arrive without line breaks."""
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    received = {"text": F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    proofs, _ = merkle.manifest(table(spark, sf_dir, "documents"), received)
+    up = merkle.folded(F.col("other"), F.col("path"))
+    return proofs.select(
+        "doc_id", *(merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")), F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), up.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
@@ -85,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: The words of ``[0-9a-z]`` and all non-ASCII characters, A-Z in lower case.
@@ -101,6 +127,14 @@ def _crc_table() -> str:
     return ", ".join(out)
 
 
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')"
+
+
+#: A document's digest, but for its text, and one level of a list of nodes above another.
+_LEAF = "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "{0}"))) + ")"
+_UP = "list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))"
+
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
 
 ORACLES: dict[str, str] = {
@@ -125,7 +159,8 @@ ORACLES: dict[str, str] = {
         WITH f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
                      concat_ws('/', coalesce(source, ''), coalesce(lang, ''), (doc_id % 100)::VARCHAR, doc_id || '.txt') AS path FROM documents),
         hd AS (SELECT *, regexp_extract(text, '(?s)\A(.*?)(?:
-[ 	]*(?:
+[ 	
+]*(?:
 |\z)|\z)', 1) AS header, regexp_extract(path, '(?s)^(.*)/[^/]*$', 1) AS dir FROM f),
         pc AS (SELECT rid, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS piece FROM f
                UNION ALL SELECT rid, header, -1 FROM hd WHERE contains(trim(header), chr(10))
@@ -181,6 +216,21 @@ ORACLES: dict[str, str] = {
           SELECT p.*, h, pre, action, row_number() OVER (PARTITION BY rid ORDER BY length(h || pre) DESC NULLS LAST) AS k
           FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre))
         SELECT page_id, host, path, h || pre AS rule, coalesce(action, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op13_merkle_manifest": rf"""
+        WITH RECURSIVE k AS (SELECT [{_crc_table()}]::UBIGINT[] AS crc),
+        c AS (SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)), lambda a, x: xor(crc[(xor(a, x) & 255)::BIGINT + 1], a >> 8)) AS x FROM documents, k),
+        f AS (SELECT *, replace(text, chr(10), '') AS cut, (x & 1) = 1 AS changed FROM c),
+        v AS (SELECT doc_id, source, {_LEAF.format("text")} AS leaf, CASE WHEN changed THEN {_LEAF.format("cut")} ELSE {_LEAF.format("text")} END AS other FROM f),
+        n AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS idx FROM v),
+        t(tree, level, nodes) AS (SELECT tree, 0, list(leaf ORDER BY idx) FROM n GROUP BY tree UNION ALL SELECT tree, level + 1, {_UP} FROM t WHERE len(nodes) > 1),
+        s AS (SELECT tree, nodes[1] AS subroot FROM t WHERE len(nodes) = 1),
+        u(level, nodes) AS (SELECT 0, list(subroot ORDER BY tree) FROM s UNION ALL SELECT level + 1, {_UP} FROM u WHERE len(nodes) > 1),
+        b AS (SELECT tree, idx, level, nodes, (idx // (3 ** level)::BIGINT)::BIGINT AS pl FROM n JOIN t USING (tree) WHERE len(nodes) > 1
+              UNION ALL SELECT tree, idx, 1000 + level, nodes, (tree // (3 ** level)::BIGINT)::BIGINT FROM n, u WHERE len(nodes) > 1),
+        p AS (SELECT tree, idx, list(array_to_string(nodes[pl - pl % 3 + 1:pl], '') || ',' || array_to_string(nodes[pl + 2:pl - pl % 3 + 3], '') ORDER BY level) AS path FROM b GROUP BY tree, idx),
+        o AS (SELECT *, list_reduce(list_prepend(other, coalesce(path, [])), lambda a, x: sha256(split_part(x, ',', 1) || a || split_part(x, ',', 2))) AS folded_root FROM n LEFT JOIN p USING (tree, idx))
+        SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, sha256(replace(array_to_string(coalesce(path, []), ''), ',', '')) AS proof_sha256, folded_root,
+               folded_root = (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS verified FROM o JOIN s USING (tree)""",
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
