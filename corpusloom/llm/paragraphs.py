@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components, cut_lineage
 from .jaccard_join import SHINGLE, SIMILARITY, shingles
@@ -148,9 +149,9 @@ def _lines(described: DataFrame, bands: int) -> DataFrame:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, span_words: int) -> DataFrame:
-    """rid, doc_id, the arrays of LINE and ``bands``, and ``at`` and ``h`` of the anchors, of each row.
+    """rid, doc_id, key and words (of the whole text), the arrays of LINE and ``bands``, and ``at`` and ``h`` of the anchors, of each row.
 
-    A paragraph with n words at least has its place, the signature of its shingles and its bands.
+    A paragraph with n words at least has its place, the signature of its shingles and its bands. Texts of the same words have the same key.
     """
 
     def made(held: list[tuple], paras: list[tuple], words: list[bytes], counts: list[int]) -> pa.RecordBatch:
@@ -166,24 +167,26 @@ def _described(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
         columns = dict(zip(LINE, (para, start, end, w_from, per_para[kept], sigs, sizes), strict=True))
         per_doc = np.bincount(doc, per_para, len(held)).astype(np.int64) if len(doc) else np.zeros(len(held), np.int64)
         of, at, h = anchors(hashes, per_doc, span_words)
-        rid, ids = zip(*held, strict=True)
+        rid, ids, texts = zip(*held, strict=True)
         lines = [_lists(doc[kept], len(held), columns[c].astype(_ARROW[kind])) for c, kind in LINE.items()]
         found = [_lists(of, len(held), at.astype(np.int32)), _lists(of, len(held), h.view(np.int64))]
         return pa.RecordBatch.from_arrays(
-            [pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), *lines, _lists(doc[kept], len(held), keys, bands), *found], ["rid", "doc_id", *LINE, "bands", "at", "h"]
-        )
+            [pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(per_doc), *lines, _lists(doc[kept], len(held), keys, bands), *found],
+            ["rid", "doc_id", "key", "words", *LINE, "bands", "at", "h"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, paras, words, counts = [], [], [], []
         for batch in batches:
             for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                n_before = 0
+                n_before, key = 0, blake2b(digest_size=16)
                 for para, (start, end, own) in enumerate(paragraphs_of(text.as_py() or "", n)):
                     paras.append((len(held), para, start, end, n_before))
                     n_before += len(own)
                     words += own
                     counts.append(len(own))
-                held.append((rid, doc))
+                    key.update(b" ".join(own) + b" ")
+                held.append((rid, doc, key.digest() if n_before else None))
                 if len(words) > 100_000 or len(held) >= 10_000:
                     yield made(held, paras, words, counts)
                     held, paras, words, counts = [], [], [], []
@@ -191,7 +194,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
             yield made(held, paras, words, counts)
 
     return docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, f"rid long, doc_id long, {', '.join(f'`{c}` array<{kind}>' for c, kind in LINE.items())}, bands array<bigint>, at array<int>, h array<bigint>"
+        run, f"rid long, doc_id long, key binary, words long, {', '.join(f'`{c}` array<{kind}>' for c, kind in LINE.items())}, bands array<bigint>, at array<int>, h array<bigint>"
     )
 
 
@@ -218,111 +221,162 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, k: int, reach: int) -> DataFrame:
-    """For each asked place a check of the anchor's words, the hashes of ``reach`` words beyond it, their outer points and the point at its inner side.
-
-    ``asked`` has rid, at, side (0: the anchor's start and what stands before, 1: its end and what follows) and mine.
-    """
+    """For each place of ``asked`` (rid, at, h) two rows, of side 0 and 1: the hashes of up to ``reach`` words before the anchor, nearest first, and after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(a, 500) for a in range(0, whole.num_rows, 500)):
-                rows = []
-                for rid, doc, text, want in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    h = HASHES.of(split_words(text.encode("utf-8", "surrogatepass")))
-                    first, last = (x.astype("<u4") for x in word_places(text))
-                    low = (h >> np.uint64(32)).astype("<u4")
-                    for code in want:
-                        a, b, side = code >> 2, (code >> 2) + k, code >> 1 & 1
-                        check = int(grams(h[a:b] ^ np.uint64(0x94D049BB133111EB), k).view(np.int64)[0])
-                        if side:
-                            beyond, points, edge = low[b : b + reach], last[b - 1 : b + reach], first[a]
-                        else:
-                            beyond, points, edge = low[max(0, a - reach) : a][::-1], first[max(0, a - reach) : a + 1][::-1], last[b - 1]
-                        rows.append((rid, doc, a, side, bool(code & 1), check, beyond.tobytes(), points.tobytes(), int(edge)))
-                cols = list(zip(*rows, strict=True)) or [()] * 9
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-                names = ["rid", "doc_id", "at", "side", "mine", "check", "beyond", "points", "edge"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-    code = F.col("at").cast("long") * 4 + F.col("side") * 2 + F.col("mine").cast("int")
-    by_doc = cut_lineage(asked.select("rid", code.alias("code")).groupBy("rid").agg(F.collect_set("code").alias("want")))
-    rows = _numbered(docs, id_col, text_col).join(few(by_doc, 8 * F.size("want")), "rid").select("rid", "doc_id", "text", "want")
-    return rows.mapInArrow(run, "rid long, doc_id long, at int, side int, mine boolean, check long, beyond binary, points binary, edge long")
-
-
-def _extended(met: DataFrame) -> DataFrame:
-    """``met`` with ok, whether the anchors' words agree, n_more, how many words beyond them do, and the points where these end on either side."""
+                rid, doc, place, held, beyond = [], [], [], [], []
+                for r, d, text, want in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    low = (HASHES.of(split_words(text.encode("utf-8", "surrogatepass"))) >> np.uint64(32)).astype("<u4")
+                    back = low[::-1].tobytes()
+                    low, n = low.tobytes(), len(low)
+                    for w in want:
+                        a = w["at"]
+                        rid += (r, r)
+                        doc += (d, d)
+                        place += (a, a)
+                        held += (w["h"], w["h"])
+                        beyond += (back[4 * (n - a) : 4 * (n - a + reach)], low[4 * (a + k) : 4 * (a + k + reach)])
+                columns = [pa.array(held, pa.int64()), pa.array([0, 1] * (len(rid) // 2), pa.int32()), pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), pa.array(place, pa.int32()), pa.array(beyond, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "side", "doc_id", "rid", "at", "beyond"])
+
+    by_doc = cut_lineage(asked.groupBy("rid").agg(F.collect_list(F.struct("at", "h")).alias("want")))
+    rows = _numbered(docs, id_col, text_col).join(few(by_doc, 16 * F.size("want")), "rid").select("rid", "doc_id", "text", "want")
+    return rows.mapInArrow(run, "h long, side int, doc_id long, rid long, at int, beyond binary")
+
+
+#: A match: what stands before (side 0) or after an anchor agrees with an earlier place (removed), or with a later one, for n_more words.
+_MATCH = "rid long, doc_id long, at int, side int, n_more int, removed boolean, keep_id long"
+
+
+def matches(rows: list[tuple[int, int, bytes]], n: int) -> Iterator[tuple[int, int, int]]:
+    """Of rows (rid, at, beyond) in order, which have an anchor in common: row, the earlier row with which it has most words in common, and how many.
+
+    An earlier place in the same text counts if it begins n words before at least. All beginnings of what was met are
+    held, so the longest one that a row has is found by halving.
+    """
+    seen: dict[bytes, int] = {}
+    waiting: list[int] = []
+    for i, (rid, at, beyond) in enumerate(rows):
+        still = []
+        for j in waiting:
+            if rows[j][0] == rid and rows[j][1] + n > at:
+                still.append(j)
+                continue
+            other, m = rows[j][2], 0
+            if other not in seen:
+                for m in range(len(other) // 4, -1, -1):
+                    if other[: 4 * m] in seen:
+                        break
+                    seen[other[: 4 * m]] = j
+        waiting = [*still, i]
+        if b"" in seen:
+            low, high = 0, len(beyond) // 4
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if beyond[: 4 * mid] in seen else (low, mid - 1)
+            yield i, seen[beyond[: 4 * low]], low
+
+
+def _matched(rows: DataFrame, n: int) -> DataFrame:
+    """The matches among rows with the same key."""
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("side", pa.int32()), ("n_more", pa.int32()), ("removed", pa.bool_()), ("keep_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
-            more, mine, others = [], [], []
-            for a, b, p, q in zip(col("beyond"), col("m_beyond"), col("points"), col("m_points"), strict=True):
-                j = 0
-                if b is not None:
-                    n = min(len(a), len(b)) // 4
-                    x = np.frombuffer(a, "<u4", n) != np.frombuffer(b, "<u4", n)
-                    j = int(x.argmax()) if x.any() else n
-                more.append(j)
-                mine.append(int.from_bytes(p[4 * j : 4 * j + 4], "little"))
-                others.append(int.from_bytes(q[4 * j : 4 * j + 4], "little") if b is not None else None)
-            kept = ["rid", "doc_id", "at", "side", "run", "removed", "edge", "m_rid", "m_at", "m_doc_id", "m_edge", "ok"]
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.int64()) for x in (more, mine, others))], [*kept, "n_more", "point", "m_point"])
-
-    return met.mapInArrow(
-        run, "rid long, doc_id long, at int, side int, run int, removed boolean, edge long, m_rid long, m_at int, m_doc_id long, m_edge long, ok boolean, n_more long, point long, m_point long"
-    )
+        out: list[tuple] = []
+        for table in groups(batches, 1):
+            if table.num_rows < 2:
+                continue
+            rid, doc, at, side = (table.column(c).to_pylist() for c in ("rid", "doc_id", "at", "side"))
+            best: dict[int, int] = {}
+            for i, j, more in matches(list(zip(rid, at, table.column("beyond").to_pylist(), strict=True)), n):
+                out.append((rid[i], doc[i], at[i], side[i], more, True, doc[j]))
+                best[j] = max(best.get(j, 0), more)
+            out += [(rid[j], doc[j], at[j], side[j], more, False, doc[j]) for j, more in best.items()]
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
+    order = ["key", F.col("doc_id").isNull(), "doc_id", "rid", "at"]
+    rows = rows.select("key", "doc_id", "rid", "at", "side", "beyond").repartition("key").sortWithinPartitions(*order)
+    return rows.mapInArrow(run, _MATCH)
 
-def verbatim_passages(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """rid, doc_id, w_from, w_to, from, to, removed, keep_ids: what stands verbatim elsewhere too, at no matter which place of a line.
 
-    ``rows`` has rid, doc_id and the anchors of ``docs``. Of equal anchors the one with the smallest (doc_id, place) stays; one that begins
-    less than n words after it in the same text stays too. Anchors that touch are a run; at its ends the words beyond
-    are compared with those of the place that stays, so nothing of n words and more that is shared is lost or cut short.
+def _class_matches(rows: DataFrame, keys: list[Column], n: int, more: Column) -> tuple[DataFrame, DataFrame]:
+    """The matches of ``more`` words among rows that agree in ``keys``, by the first of each class; and the rows with first, the class's size and whether they are matched."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "at")
+    apart = lambda rid, at: (rid != F.col("first.rid")) | (at >= F.col("first.at") + n)
+    keyed = rows.withColumn("class", F.xxhash64(*keys))
+    found = keyed.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("size"))
+    found = cut_lineage(found.withColumn("twice", apart(F.col("last.rid"), F.col("last.at"))))
+    joined = keyed.join(found.drop("last"), "class").withColumn("matched", apart(F.col("rid"), F.col("at")))
+    own = (F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))
+    parts = joined.where("matched OR twice").where(F.col("matched") | own)
+    return parts.select("rid", "doc_id", "at", "side", more.cast("int").alias("n_more"), F.col("matched").alias("removed"), F.col("first.doc_id").alias("keep_id")), joined
+
+
+def _hot_matches(rows: DataFrame, n: int, reach: int, limit: int) -> DataFrame:
+    """The matches of anchors with more than ``limit`` places.
+
+    Places with all words beyond in common are matched with the first of them and go no further. The others are taken apart by the
+    words beyond, one more in each round: all that agree so far are matched with the first of them, and classes that have become small are
+    matched in full. So no task gets more than ``limit`` rows of an anchor, and each match is as long as if it had.
+    """
+    parts, joined = _class_matches(rows, [F.col("h"), F.col("side"), F.col("beyond")], n, F.octet_length("beyond") / 4)
+    rest = cut_lineage(joined.where("NOT matched").select(*rows.columns))
+    for words in range(reach + 1):
+        held = rest.where(F.octet_length("beyond") >= 4 * words)
+        more, joined = _class_matches(held, [F.col("h"), F.col("side"), F.substring("beyond", 1, 4 * words)], n, F.lit(words))
+        joined = cut_lineage(joined)
+        own = (F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))
+        parts = parts.unionByName(more).unionByName(_matched(joined.where(F.col("size") <= limit).withColumnRenamed("class", "key"), n))
+        rest = joined.where((F.col("size") > limit)).select(*rows.columns)
+        if rest.isEmpty():
+            break
+    return parts
+
+
+#: Places of an anchor that a task takes at once.
+HOT = 2_000
+
+
+def verbatim_passages(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, hot: int = HOT) -> DataFrame:
+    """rid, doc_id, w_from, w_to, removed, keep_ids: what stands verbatim elsewhere too, at no matter which place of a line.
+
+    ``rows`` has rid, doc_id and the anchors of ``docs``. What n words and more of two texts have in common holds anchors that
+    both have, the first and the last of them n - k words from its ends at most. So the words before and after each anchor that occurs
+    twice are compared, on either side for itself, with those of all earlier places of the same anchor, and the longest agreement
+    counts: nothing of n words and more that stands at an earlier place is lost or cut short, whichever places hold which part of it. A place in the
+    same text is earlier if it begins n words before at least. Places are ordered by (doc_id, place). Of agreeing places the first stays.
+    Words are compared by 32 bits of their hashes, anchors by 64.
     """
     k = n // 2
     found = rows.select("rid", "doc_id", F.arrays_zip("at", "h").alias("a")).select("rid", "doc_id", F.inline("a"))
-    twice = cut_lineage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    found = found.join(few(twice), "h", "left_semi")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "at")
-    apart = lambda rid, at: (rid != F.col("head.rid")) | (at >= F.col("head.at") + n)
-    heads = found.groupBy("h").agg(F.min(place).alias("head"), F.max(place).alias("last")).where(apart(F.col("last.rid"), F.col("last.at")))
-    # cut, so that the join deals out a hot anchor's places by itself
-    heads = cut_lineage(heads.select("h", F.struct("head.doc_id", "head.rid", "head.at").alias("head")))
-    held = found.join(heads, "h").select("rid", "doc_id", "at", "head", apart(F.col("rid"), F.col("at")).alias("removed"))
-    order = W.partitionBy("rid", "removed").orderBy("at")
-    new = F.coalesce(F.col("at") > F.lag("at").over(order) + k + 1, F.lit(True)).cast("int")
-    held = held.withColumn("new", new).withColumn("run", F.sum("new").over(order).cast("int"))
-    end = F.struct("at", F.when(F.col("removed"), F.col("head.rid")).alias("m_rid"), F.when(F.col("removed"), F.col("head.at")).alias("m_at"))
-    runs = cut_lineage(held.groupBy("rid", "removed", "run").agg(F.min(end).alias("first"), F.max(end).alias("final"), F.collect_set("head.doc_id").alias("keep_ids")))
-    side = lambda c, s: F.struct(F.lit(s).alias("side"), f"{c}.at", f"{c}.m_rid", f"{c}.m_at")
-    ends = runs.select("rid", "removed", "run", F.inline(F.array(side("first", 0), side("final", 1))))
-    mates = ends.where("m_rid IS NOT NULL").select(F.col("m_rid").alias("rid"), F.col("m_at").alias("at"), "side").distinct()
-    asked = ends.select("rid", "at", "side", F.lit(True).alias("mine")).unionByName(mates.withColumn("mine", F.lit(False)))
-    contexts = cut_lineage(_contexts(docs, asked, id_col, text_col, k, n - k))
-    others = contexts.where("NOT mine").select(
-        F.col("rid").alias("m_rid"), F.col("at").alias("m_at"), "side", *(F.col(c).alias(f"m_{c}") for c in ("doc_id", "check", "beyond", "points", "edge"))
-    )
-    own = contexts.where("mine").join(ends, ["rid", "at", "side"])
-    met = own.join(others, ["m_rid", "m_at", "side"], "left").withColumn("ok", F.coalesce(F.col("check") == F.col("m_check"), F.lit(True)))
-    done = cut_lineage(_extended(met))
-    left, more = F.col("side") == 0, F.col("n_more").cast("int")
-    mine = done.groupBy("rid", "doc_id", "removed", "run").agg(
-        F.min(F.when(left, F.col("at") - more)).alias("w_from"), F.max(F.when(~left, F.col("at") + k + more)).alias("w_to"),
-        F.min(F.when(left, F.col("point"))).alias("from"), F.max(F.when(~left, F.col("point"))).alias("to"), F.min("ok").alias("ok"),
-    ).where("ok").drop("ok").join(runs.select("rid", "removed", "run", "keep_ids"), ["rid", "removed", "run"]).drop("run")
-    # what the removed ends have in common with the places that stay lies in these too
-    stays = done.where("ok AND m_rid IS NOT NULL").groupBy("m_rid", "m_doc_id", "m_at", "side", "m_edge").agg(F.max(F.struct("n_more", "m_point")).alias("best"))
-    more = F.col("best.n_more").cast("int")
-    stays = stays.select(
-        F.col("m_rid").alias("rid"), F.col("m_doc_id").alias("doc_id"), F.lit(False).alias("removed"),
-        F.when(left, F.col("m_at") - more).otherwise(F.col("m_at")).alias("w_from"), F.when(left, F.col("m_at") + k).otherwise(F.col("m_at") + k + more).alias("w_to"),
-        F.when(left, F.col("best.m_point")).otherwise(F.col("m_edge")).alias("from"), F.when(left, F.col("m_edge")).otherwise(F.col("best.m_point")).alias("to"),
-        F.when(F.col("m_doc_id").isNotNull(), F.array("m_doc_id")).otherwise(F.array().cast("array<bigint>")).alias("keep_ids"),
+    twice = cut_lineage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    found = found.join(few(twice), "h")
+    key = F.xxhash64("h", "side").alias("key")
+    parts = _matched(_contexts(docs, found.where(F.col("n") <= hot), id_col, text_col, k, n - k).select("*", key), n)
+    if not twice.where(F.col("n") > hot).isEmpty():
+        many = cut_lineage(_contexts(docs, found.where(F.col("n") > hot), id_col, text_col, k, n - k))
+        parts = parts.unionByName(_hot_matches(many, n, n - k, hot))
+    left = F.col("side") == 0
+    return parts.select(
+        "rid", "doc_id", F.when(left, F.col("at") - F.col("n_more")).otherwise(F.col("at")).alias("w_from"), F.when(left, F.col("at") + k).otherwise(F.col("at") + k + F.col("n_more")).alias("w_to"),
+        "removed", F.when(F.col("keep_id").isNotNull(), F.array("keep_id")).otherwise(F.array().cast("array<bigint>")).alias("keep_ids"),
     )
-    return mine.unionByName(stays)
+
+
+def whole_copies(described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rids of texts whose words are all those of an earlier text; and a part for each of them and for each first one that has some."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    firsts = cut_lineage(described.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    met = described.select("rid", "doc_id", "key", "words").join(few(firsts, F.lit(48)), "key").withColumn("removed", F.col("rid") != F.col("first.rid"))
+    keep = F.when(F.col("first.doc_id").isNotNull(), F.array("first.doc_id")).otherwise(F.array().cast("array<bigint>"))
+    met = cut_lineage(met.select("rid", "doc_id", F.lit(0).alias("w_from"), F.col("words").cast("int").alias("w_to"), "removed", keep.alias("keep_ids")))
+    return met.where("removed").select("rid"), met
 
 
 def merged(parts: list[dict], least: int) -> list[dict]:
@@ -333,8 +387,8 @@ def merged(parts: list[dict], least: int) -> list[dict]:
         for p in sorted(some, key=lambda p: (p["w_from"], p["w_to"])):
             if out and p["w_from"] <= out[-1]["w_to"]:
                 q = out[-1]
-                q.update(w_to=max(q["w_to"], p["w_to"]), to=max(q["to"], p["to"]), keep_ids=q["keep_ids"] | set(p["keep_ids"]))
-                q["from"] = min(q["from"], p["from"])
+                q["w_to"] = max(q["w_to"], p["w_to"])
+                q["keep_ids"].update(p["keep_ids"])
             else:
                 out.append({**p, "keep_ids": set(p["keep_ids"])})
         return out
@@ -347,28 +401,31 @@ def merged(parts: list[dict], least: int) -> list[dict]:
         j, rest = k, dict(p)
         while j < len(gone) and gone[j]["w_from"] < p["w_to"]:
             g = gone[j]
-            out.append({**rest, "w_to": g["w_from"], "to": g["from"]})
-            rest.update({"w_from": g["w_to"], "from": g["to"]})
+            out.append({**rest, "w_to": g["w_from"]})
+            rest["w_from"] = g["w_to"]
             j += 1
         out.append(rest)
     return [p for p in out if p["w_to"] - p["w_from"] >= least]
 
 
-def _merge_spans(parts: DataFrame, least: int) -> DataFrame:
+def _merge_spans(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """The spans of each text, with their places in it; the texts with parts are read again."""
     names = ["rid", "doc_id", "from", "to", "n_words", "removed", "keep_ids"]
     schema = pa.schema([*((c, pa.int64()) for c in names[:5]), ("removed", pa.bool_()), ("keep_ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
-        for table in groups(batches, 1):
-            for p in merged(table.to_pylist(), least):
-                out.append({**{c: p[c] for c in names if c in p}, "n_words": p["w_to"] - p["w_from"], "keep_ids": sorted(p["keep_ids"])})
-            if len(out) > 10_000:
+        for whole in batches:
+            for batch in (whole.slice(a, 500) for a in range(0, whole.num_rows, 500)):
+                out: list[dict] = []
+                for rid, doc, text, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    if spans := merged(own, least):
+                        first, last = word_places(text)
+                        for p in spans:
+                            out.append({"rid": rid, "doc_id": doc, "from": first[p["w_from"]], "to": last[p["w_to"] - 1], "n_words": p["w_to"] - p["w_from"], "removed": p["removed"], "keep_ids": sorted(p["keep_ids"])})
                 yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-        yield pa.RecordBatch.from_pylist(out, schema)
 
-    rows = parts.select("rid", "doc_id", "w_from", "w_to", "from", "to", "removed", "keep_ids").repartition("rid").sortWithinPartitions("rid")
+    by_doc = cut_lineage(parts.groupBy("rid").agg(F.collect_list(F.struct("w_from", "w_to", "removed", "keep_ids")).alias("parts")))
+    rows = _numbered(docs, id_col, text_col).join(few(by_doc, 48 * F.size("parts")), "rid").select("rid", "doc_id", "text", "parts")
     return rows.mapInArrow(run, "rid long, doc_id long, from long, to long, n_words long, removed boolean, keep_ids array<bigint>")
 
 
@@ -385,17 +442,20 @@ def repeated_spans(
     form a span of code points [from, to) with the doc_ids that keep its paragraphs;
     lines too short to judge between them go along, and their words count. Spans of fewer than
     ``span_words`` words are left alone, so short set phrases are. Equal paragraphs
-    are one until the end; others meet by MinHash bands, tuned so that a pair at the
+    are one until the end, and so are texts of equal words: a copy of a whole earlier text is one span, which names the first
+    such text; others meet by MinHash bands, tuned so that a pair at the
     threshold meets with ``target`` odds, and are compared exactly inside each
     bucket. Null and empty texts have no paragraphs. A line that repeats inside one
     document counts too, and so do repeated rows. Besides, every run of ``span_words`` words
     and more that stands verbatim at an earlier place, inside other lines or across other line
     breaks, is removed as well; overlapping spans are merged, and what stays is reported outside the
-    removed ones. No rows give no rows. Other columns are ignored. ``docs`` has to
+    removed ones. Very long texts are read whole. No rows give no rows. Other columns are ignored. ``docs`` has to
     be a stored table: it is read four times.
     """
     bands = bands_for(target, t, rows)
     described = cut_lineage(_described(docs, id_col, text_col, n, bands, rows, span_words))
+    copies, whole = whole_copies(described)
+    described = described.join(few(copies), "rid", "left_anti")
     units = _lines(described, bands)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "para")
     # one row for each set of shingles; its bands are the same in every copy
@@ -421,7 +481,7 @@ def repeated_spans(
     new = (F.col("nth") != F.lag("nth").over(run) + 1) | (F.col("removed") != F.lag("removed").over(run))
     found = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(run))
     lines = found.groupBy("rid", "doc_id", "span", "removed").agg(
-        F.min("w_from").alias("w_from"), F.max(F.col("w_from") + F.col("n_words")).alias("w_to"), F.min("from").cast("long").alias("from"), F.max("to").cast("long").alias("to"), F.collect_set("head.doc_id").alias("keep_ids")
+        F.min("w_from").alias("w_from"), F.max(F.col("w_from") + F.col("n_words")).alias("w_to"), F.collect_set("head.doc_id").alias("keep_ids")
     )
-    parts = lines.drop("span").unionByName(verbatim_passages(described, docs, id_col, text_col, span_words))
-    return _merge_spans(parts, span_words)
+    parts = lines.drop("span").unionByName(verbatim_passages(described, docs, id_col, text_col, span_words)).unionByName(whole)
+    return _merge_spans(docs, parts, id_col, text_col, span_words)
