@@ -38,7 +38,7 @@ class ByteBpe(dict):
     encoded alone, so that merge would take place there too. That is what joins rest on.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 200_000):
         super().__init__()
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

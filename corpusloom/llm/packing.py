@@ -45,7 +45,7 @@ class WordIds:
     #: Rows taken at once, and the longest part that is remembered.
     ROWS, LONGEST = 1000, 64
 
-    def __init__(self, path: str, limit: int = 400_000, pieces_limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 150_000, pieces_limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.pieces_limit = Tokenizer.from_file(path), limit, pieces_limit

@@ -53,7 +53,7 @@ def signs_of(word: bytes) -> list[bytes]:
 class Evidence(dict):
     """word -> the weight of its strongest sign; forgets all when it holds ``limit`` words."""
 
-    def __init__(self, weights: dict[bytes, float], limit: int = 300_000):
+    def __init__(self, weights: dict[bytes, float], limit: int = 100_000):
         super().__init__()
         self.weights, self.limit = weights, limit
 

@@ -22,7 +22,7 @@ def split_words(text: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, computed once for each word; forgets all when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
