@@ -1,7 +1,8 @@
 """Text normalization and the five tokenizers, as column expressions.
 
 Only Unicode NFKC/NFKD with full case folding has no built-in function; it runs as
-one Arrow UDF at the point where a column is first normalized.
+one Arrow UDF at the point where a column is first normalized, and only texts with
+other than ASCII characters are sent to it.
 """
 
 from __future__ import annotations
@@ -17,20 +18,36 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "h
 
 
 @F.pandas_udf(StringType())
-def nfkc_casefold(values: pd.Series) -> pd.Series:
+def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
 @F.pandas_udf(StringType())
-def nfkc(values: pd.Series) -> pd.Series:
+def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 @F.pandas_udf(StringType())
-def nfkd_lower(values: pd.Series) -> pd.Series:
+def _nfkd_lower(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).lower())
 
 
+def _beyond_ascii(x: Column) -> Column:
+    return F.when(F.octet_length(x) != F.length(x), x)
+
+
+def nfkc_casefold(x: Column) -> Column:
+    return F.coalesce(_nfkc_casefold(_beyond_ascii(x)), F.lower(x))
+
+
+def nfkc(x: Column) -> Column:
+    return F.coalesce(_nfkc(_beyond_ascii(x)), x)
+
+
+def nfkd_lower(x: Column) -> Column:
+    return F.coalesce(_nfkd_lower(_beyond_ascii(x)), F.lower(x))
+
+
 def collapse(x: Column) -> Column:
     """White-space runs of any kind become one space; none at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))

@@ -63,13 +63,17 @@ def detect_sections(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     at = lambda section: F.array_position("names", F.lit(section)).cast("int")
     first = [F.when(at(x) > 0, F.struct(at(x).alias("pos"), F.lit(i + 1).alias("ord"), F.lit(x).alias("section"))) for i, x in enumerate(SECTIONS)]
     opened = named.select("doc", "lines", F.array_sort(F.array_compact(F.array(*first))).alias("opened"))
-    rows = opened.select("doc", "lines", F.transform("opened", lambda o: o["pos"]).alias("starts"), F.posexplode("opened").alias("i", "o"))
-    head = F.element_at("lines", F.col("o.pos"))
-    inline = F.when(section_name(head).isNull(), normalized_line(F.regexp_extract(head, INLINE, 2)))
-    end = F.coalesce(F.try_element_at("starts", F.col("i") + 2), F.size("lines") + 1)
-    parts = F.concat(F.array_compact(F.array(inline)), F.slice("lines", F.col("o.pos") + 1, end - F.col("o.pos") - 1))
-    body = F.array_join(F.filter(parts, lambda x: x != ""), "\n")
-    return rows.select("doc", "o.ord", "o.section", body.alias("body")).where("body <> ''")
+    rows = opened.select("doc", "lines", F.col("opened.pos").alias("starts"), "opened")
+
+    def section(o: Column, i: Column) -> Column:
+        head = F.element_at("lines", o["pos"])
+        inline = F.when(section_name(head).isNull(), normalized_line(F.regexp_extract(head, INLINE, 2)))
+        end = F.coalesce(F.get("starts", i + 1), F.size("lines") + 1)
+        parts = F.concat(F.array_compact(F.array(inline)), F.slice("lines", o["pos"] + 1, end - o["pos"] - 1))
+        return F.struct(o["ord"].alias("ord"), o["section"].alias("section"), F.array_join(F.filter(parts, lambda x: x != ""), "\n").alias("body"))
+
+    # outer, else the optimizer takes what the array is made of into a filter below it, once for each place where it is used
+    return rows.select("doc", F.inline_outer(F.transform("opened", section))).where("body <> ''")
 
 
 def excerpt(x: Column, limit: Column) -> Column:
@@ -93,9 +97,11 @@ def select_sections(docs: DataFrame, sections: DataFrame, key: str = "doc_id", t
     nth = F.row_number().over(W.partitionBy("doc").orderBy("ord"))
     share = F.least(F.lit(per_section), F.lit(most) - (F.col("nth") - 1) * per_section)
     chosen = useful.withColumn("nth", nth).withColumn("share", share).where("share > 0").select("doc", "ord", "section", excerpt(F.col("body"), F.col("share")).alias("excerpt"))
-    rest = docs.select(F.col(key).alias("doc"), F.col(text_col).alias("t")).join(chosen.select("doc").distinct(), "doc", "left_anti")
-    fallback = rest.where(F.trim("t") != "").select("doc", F.lit(0).alias("ord"), F.lit("Unsectioned excerpt").alias("section"), excerpt(F.col("t"), F.lit(min(most, per_section))).alias("excerpt"))
-    return chosen.unionByName(fallback)
+    # a text has ten sections at most; with them in one row, the sections are worked out once
+    by_doc = chosen.groupBy("doc").agg(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), "section", "excerpt")).alias("chosen"))
+    joined = docs.select(F.col(key).alias("doc"), F.col(text_col).alias("t")).join(by_doc, "doc", "left")
+    whole = F.when(F.trim("t") != "", F.array(F.struct(F.lit(0).alias("ord"), F.lit("Unsectioned excerpt").alias("section"), excerpt(F.col("t"), F.lit(min(most, per_section))).alias("excerpt"))))
+    return joined.select("doc", F.inline(F.coalesce("chosen", whole)))
 
 
 def validate_evidence(claims: DataFrame, sections: DataFrame) -> DataFrame:
