@@ -203,7 +203,7 @@ DERIVED = rf"""{CONTRADICTIONS}, {EVALUATED.replace("c AS (", "ec AS (", 1).repl
       cand AS (SELECT sha256(concat_ws(chr(31), 'contradiction', topic, paper_a, paper_b, concept)) AS id, 'c' AS kind, {_contradicted(0)} AS title, {_contradicted(1)} AS rq,
           topic, [paper_a] AS support, [paper_a, paper_b] AS cited, CASE WHEN conditioned THEN 0.38 ELSE 0.52 END AS confidence FROM pr
         UNION ALL SELECT sha256(concat_ws(chr(31), 'evaluation', lang, source, cond)), 'e', {said("evaluation", 0, **_EVALUATION)}, {said("evaluation", 1, **_EVALUATION)}, lang, ab.ids, ab.ids, 0.45
-          FROM eg JOIN (SELECT lang, source, cond, list('d' || doc_id ORDER BY 'd' || doc_id)[1:3] AS ids FROM k WHERE status = 'explicitly_absent' GROUP BY ALL) AS ab USING (lang, source, cond)),
+          FROM eg JOIN (SELECT lang, source, list('d' || doc_id) AS ids FROM ec GROUP BY ALL) AS ab USING (lang, source)),
       cw AS (SELECT *, list_filter({plain_words("rq", 3)}, lambda w: NOT list_contains({_list(QUESTION_STOPS)}, lower(w))) AS ws FROM cand),
       qs AS (SELECT id, CASE kind WHEN 'c' THEN [regexp_replace(title, '^(Conflicting evidence on|Context-conditioned disagreement on) ', ''), array_to_string(ws[1:3], ' ') || ' improves', array_to_string(ws[1:3], ' ') || ' degrades', array_to_string(ws[1:3], ' ') || ' evaluation benchmark']
                ELSE [title, array_to_string(ws[1:4], ' '), array_to_string(ws[1:3], ' ') || ' benchmark review', array_to_string(ws[1:2], ' ') || ' robustness solution'] END AS q FROM cw),
@@ -400,6 +400,95 @@ ORACLES: dict[str, str] = {
 }
 
 
+_KEY = {
+    "explicit": "sha256(concat_ws(chr(31), 'explicit', topic, grp, theme))", "contradiction": "sha256(concat_ws(chr(31), 'contradiction', topic, paper_a, paper_b, concept))",
+    "evaluation": "sha256(concat_ws(chr(31), 'evaluation', lang, source, cond))", "coverage": "sha256(concat_ws(chr(31), 'coverage', lang, dimension, method, value))",
+    "transfer": "sha256(concat_ws(chr(31), 'method_transfer', lang, method, dimension, source, target))",
+}
+#: Coverage gaps (cg) and transfers (tg) of documents as cards with methods, by language; vv and lv have each paper's values.
+MOVED = f"""b AS (SELECT doc_id, 'd' || doc_id AS paper_id, lang, ({_list(METHOD_NAMES)})[n_chars % {len(METHOD_NAMES)} + 1] AS method, source AS dataset, 'Modality ' || n_chars % 5 AS modality FROM documents WHERE n_chars % 10 <> 4),
+      vv AS (SELECT doc_id, paper_id, lang, method, 'dataset' AS dimension, dataset AS value FROM b UNION ALL SELECT doc_id, paper_id, lang, method, 'modality', modality FROM b), lv AS (SELECT * REPLACE (lower(value) AS value) FROM vv),
+      big AS (SELECT lang, count(*) AS cards FROM b GROUP BY 1), cm AS (SELECT lang, method FROM b GROUP BY ALL HAVING count(*) >= 2), cv AS (SELECT lang, dimension, value FROM vv GROUP BY ALL HAVING count(*) >= 2),
+      cg AS (SELECT lang, dimension, method, value FROM cm JOIN cv USING (lang) JOIN big USING (lang) WHERE cards >= 2 AND NOT EXISTS (SELECT 1 FROM vv o WHERE o.lang = cm.lang AND o.method = cm.method AND o.dimension = cv.dimension AND o.value = cv.value)),
+      kn AS (SELECT lang, method, dimension, value AS source, CASE {" ".join(f"WHEN regexp_matches(lower(method), '{'|'.join(w)}') THEN '{c}'" for c, w in CLASSES.items())} ELSE 'unknown' END AS method_class FROM lv JOIN big USING (lang) WHERE cards >= 4 GROUP BY ALL HAVING count(*) >= 2),
+      ft AS (SELECT lang, dimension, value AS target FROM lv GROUP BY ALL HAVING count(*) >= 2), fs(method_class, dimension) AS (VALUES {", ".join(f"('{c}', '{d}')" for c, ds in FEASIBILITY.items() for d in ds)}),
+      tg AS (SELECT kn.lang, method, dimension, source, target FROM kn JOIN fs USING (method_class, dimension) JOIN ft USING (lang, dimension) WHERE source <> target AND NOT EXISTS (SELECT 1 FROM lv o WHERE o.lang = kn.lang AND o.method = kn.method AND o.dimension = kn.dimension AND o.value = target))"""
+_REPEATED = "rg AS (SELECT topic, grp FROM sg GROUP BY ALL HAVING count(DISTINCT paper_id) >= 2)"
+
+#: The papers that candidates of each kind rest on.
+SUPPORTS = {
+    "explicit": f"WITH RECURSIVE {THEMES}, {_REPEATED} SELECT DISTINCT {_KEY['explicit']} AS gap_key, paper_id, 'supporting' AS side FROM sg JOIN rg USING (topic, grp) JOIN themes USING (topic, grp)",
+    "contradiction": f"WITH {CONTRADICTIONS} SELECT {_KEY['contradiction']} AS gap_key, paper_a AS paper_id, 'supporting' AS side FROM pr UNION SELECT {_KEY['contradiction']}, paper_b, 'conflicting' FROM pr",
+    "evaluation": f"WITH {EVALUATED} SELECT {_KEY['evaluation']} AS gap_key, 'd' || doc_id AS paper_id, 'supporting' AS side FROM eg JOIN c USING (lang, source)",
+    "coverage": f"WITH {MOVED} SELECT {_KEY['coverage']} AS gap_key, paper_id, 'supporting' AS side FROM cg JOIN b USING (lang, method) UNION SELECT {_KEY['coverage']}, paper_id, 'supporting' FROM cg JOIN (SELECT lang, dimension, value, paper_id FROM vv) USING (lang, dimension, value)",
+    "transfer": f"""WITH {MOVED} SELECT {_KEY['transfer']} AS gap_key, paper_id, 'supporting' AS side FROM tg JOIN (SELECT lang, method, dimension, value AS source, paper_id FROM lv) USING (lang, method, dimension, source)
+      UNION SELECT {_KEY['transfer']}, paper_id, 'supporting' FROM tg JOIN (SELECT lang, dimension, value AS target, paper_id FROM lv) USING (lang, dimension, target)""",
+}
+
+
+def _nth(keys: str, order: str = "paper_id") -> str:
+    return f"row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS nth"
+
+
+_ROW = "NULL::VARCHAR AS source_section"
+#: Their pieces of evidence.
+EVIDENCE = {
+    "explicit": f"""WITH RECURSIVE {THEMES}, {_REPEATED} SELECT {_KEY['explicit']} AS gap_key, 'supporting' AS side, row_number() OVER (PARTITION BY topic, grp ORDER BY nth)::INT AS pos, paper_id, 'limitations[0]' AS claim_or_field,
+      'limitations' AS source_section, statement AS supporting_text FROM sg JOIN rg USING (topic, grp) JOIN themes USING (topic, grp)""",
+    "contradiction": f"""WITH {CONTRADICTIONS} SELECT {_KEY['contradiction']} AS gap_key, 'supporting' AS side, 1 AS pos, paper_a AS paper_id, 'main_claims' AS claim_or_field, {_ROW}, claim AS supporting_text FROM pr JOIN cl USING (topic) WHERE cl.paper_id = paper_a
+      UNION ALL SELECT {_KEY['contradiction']}, 'conflicting', 1, paper_b, 'main_claims', NULL, claim FROM pr JOIN cl USING (topic) WHERE cl.paper_id = paper_b""",
+    "evaluation": f"""WITH {EVALUATED}, ab AS (SELECT lang, source, cond, 'd' || doc_id AS paper_id, row_number() OVER (PARTITION BY lang, source, cond ORDER BY 'd' || doc_id) AS nth FROM k WHERE status = 'explicitly_absent'),
+      a3 AS (SELECT eg.lang, eg.source, eg.cond, paper_id, nth FROM eg JOIN ab USING (lang, source, cond) WHERE nth <= 3),
+      ot AS (SELECT lang, source, cond, 'd' || doc_id AS paper_id, row_number() OVER (PARTITION BY lang, source, cond ORDER BY 'd' || doc_id) AS nth FROM eg JOIN c USING (lang, source) WHERE NOT EXISTS (SELECT 1 FROM a3 x WHERE x.lang = eg.lang AND x.source = eg.source AND x.cond = eg.cond AND x.paper_id = 'd' || doc_id)),
+      na AS (SELECT lang, source, cond, count(*) AS n FROM a3 GROUP BY ALL)
+      SELECT {_KEY['evaluation']} AS gap_key, 'supporting' AS side, nth::INT AS pos, paper_id, 'evaluation_conditions' AS claim_or_field, {_ROW}, NULL::VARCHAR AS supporting_text FROM a3
+      UNION ALL SELECT {_KEY['evaluation']}, 'supporting', (n + nth)::INT, paper_id, 'methods', NULL, 'uses ' || source FROM ot JOIN na USING (lang, source, cond) WHERE n + nth <= 3""",
+    "coverage": f"""WITH {MOVED}, m2 AS (SELECT lang, method, paper_id, {_nth('lang, method')} FROM b), v2 AS (SELECT lang, dimension, value, paper_id, {_nth('lang, dimension, value')} FROM vv)
+      SELECT {_KEY['coverage']} AS gap_key, 'supporting' AS side, nth::INT AS pos, paper_id, 'methods' AS claim_or_field, {_ROW}, 'uses ' || method AS supporting_text FROM cg JOIN m2 USING (lang, method) WHERE nth <= 2
+      UNION ALL SELECT {_KEY['coverage']}, 'supporting', nth::INT + 2, paper_id, dimension, NULL, 'uses ' || value FROM cg JOIN v2 USING (lang, dimension, value) WHERE nth <= 2""",
+    "transfer": f"""WITH {MOVED}, s2 AS (SELECT lang, method, dimension, value AS source, paper_id, {_nth('lang, method, dimension, value')} FROM lv), t2 AS (SELECT lang, dimension, value AS target, paper_id, {_nth('lang, dimension, value', 'doc_id')} FROM lv)
+      SELECT {_KEY['transfer']} AS gap_key, 'supporting' AS side, nth::INT AS pos, paper_id, 'methods' AS claim_or_field, {_ROW}, NULL::VARCHAR AS supporting_text FROM tg JOIN s2 USING (lang, method, dimension, source) WHERE nth <= 2
+      UNION ALL SELECT {_KEY['transfer']}, 'supporting', nth::INT + 2, paper_id, CASE dimension WHEN 'dataset' THEN 'datasets' ELSE 'modalities' END, NULL, NULL FROM tg JOIN t2 USING (lang, dimension, target) WHERE nth <= 2""",
+}
+
+
+def _union(parts: dict[str, str], *kinds: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({parts[k]})" for k in kinds or parts)
+
+
+ORACLES["candidate_supports"] = f"WITH s AS ({_union(SUPPORTS)}) SELECT gap_key, side, count(*) AS papers, sha256(string_agg(paper_id, ',' ORDER BY paper_id)) AS ids_sha256 FROM s GROUP BY ALL"
+ORACLES["candidate_evidence"] = _union(EVIDENCE)
+_METHODS = {
+    "coverage": {"method": "method", "value": "value", "dimension": "dimension", "topic": "lang"}, "method_transfer": {"method": "method", "target": "target", "source": "source", "dimension": "dimension", "topic": "lang"},
+}
+_USED = f"text || ' This uses ' || ({_list(METHOD_NAMES)})[n_chars % {len(METHOD_NAMES)} + 1] || ' evaluated on dataset ' || source"
+ORACLES["overlap_of_methods"] = rf"""WITH {PAPERS.replace("text AS abstract", f"{_USED} AS abstract")}, {INDEX}, sp AS ({_union(SUPPORTS, "coverage", "transfer")}), {MOVED},
+      cand AS (SELECT {_KEY["coverage"]} AS id, 'c' AS kind, {said("coverage", 0, **_METHODS["coverage"])} AS title, {said("coverage", 1, **_METHODS["coverage"])} AS rq FROM cg
+        UNION ALL SELECT {_KEY["transfer"]}, 't', {said("method_transfer", 0, **_METHODS["method_transfer"])}, {said("method_transfer", 1, **_METHODS["method_transfer"])} FROM tg),
+      cw AS (SELECT *, list_filter({plain_words("rq", 3)}, lambda w: NOT list_contains({_list(QUESTION_STOPS)}, lower(w))) AS ws FROM cand),
+      qs AS (SELECT id, CASE kind WHEN 't' THEN [title, array_to_string(ws[1:3], ' '), array_to_string(ws[1:3], ' ') || ' evaluation', array_to_string(ws[1:3], ' ') || ' benchmark']
+               ELSE [title, array_to_string(ws[1:4], ' '), array_to_string(ws[1:3], ' ') || ' benchmark review', array_to_string(ws[1:2], ' ') || ' robustness solution'] END AS q FROM cw),
+      oq AS (SELECT id, generate_subscripts(q, 1) AS pos, unnest(q) AS query FROM qs),
+      ot AS (SELECT id AS cid, pos, unnest({parts("query")}) AS t FROM oq), os AS (SELECT cid, pos, tokens.id, sum(tokens.w)::BIGINT AS hits FROM tokens JOIN ot USING (t) GROUP BY ALL),
+      orr AS (SELECT *, row_number() OVER (PARTITION BY cid, pos ORDER BY hits DESC, year DESC, cites DESC, {stored_title("title")}, id) AS nth FROM os JOIN papers USING (id)),
+      kw AS (SELECT *, list_distinct({plain_words("lower(title || ' ' || rq)", 3)}) AS kt FROM cand),
+      fp AS (SELECT DISTINCT cid AS id, id AS paper_id FROM orr WHERE nth <= 5), pw AS (SELECT id AS paper_id, list_distinct({plain_words("lower(concat_ws(' ', title, abstract))", 3)}) AS pt FROM papers WHERE id IN (SELECT paper_id FROM fp))
+      SELECT id, paper_id, len(list_intersect(kt, pt))::BIGINT AS shared FROM fp JOIN kw USING (id) JOIN pw USING (paper_id) WHERE NOT EXISTS (SELECT 1 FROM sp WHERE gap_key = id AND sp.paper_id = fp.paper_id) AND len(list_intersect(kt, pt)) >= 3"""
+ORACLES["reviewed_provenance"] = rf"""WITH {OVERLAPS}, on_card AS (SELECT 'd' || doc_id AS paper_id, doc_id, lang, list_distinct({plain_words("lower(source || ' improves under ' || word)", 3)}) AS cw FROM ec WHERE doc_id % 10 = 0),
+      rs AS (SELECT id, first(paper_id ORDER BY doc_id) AS resolved_by FROM kw JOIN on_card ON topic = lang WHERE len(list_intersect(kt, cw)) >= 3 AND NOT list_contains(cited, paper_id) GROUP BY id),
+      on_fresh AS (SELECT id, count(*) AS n FROM ov GROUP BY id),
+      g AS (SELECT cid AS id, pos, string_agg(orr.id, '+' ORDER BY nth) AS ids FROM orr WHERE nth <= 5 GROUP BY ALL),
+      lg AS (SELECT oq.id, count(*) AS n, sha256(string_agg(query || '|' || coalesce(ids, '') || '|arxiv', ',' ORDER BY oq.pos)) AS retrieved FROM oq LEFT JOIN g ON g.id = oq.id AND g.pos = oq.pos GROUP BY oq.id),
+      evd AS ({_union(EVIDENCE, "contradiction", "evaluation")}), su AS ({_union(SUPPORTS, "contradiction", "evaluation")}),
+      e1 AS (SELECT gap_key, count(*) AS n, coalesce(string_agg(paper_id || ':' || claim_or_field, ',' ORDER BY pos) FILTER (side = 'supporting'), '') AS f, coalesce(string_agg(paper_id || ':' || claim_or_field, ',' ORDER BY pos) FILTER (side = 'conflicting'), '') AS a FROM evd GROUP BY 1),
+      s1 AS (SELECT gap_key, count(*) FILTER (side = 'supporting') AS f, count(*) FILTER (side = 'conflicting') AS a FROM su GROUP BY 1),
+      co AS (SELECT topic, count(DISTINCT paper_id) AS n FROM scope GROUP BY 1 UNION ALL SELECT lang, count(*) FROM ec GROUP BY 1)
+      SELECT cand.id AS gap_key, CASE WHEN resolved_by IS NOT NULL THEN 'rejected' ELSE 'downgraded' END AS review_status, CASE WHEN resolved_by IS NOT NULL THEN 0 ELSE round(greatest(0.1, confidence - 0.15), 2) END::DOUBLE AS confidence, e1.n::INT AS evidence_count,
+        s1.f::INT AS supporting, s1.a::INT AS conflicting, co.n::INT AS corpus, co.n || ' stored cards of ' || topic AS search_scope, lg.n::INT AS retrievals, retrieved, e1.f AS evidence_for,
+        concat_ws(',', nullif(e1.a, ''), resolved_by || ':main_claims') AS evidence_against, (2 + (kind = 'c' AND confidence = 0.38)::INT + 1)::INT AS caveats
+      FROM cand JOIN e1 ON e1.gap_key = cand.id JOIN s1 ON s1.gap_key = cand.id JOIN co USING (topic) JOIN lg ON lg.id = cand.id LEFT JOIN rs ON rs.id = cand.id LEFT JOIN on_fresh ON on_fresh.id = cand.id"""
+
+
 def _short(x: str, n: int) -> str:
     return f"(CASE WHEN length({x}) <= {n} THEN {x} ELSE substr({x}, 1, {n - 3}) || '...' END)"
 

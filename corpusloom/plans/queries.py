@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import critic, gaps, resolve, search, sections, upsert, watch
+from ..operators import critic, gaps, provenance, resolve, search, sections, upsert, watch
 from ..operators.components import cut_lineage
 from ..sources import feeds
 from ..streaming import watch as streaming
@@ -160,38 +160,123 @@ def scan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.scan_claims(docs.select("source", F.concat("text", tail).alias("text")), "source", "text")
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contradiction = _contradictions(spark, sf_dir)
-    cards = V.evaluated_cards(spark, sf_dir)
-    return gaps.as_candidates(contradiction=contradiction, evaluation=gaps.evaluation_gaps(cards, gaps.build_facets(cards)))
+def _mined(spark: SparkSession, sf_dir: str, *kinds: str) -> list[tuple[DataFrame, dict]]:
+    """Facets and what was mined of them, by kind: limitations and claims of each item's scope, conditions and methods of each language's documents."""
+    out = []
+    if {"explicit", "contradiction"} & set(kinds):
+        cards = cut_lineage(V.scoped_cards(spark, sf_dir))
+        facets, found = gaps.build_facets(cards), {}
+        if "explicit" in kinds:
+            grouped = cut_lineage(gaps.group_statements(gaps.limitation_statements(facets)))
+            found |= {"grouped": grouped, "explicit": gaps.explicit_gaps(grouped)}
+        if "contradiction" in kinds:
+            found["contradiction"] = cut_lineage(gaps.contradictions(cards, facets))
+        out.append((facets, found))
+    if "evaluation" in kinds:
+        cards = V.evaluated_cards(spark, sf_dir)
+        facets = gaps.build_facets(cards)
+        out.append((facets, {"evaluation": cut_lineage(gaps.evaluation_gaps(cards, facets))}))
+    if {"coverage", "transfer"} & set(kinds):
+        cards = V.method_cards(spark, sf_dir)
+        facets = gaps.build_facets(cards)
+        found = {"coverage": gaps.coverage_gaps, "transfer": gaps.method_transfers}
+        out.append((facets, {k: cut_lineage(f(cards, facets)) for k, f in found.items() if k in kinds}))
+    return out
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _of_mined(mined: list[tuple[DataFrame, dict]], function) -> DataFrame:
+    return _all([function(facets, **found) for facets, found in mined])
+
+
+def _as_candidates(mined: list[tuple[DataFrame, dict]]) -> DataFrame:
+    return gaps.as_candidates(**{k: v for _, found in mined for k, v in found.items() if k != "grouped"})
+
+
+KINDS = ["explicit", "contradiction", "evaluation", "coverage", "transfer"]
+
+
+def candidate_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many papers each candidate of the five kinds rests on, on either side, and which."""
+    rows = _of_mined(_mined(spark, sf_dir, *KINDS), provenance.supports)
+    return rows.groupBy("gap_key", "side").agg(F.count("*").alias("papers"), F.sha2(F.array_join(F.array_sort(F.collect_list("paper_id")), ","), 256).alias("ids_sha256"))
+
+
+def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of evidence of each candidate of the five kinds."""
+    return _of_mined(_mined(spark, sf_dir, *KINDS), provenance.evidence)
+
+
+def _candidates(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[DataFrame, DataFrame, list]:
+    """Candidates by their full key, the papers that they rest on, and what they were mined from."""
+    mined = _mined(spark, sf_dir, *kinds)
+    found = cut_lineage(_as_candidates(mined).withColumn("id", F.col("gap_key")))
+    return found, cut_lineage(_of_mined(mined, provenance.supports).withColumnRenamed("gap_key", "id")), mined
 
 
 def derive_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _candidates(spark, sf_dir).withColumn("id", F.col("gap_key"))
-    return critic.derive_queries(found).select("id", "pos", "query")
+    return critic.derive_queries(_candidates(spark, sf_dir, "contradiction", "evaluation")[0]).select("id", "pos", "query")
 
 
-def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Candidates, fetched papers of their queries, overlaps, and the feeds."""
-    papers = V.papers(spark, sf_dir)
-    found = cut_lineage(_candidates(spark, sf_dir).withColumn("id", F.col("gap_key")))
+def _fetched(found: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best papers of each candidate's queries, and the feeds."""
     asked = critic.derive_queries(found)
     hits = search.lexical_search(asked.select(F.struct("id", "pos").alias("query_id"), "query"), papers, None, 5)
-    fetched = cut_lineage(hits.select("query_id.id", "query_id.pos", "rank", "paper_id"))
-    feeds_state = papers.select("source").distinct().withColumn("warning", F.lit(None).cast("string"))
-    return found, fetched, critic.overlap_check(found, fetched, papers), feeds_state
+    return cut_lineage(hits.select("query_id.id", "query_id.pos", "rank", "paper_id")), papers.select("source").distinct().withColumn("warning", F.lit(None).cast("string"))
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Candidates, their support, fetched papers of their queries, overlaps, and the feeds."""
+    found, support, _ = _candidates(spark, sf_dir, "contradiction", "evaluation")
+    fetched, state = _fetched(found, V.papers(spark, sf_dir))
+    return found, support, fetched, critic.overlap_check(found, fetched, V.papers(spark, sf_dir), support.where("side = 'supporting'")), state
 
 
 def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reviewed(spark, sf_dir)[2]
+    return _reviewed(spark, sf_dir)[3]
+
+
+def overlap_of_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh papers that overlap with candidates of coverage and of method transfer; their own papers don't count."""
+    found, support, _ = _candidates(spark, sf_dir, "coverage", "transfer")
+    papers = V.method_papers(spark, sf_dir)
+    return critic.overlap_check(found, _fetched(found, papers)[0], papers, support)
 
 
 def critic_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, overlaps, state = _reviewed(spark, sf_dir)
-    invalid = critic.memory_invalidation(found, V.claiming_cards(spark, sf_dir))
+    found, support, _, overlaps, state = _reviewed(spark, sf_dir)
+    invalid = critic.memory_invalidation(found, V.claiming_cards(spark, sf_dir), support)
     return critic.decide(found, invalid, overlaps, state).select("id", "decision", "resolved_by", F.size("overlapping_paper_ids").alias("overlapping"), "new_confidence")
 
 
+def reviewed_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contradictions and evaluation gaps as rows of the memory's table after a review, their nested provenance told in figures."""
+    papers, now = V.papers(spark, sf_dir), F.lit("2026-01-01").cast("timestamp")
+    found, support, mined = _candidates(spark, sf_dir, "contradiction", "evaluation")
+    fetched, state = _fetched(found, papers)
+    state = state.withColumn("warning", F.when(F.col("source") == "arxiv", "out of reach"))
+    pieces = _of_mined(mined, provenance.evidence)
+    corpus = _all([facets.select(F.col("topic").cast("string").alias("topic"), F.col("paper_id").cast("string").alias("paper_id")).distinct() for facets, _ in mined])
+    rows = provenance.with_provenance(found, support.withColumnRenamed("id", "gap_key"), pieces, papers, corpus, now)
+    invalid = cut_lineage(critic.memory_invalidation(found, V.claiming_cards(spark, sf_dir), support))
+    decided = critic.decide(rows, invalid, critic.overlap_check(found, fetched, papers, support.where("side = 'supporting'")), state)
+    log = critic.retrieval_log(critic.derive_queries(found), fetched, state, now)
+    after = provenance.after_review(rows, decided, log, invalid, papers)
+    p, join = F.col("provenance"), lambda x: F.array_join(x, ",")
+    told = lambda side: F.array_join(F.transform(p[side], lambda e: F.concat_ws(":", e["paper_id"], e["claim_or_field"])), ",")
+    return after.select(
+        "gap_key", "review_status", "confidence", "evidence_count", F.size("supporting_papers").alias("supporting"), F.size("conflicting_papers").alias("conflicting"), F.size(p["corpus_paper_ids"]).alias("corpus"), "search_scope",
+        F.size(p["retrievals"]).alias("retrievals"), F.sha2(join(F.transform(p["retrievals"], lambda r: F.concat_ws("|", r["query"], F.array_join(r["retrieved_paper_ids"], "+"), F.array_join(r["failed_sources"], "+")))), 256).alias("retrieved"),
+        told("supporting_evidence").alias("evidence_for"), told("conflicting_evidence").alias("evidence_against"), F.size("caveats").alias("caveats"),
+    )
+
+
 def track_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.track_discoveries(None, V.sightings(spark, sf_dir)).select("watch_topic_id", "paper_id", "first_seen_at", "last_seen_at", F.round("rank_score", 9).alias("rank_score"))
 
@@ -252,17 +337,11 @@ def scan_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run log of days, sent where the day's events are many; what is to be sent up to the end."""
-    days = V.table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("period_start")).agg(F.count("*").alias("n"), F.max(F.max("ts")).over(_all()).alias("end"))
+    days = V.table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("period_start")).agg(F.count("*").alias("n"), F.max(F.max("ts")).over(Window.partitionBy(F.lit(1))).alias("end"))
     runs = days.select("period_start", (F.col("period_start") + F.expr("INTERVAL 1 day")).alias("period_end"), F.when(F.col("n") % 2 == 0, "sent").otherwise("failed").alias("status"))
     return watch.digest_periods(runs, F.lit("2100-01-01").cast("timestamp"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def detect_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.detect_sections(V.sectioned(spark, sf_dir)).select("doc", "ord", "section", "body")
 
@@ -406,7 +485,7 @@ def scanned_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each query of a candidate brought, with one feed out of reach."""
-    found, fetched, _, state = _reviewed(spark, sf_dir)
+    found, _, fetched, _, state = _reviewed(spark, sf_dir)
     state = state.withColumn("warning", F.when(F.col("source") == "arxiv", "out of reach"))
     log = critic.retrieval_log(critic.derive_queries(found), fetched, state, F.lit("2026-01-01").cast("timestamp"))
     return log.select("id", "pos", "query", F.array_join("retrieved_paper_ids", ",").alias("ids"), F.col("result_count").cast("long").alias("result_count"), F.array_join("successful_sources", ",").alias("answered"), F.array_join("failed_sources", ",").alias("failed"))
@@ -528,5 +607,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_state, digest_periods, detect_sections, select_sections, validate_evidence, text_gate, upsert_snapshot, parent_check, unique_names, cascade_delete, feed_counts, ingest_openalex,
         ingest_arxiv, ingest_semantic_scholar, retrieved_gaps, analyzed_topics, analyzed_gaps, scanned_topics, retrieval_log, appended_reviews, reconciled_cards, reconciled_sources, picked_insights,
         first_fit_groups, transfers_by_class, cleaned_papers, names_and_links, rewritten_claims, latest_reviews, candidate_details, listed_candidates, updated_status, upserted_cards, evidence_packets,
+        candidate_supports, candidate_evidence, overlap_of_methods, reviewed_provenance,
     )
 }

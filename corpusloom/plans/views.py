@@ -108,6 +108,14 @@ def method_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def method_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers that say at their end which method they use, and on what."""
+    method = F.element_at(F.array(*map(F.lit, METHOD_NAMES)), (F.col("n_chars") % len(METHOD_NAMES) + 1).cast("int"))
+    used = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit(" This uses "), method, F.lit(" evaluated on dataset "), "source").alias("used"))
+    rows = papers(spark, sf_dir)
+    return rows.join(used, "id").withColumn("abstract", F.concat("abstract", "used")).select(*rows.columns)
+
+
 def varied_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as cards that have a contribution, a claim, a method or a limitation, or nothing, in turn."""
     turn = F.col("doc_id") % 5
