@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +41,16 @@ def few(df: DataFrame, more: Column | None = None, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if held <= limit else df
 
 
+def in_order(rows: DataFrame, *order: Column, name: str = "nth") -> DataFrame:
+    """``rows`` with a column ``name``: the place of each in the order, from 0; range partitions, their counts summed up, and the place inside one."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(placed.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # over one row for each partition
+    offsets = placed.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
@@ -56,27 +66,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct()
     )
     n = now.count()
-    few = lambda df: sized(df, 2 * n)  # noqa: E731  no round has more edges than the first
-    now, before = few(now), None
+    small_parts = lambda df: sized(df, 2 * n)  # noqa: E731  no round has more edges than the first
+    now, before = small_parts(now), None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = few(now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")))
-        large = few(large.where(F.col("u") != F.col("v")).distinct())
-        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = few(large.join(least, "u"))
+        least = small_parts(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = small_parts(now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")))
+        large = small_parts(large.where(F.col("u") != F.col("v")).distinct())
+        least = small_parts(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = small_parts(large.join(least, "u"))
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(joined.select("u", F.col("m").alias("v")))
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        now = cut_lineage(few(small))
+        now = cut_lineage(small_parts(small))
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (mark["n"], mark["h"]) == before:
             break
         before = (mark["n"], mark["h"])
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = few(now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"))
+    stars = small_parts(now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -96,7 +96,7 @@ def merge_duplicates(papers: DataFrame, components: DataFrame) -> DataFrame:
     feed = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FEED_ORDER.items() for x in kv]), F.col("source")), F.lit(99))
     rank = F.struct((-metadata_score()).alias("s"), feed.alias("f"), F.col("id"))
     rows = papers.join(components, "ord").withColumn("rank", rank).withColumn("n_doi", T.norm_doi(F.col("doi")))
-    own = F.create_map("source", F.regexp_replace("id", "^[^:]*:", ""))
+    own = F.regexp_replace("id", "^[^:]*:", "")
     ids = F.map_filter("external_ids", lambda _, v: v.isNotNull() & (v != ""))
     first = lambda c, given: F.min_by(F.when(given, F.col(c)), F.when(given, F.col("rank")))
     grouped = rows.groupBy("component").agg(
@@ -108,15 +108,18 @@ def merge_duplicates(papers: DataFrame, components: DataFrame) -> DataFrame:
         first("n_doi", F.col("n_doi").isNotNull()).alias("doi"),
         first("url", F.coalesce(F.col("url") != "", F.lit(False))).alias("url"),
         F.max("citation_count").alias("citation_count"),
-        F.collect_list(F.struct("rank", ids.alias("ids"), own.alias("own"))).alias("maps"),
         F.count("*").alias("records"),
     )
-    empty = F.create_map().cast("map<string,string>")
+    # of each identifier the value of the last record that has it counts, else the first one's own id; a row for each identifier, however many records
+    given = F.transform(F.map_entries(ids), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(False).alias("own")))
+    entries = rows.select("component", "rank", F.inline(F.concat(F.coalesce(given, F.array().cast("array<struct<key:string,value:string,own:boolean>>")), F.array(F.struct(F.col("source").alias("key"), own.alias("value"), F.lit(True).alias("own"))))))
+    by_key = entries.groupBy("component", "key").agg(
+        F.coalesce(F.max_by(F.when(~F.col("own"), F.col("value")), F.when(~F.col("own"), F.col("rank"))), F.min_by(F.when(F.col("own"), F.col("value")), F.when(F.col("own"), F.col("rank")))).alias("value")
+    )
+    maps = by_key.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("ids"))
     put = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))  # noqa: E731  the later value wins
-    add = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, y))
-    in_order = lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
-    merged = F.aggregate(F.array_sort("maps", in_order), empty, lambda acc, m: add(put(acc, m["ids"]), m["own"]))
-    merged = F.when(F.col("doi").isNotNull(), put(merged, F.create_map(F.lit("doi"), F.col("doi")))).otherwise(merged)
+    grouped = grouped.join(maps, "component")
+    merged = F.when(F.col("doi").isNotNull(), put(F.col("ids"), F.create_map(F.lit("doi"), F.col("doi")))).otherwise(F.col("ids"))
     return grouped.select(
         "component", "lead.id", "lead.title", "abstract", "authors", "publication_year", "venue", "doi", "url", "citation_count", "lead.source", merged.alias("external_ids"), "records"
     )

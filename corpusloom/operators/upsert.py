@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .components import cut_lineage, few
+
 
 def richer(a: Column, b: Column) -> Column:
     """The longer of two texts by trimmed length; the first of equals; whichever is there."""
@@ -44,6 +46,22 @@ def upsert_snapshot(base: DataFrame, incoming: DataFrame, keys: list[str], rules
     )
 
 
+def upsert_partitions(path: str, incoming: DataFrame, keys: list[str], partition: list[str], rules: dict[str, str] | None = None, order: str = "ord", now: str = "updated_at") -> DataFrame:
+    """``upsert_snapshot`` onto a table stored by ``partition`` columns, in place: only partitions that ``incoming`` touches are read and written.
+
+    A key stays in its partition: (partition, keys) is what rows are known by. The touched partitions are few rows, so they prune the scan as it
+    runs; their next state is stored aside before it replaces them (dynamic partition overwrite), so a job that stops can be run again.
+    Returns the touched partitions.
+    """
+    spark = incoming.sparkSession
+    base = spark.read.parquet(path)
+    touched = cut_lineage(incoming.select(*partition).distinct())
+    old = base.join(few(touched, F.lit(64)), partition, "left_semi")
+    after = cut_lineage(upsert_snapshot(old, incoming, [*partition, *keys], rules, order, now).select(*base.columns))
+    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+    return touched
+
+
 def check_parents(rows: DataFrame, parents: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, DataFrame]:
     """Rows whose parents all exist, and the others with the reason. ``parents``: column -> (table, its key)."""
     marked = rows.withColumn("__missing", F.array().cast("array<string>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
-from .components import few
+from .components import cut_lineage, few
 from .upsert import check_parents
 
 
@@ -74,6 +74,33 @@ def scan_topics(topics: DataFrame, papers: DataFrame, discoveries: DataFrame | N
     return after, counters
 
 
+def scan_status(
+    topics: DataFrame, papers: DataFrame, discoveries: DataFrame | None, current_year: int, now: Column, failures: DataFrame | None = None, k: int = 10, cap: int = 3, least: float = 0.35
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Next discoveries, delivered notifications, and a status row for each enabled topic: scanned_at, error, retrieved, persisted, new, delivered.
+
+    A topic that can't be searched (no query, or one of ``failures``: watch_topic_id and error) is a row with its error and no counts; all
+    others are scanned in one job. Of a scanned topic the pending discoveries are delivered and marked. The rows are what ``scan_state`` takes.
+    """
+    enabled = topics.where("enabled").select(F.col("id").alias("watch_topic_id"), "query")
+    empty = F.when(F.coalesce(T.collapse(F.col("query")), F.lit("")) == "", F.lit("the query is empty"))
+    if failures is None:
+        judged = enabled.withColumn("error", empty)
+    else:
+        told = failures.groupBy("watch_topic_id").agg(F.min(F.coalesce("error", F.lit("unknown failure"))).alias("told"))
+        judged = enabled.join(told, "watch_topic_id", "left").withColumn("error", F.coalesce("told", empty)).drop("told")
+    judged = cut_lineage(judged)
+    asked = judged.where("error IS NULL").select(F.col("watch_topic_id").alias("id"), "query", F.lit(True).alias("enabled"))
+    after, counters = scan_topics(asked, papers, discoveries, current_year, now, k)
+    after = cut_lineage(after)
+    due = cut_lineage(pending_notifications(after.join(asked.select(F.col("id").alias("watch_topic_id")), "watch_topic_id", "left_semi"), cap, least))
+    delivered = due.groupBy("watch_topic_id").agg(F.count("*").alias("delivered"))
+    marked = mark_notified(after, due, now).drop("marked")
+    counts = counters.withColumn("persisted", F.col("retrieved")).join(delivered, "watch_topic_id", "left").na.fill(0)
+    status = judged.select("watch_topic_id", now.alias("scanned_at"), "error").join(counts, "watch_topic_id", "left").na.fill(0, ["retrieved", "persisted", "new", "delivered"])
+    return marked, due, status
+
+
 # -- digests -----------------------------------------------------------------------------
 
 

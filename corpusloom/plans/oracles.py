@@ -72,7 +72,7 @@ PAPERS = """papers AS (SELECT doc_id AS ord, 'd' || doc_id AS id, split_part(tex
 
 INDEX = f"""tokens AS (SELECT id, unnest({words_of(stored_title("title"))}) AS t, 3 AS w FROM papers UNION ALL SELECT id, unnest({parts("abstract")}), 2 FROM papers)"""
 
-CARD_TOKENS = f"""card_tokens AS (SELECT 'd' || doc_id AS id, unnest({parts("concat_ws(' ', source, lang, split_part(text, chr(10), 1), split_part(text, chr(10), 1), CASE WHEN quality = 1 THEN 'improves' ELSE 'degrades' END)")}) AS t, 1 AS w
+CARD_TOKENS = f"""card_tokens AS (SELECT 'd' || doc_id AS id, unnest({parts("concat_ws(' ', source, lang, text, text, CASE WHEN quality = 1 THEN 'improves' ELSE 'degrades' END)")}) AS t, 1 AS w
     FROM documents JOIN labels USING (doc_id))"""
 
 
@@ -86,15 +86,16 @@ def scores(cards: bool) -> str:
 
 
 SCOPED = f"""{scores(True)},
-    scope AS (SELECT query_id::VARCHAR AS topic, id AS paper_id, rank AS paper_ord, quality, title, venue, lang FROM r JOIN labels ON ord = doc_id WHERE rank <= 50)"""
+    scope AS (SELECT query_id::VARCHAR AS topic, id AS paper_id, rank AS paper_ord, quality, abstract, venue, lang FROM r JOIN labels ON ord = doc_id WHERE rank <= 50)"""
 
 STATEMENTS = f"""{SCOPED},
-    st AS (SELECT topic, paper_id, trim(title) AS statement, {miner_words("title")} AS tokens, paper_ord FROM scope WHERE trim(title) <> ''),
+    st AS (SELECT topic, paper_id, trim(abstract, ' ') AS statement, {miner_words("abstract")} AS tokens, paper_ord FROM scope WHERE trim(abstract, ' ') <> ''),
     nst AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY paper_ord) AS nth FROM st WHERE len(tokens) > 0),
-    e AS (SELECT a.topic, a.nth AS x, b.nth AS y FROM nst a JOIN nst b ON a.topic = b.topic AND a.nth <> b.nth
-          WHERE len(list_intersect(a.tokens, b.tokens)) >= 2 OR len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) >= 0.35),
-    reach(topic, x, y) AS (SELECT topic, nth, nth FROM nst UNION SELECT reach.topic, reach.x, e.y FROM reach JOIN e ON reach.topic = e.topic AND reach.y = e.x),
-    g AS (SELECT topic, x AS nth, min(y) AS grp FROM reach GROUP BY ALL),
+    f AS (SELECT topic, nth, 1::BIGINT AS grp, [tokens] AS gs FROM nst WHERE nth = 1
+        UNION ALL SELECT topic, nth, coalesce(fit, len(gs) + 1) AS grp, CASE WHEN fit IS NULL THEN list_append(gs, tokens) ELSE list_transform(gs, lambda g, i: CASE WHEN i = fit THEN list_distinct(list_concat(g, tokens)) ELSE g END) END
+          FROM (SELECT n.topic, n.nth, n.tokens, f.gs, list_position(list_transform(f.gs, lambda g: len(list_intersect(g, n.tokens)) >= 2 OR len(list_intersect(g, n.tokens)) / len(list_distinct(list_concat(g, n.tokens))) >= 0.35), true)::BIGINT AS fit
+            FROM f JOIN nst n ON n.topic = f.topic AND n.nth = f.nth + 1)),
+    g AS (SELECT topic, nth, grp FROM f),
     sg AS (SELECT nst.*, grp FROM nst JOIN g USING (topic, nth))"""
 
 THEMES = f"""{STATEMENTS},
@@ -150,7 +151,7 @@ def cut(x: str, limit: str) -> str:
 
 _POLARITY = "CASE WHEN pos AND NOT neg THEN 'positive' WHEN neg AND NOT pos THEN 'negative' ELSE 'neutral' END"
 CONTRADICTIONS = rf"""{SCOPED},
-    cl0 AS (SELECT *, title || CASE WHEN quality = 1 THEN ' improves' ELSE ' degrades' END AS claim FROM scope),
+    cl0 AS (SELECT *, abstract || CASE WHEN quality = 1 THEN ' improves' ELSE ' degrades' END AS claim FROM scope),
     cl1 AS (SELECT *, regexp_matches(lower(claim), '{"|".join(POSITIVE)}') AS pos, regexp_matches(lower(claim), '{"|".join(NEGATIVE)}') AS neg FROM cl0),
     cl AS (SELECT topic, paper_id, paper_ord, lang, claim, {_POLARITY} AS pol, list_filter({miner_words("claim")}, lambda w: length(w) >= 3 AND NOT list_contains({_list(GENERIC)}, w)) AS tk FROM cl1),
     pr AS (SELECT a.topic, a.paper_id AS paper_a, b.paper_id AS paper_b, array_to_string(list_sort(list_intersect(a.tk, b.tk))[1:3], ' ') AS concept, a.lang <> b.lang AS conditioned
@@ -238,7 +239,7 @@ ORACLES: dict[str, str] = {
       qq AS (SELECT item_id AS question_id, 'p' || item_id % 3 AS project_id, list_distinct({plain_words(fold("text"), 1)}) AS q FROM benchmark),
       lk AS (SELECT 'p' || doc_id % 3 AS project_id, 'd' || doc_id AS id, CASE WHEN toxic = 1 THEN 'seed' WHEN quality = 0 THEN 'background' ELSE 'other' END AS relation FROM labels),
       fl AS (SELECT id, list_distinct({plain_words(fold("title"), 1)}) AS t, list_distinct({plain_words(fold("abstract"), 1)}) AS a, list_distinct({plain_words(fold("concat_ws(' ', venue, papers.lang)"), 1)}) AS au,
-               CASE WHEN quality IS NULL THEN [] ELSE list_distinct({plain_words(fold("concat_ws(' ', venue, papers.lang, title, title, CASE WHEN quality = 1 THEN 'improves' ELSE 'degrades' END)"), 1)}) END AS c FROM papers LEFT JOIN labels ON ord = doc_id),
+               CASE WHEN quality IS NULL THEN [] ELSE list_distinct({plain_words(fold("concat_ws(' ', venue, papers.lang, abstract, abstract, CASE WHEN quality = 1 THEN 'improves' ELSE 'degrades' END)"), 1)}) END AS c FROM papers LEFT JOIN labels ON ord = doc_id),
       cd AS (SELECT query_id AS question_id, id FROM r WHERE rank <= 30 UNION SELECT question_id, id FROM qq JOIN lk USING (project_id)),
       h AS (SELECT question_id, project_id, id, 3.0 * len(list_intersect(q, t)) + 2.0 * len(list_intersect(q, a)) + len(list_intersect(q, c)) + len(list_intersect(q, au)) AS lexical FROM cd JOIN qq USING (question_id) JOIN fl USING (id)),
       b AS (SELECT h.*, relation, 2 * lexical + CASE relation WHEN 'seed' THEN 8 WHEN 'background' THEN 2 WHEN 'other' THEN 2 ELSE 0 END AS total FROM h LEFT JOIN lk USING (project_id, id) WHERE lexical > 0),
@@ -367,13 +368,8 @@ ORACLES: dict[str, str] = {
     "reconciled_sources": """WITH e AS (SELECT user_id, event_type, max(ts) AS t, min(event_id) AS e FROM events GROUP BY ALL)
       SELECT (user_id % 25)::VARCHAR AS paper_id, event_type AS provider, 'x' AS external_id, max(t) AS retrieved_at, first('https://events.example/' || e ORDER BY user_id >= 25, user_id::VARCHAR) FILTER (e % 3 <> 0) AS source_url FROM e GROUP BY ALL""",
     "picked_insights": """SELECT 'd' || doc_id AS paper_id, CASE doc_id % 5 WHEN 1 THEN 'Stored claim' WHEN 2 THEN 'Method' ELSE 'Contribution' END AS kind,
-      CASE doc_id % 5 WHEN 2 THEN source ELSE split_part(text, chr(10), 1) END AS text, CASE doc_id % 5 WHEN 1 THEN 'Results' END AS source_section FROM documents WHERE doc_id % 5 <> 4""",
-    "first_fit_groups": f"""WITH RECURSIVE {STATEMENTS}, f AS (
-        SELECT topic, nth, paper_id, 1::BIGINT AS grp, [tokens] AS gs FROM nst WHERE nth = 1
-        UNION ALL SELECT topic, nth, paper_id, coalesce(fit, len(gs) + 1) AS grp, CASE WHEN fit IS NULL THEN list_append(gs, tokens) ELSE list_transform(gs, lambda g, i: CASE WHEN i = fit THEN list_distinct(list_concat(g, tokens)) ELSE g END) END
-          FROM (SELECT n.topic, n.nth, n.paper_id, n.tokens, f.gs, list_position(list_transform(f.gs, lambda g: len(list_intersect(g, n.tokens)) >= 2 OR len(list_intersect(g, n.tokens)) / len(list_distinct(list_concat(g, n.tokens))) >= 0.35), true)::BIGINT AS fit
-            FROM f JOIN nst n ON n.topic = f.topic AND n.nth = f.nth + 1))
-      SELECT topic, paper_id, grp AS "group" FROM f""",
+      CASE doc_id % 5 WHEN 2 THEN source ELSE text END AS text, CASE doc_id % 5 WHEN 1 THEN 'Results' END AS source_section FROM documents WHERE doc_id % 5 <> 4""",
+    "first_fit_groups": f"""WITH RECURSIVE {STATEMENTS} SELECT topic, paper_id, grp AS "group" FROM sg""",
     "transfers_by_class": f"""WITH b AS (SELECT doc_id, lang, ({_list(METHOD_NAMES)})[n_chars % {len(METHOD_NAMES)} + 1] AS method, lower(source) AS dataset, 'modality ' || n_chars % 5 AS modality FROM documents WHERE n_chars % 10 <> 4),
       v AS (SELECT doc_id, lang, method, 'dataset' AS dimension, dataset AS value FROM b UNION ALL SELECT doc_id, lang, method, 'modality', modality FROM b), big AS (SELECT lang FROM b GROUP BY 1 HAVING count(*) >= 4),
       k AS (SELECT lang, method, dimension, value, count(*) AS n FROM v GROUP BY ALL), t AS (SELECT lang, dimension, value AS target, count(*) AS target_papers FROM v GROUP BY ALL HAVING count(*) >= 2),
@@ -493,14 +489,14 @@ def _short(x: str, n: int) -> str:
     return f"(CASE WHEN length({x}) <= {n} THEN {x} ELSE substr({x}, 1, {n - 3}) || '...' END)"
 
 
-_CLAIM = "split_part(d.text, chr(10), 1) || CASE WHEN quality = 1 THEN ' improves' ELSE ' degrades' END"
+_CLAIM = "d.text || CASE WHEN quality = 1 THEN ' improves' ELSE ' degrades' END"
 ORACLES["evidence_packets"] = f"""WITH ev AS ({ORACLES["evidence_retrieval"]}), gv AS ({ORACLES["retrieved_gaps"]}),
       asked AS (SELECT item_id AS question_id, 'p' || item_id % 3 AS project_id FROM benchmark), pj AS (SELECT DISTINCT 'p' || doc_id % 3 AS id FROM labels),
       bp AS (SELECT question_id, 0 AS part, 0 AS rank, concat_ws(chr(10), '# Project', 'name: Project ' || id, 'goal: ' || CASE WHEN id <> 'p0' THEN 'Goal of ' || id ELSE 'none' END, 'keywords: key, ' || id, 'constraints: few papers',
         CASE WHEN id = 'p1' THEN 'given up earlier, not to be proposed again: an old idea' END) AS text FROM asked JOIN pj ON id = project_id),
       pp AS (SELECT question_id, 1 AS part, rank, concat_ws(chr(10), '# Paper ' || paper_id, 'title: ' || split_part(d.text, chr(10), 1), 'abstract: ' || {_short("coalesce(nullif(d.text, ''), 'none')", 300)},
           CASE WHEN 'p' || doc_id % 3 = project_id AND quality IS NOT NULL THEN 'relation to the project: ' || CASE WHEN toxic = 1 THEN 'seed, note: read first' WHEN quality = 0 THEN 'background, note: none' ELSE 'other, note: none' END END,
-          CASE WHEN quality IS NOT NULL THEN concat_ws(chr(10), 'methods: ' || source, 'data: ' || lang, 'claims: "' || {_short(_CLAIM, 100)} || '" [Section]', 'limitations: ' || nullif(split_part(d.text, chr(10), 1), '')) END) AS text
+          CASE WHEN quality IS NOT NULL THEN concat_ws(chr(10), 'methods: ' || source, 'data: ' || lang, 'claims: "' || {_short(_CLAIM, 100)} || '" [Section]', 'limitations: ' || nullif(d.text, '')) END) AS text
         FROM ev JOIN asked USING (question_id) JOIN documents d ON 'd' || doc_id = paper_id LEFT JOIN labels USING (doc_id)),
       gg AS (SELECT question_id, 2 AS part, rank, concat_ws(chr(10), '# Gap ' || candidate_id, 'title: ' || split_part(d.text, chr(10), 1), 'kind: explicit', 'review: pending', 'confidence: ' || CASE WHEN doc_id % 2 = 0 THEN '0.5' ELSE 'unknown' END,
           'question: ' || {_short("split_part(d.text, chr(10), 1) || ' ' || source", 200)}, 'description: ' || {_short("d.text", 200)},
@@ -510,3 +506,28 @@ ORACLES["evidence_packets"] = f"""WITH ev AS ({ORACLES["evidence_retrieval"]}),
       al AS (SELECT question_id, part, rank, text FROM bp UNION ALL SELECT question_id, part, rank, {_short("text", 600)} FROM pp UNION ALL SELECT question_id, part, rank, {_short("text", 600)} FROM gg),
       pk AS (SELECT question_id, string_agg(text, chr(10) || chr(10) ORDER BY part, rank) AS p FROM al GROUP BY 1), tr AS (SELECT question_id, {_short("p", 8000)} AS p FROM pk)
       SELECT item_id AS question_id, length(coalesce(p, '')) AS n, sha256(coalesce(p, '')) AS digest FROM benchmark LEFT JOIN tr ON item_id = question_id"""
+
+ORACLES["delivered_notifications"] = f"""WITH {SEEN}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY r DESC, f, user) AS nth FROM seen WHERE r >= 0.35)
+      SELECT event_type AS watch_topic_id, user AS paper_id, round(r, 9) AS rank_score, 1::BIGINT AS times, nth::INT AS nth FROM n WHERE nth <= 3"""
+ORACLES["daily_digests_stream"] = """WITH f AS (SELECT event_type, value / 500 AS r, ts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, value DESC) AS k FROM events)
+      SELECT date_trunc('day', ts)::TIMESTAMP AS period_start, event_type AS watch_topic_id, count(*) AS items, round(max(r), 9) AS highest_rank FROM f WHERE k = 1 GROUP BY ALL"""
+ORACLES["indexed_search"] = ORACLES["lexical_topk"]
+ORACLES["upserted_partitions"] = """WITH i AS (SELECT o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 100000000 END AS id, o_orderpriority AS p, o_totalprice + 1 AS t FROM orders WHERE o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') AND o_orderstatus <> 'F'),
+      a AS (SELECT coalesce(o_orderpriority, p) AS priority, coalesce(t, o_totalprice) AS total, o_orderstatus AS status FROM orders FULL JOIN i ON o_orderkey = id AND o_orderpriority = p)
+      SELECT priority, count(*) AS orders, round(sum(total), 2) AS total, count(status) AS with_status, priority IN (SELECT p FROM i) AS rewritten FROM a GROUP BY priority"""
+ORACLES["document_files"] = r"""WITH t AS (SELECT doc_id, coalesce(text, '') || chr(10) AS x FROM documents), n AS (SELECT doc_id, x, octet_length(encode(x)) AS b, length(x) AS n, length(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) AS a FROM t),
+      j AS (SELECT *, CASE WHEN b > 20000 THEN 'too_large' WHEN n < 200 OR a < 40 THEN 'too_little_text' END AS reason FROM n)
+      SELECT doc_id, CASE WHEN reason IS NULL THEN n END AS n_text, CASE WHEN reason IS NULL THEN sha256(x) END AS content_sha256, reason FROM j"""
+ORACLES["quarantined_feeds"] = """WITH r AS (SELECT 'openalex' AS source, CASE WHEN doc_id % 10 = 3 THEN 'not parsed' WHEN doc_id % 50 = 0 THEN 'no title' ELSE 'papers' END AS reason FROM documents
+        UNION ALL SELECT 'semantic_scholar', CASE WHEN doc_id % 10 = 3 THEN 'not parsed' WHEN doc_id % 7 = 0 THEN 'no id' WHEN doc_id % 50 = 0 THEN 'no title' ELSE 'papers' END FROM documents
+        UNION ALL SELECT 'arxiv', CASE WHEN doc_id % 10 = 3 THEN 'not parsed' WHEN doc_id % 50 = 0 THEN 'no entry but an error' ELSE 'papers' END FROM documents),
+      l AS (SELECT source, count(*) AS n FROM r WHERE reason <> 'papers' GROUP BY 1)
+      SELECT source, reason, count(*) AS records, CASE WHEN reason = 'papers' THEN n || ' records of ' || source || ' could not be used.' END AS warning FROM r JOIN l USING (source) GROUP BY source, reason, n
+      UNION ALL SELECT 'other_feed', 'papers', NULL, 'other_feed was unavailable; results may be partial.'"""
+ORACLES["scanned_status"] = f"""WITH {scores(False)}, ok AS (SELECT item_id, CASE WHEN item_id % 5 = 4 THEN 'no feed  answered' WHEN item_id % 7 = 3 THEN 'the query is empty' END AS error FROM benchmark),
+      ft AS (SELECT *, row_number() OVER (PARTITION BY query_id, feed ORDER BY score DESC, id) AS nth FROM s JOIN papers USING (id) JOIN ok ON query_id = item_id WHERE error IS NULL),
+      fe AS (SELECT query_id, ord FROM ft WHERE nth <= 20), us AS (SELECT * FROM papers WHERE ord IN (SELECT ord FROM fe)), {components("us")}, {MERGED},
+      wq AS (SELECT DISTINCT query_id, component FROM fe JOIN cp USING (ord)), wp AS (SELECT query_id, {words_of(dedup_title("text"))} AS q, mg.* FROM wq JOIN mg USING (component) JOIN benchmark ON query_id = item_id), {ranked("wp")},
+      cn AS (SELECT query_id, count(*) AS n, least(3, count(*) FILTER (score >= 0.35)) AS d FROM fr WHERE rank <= 10 GROUP BY 1)
+      SELECT item_id AS watch_topic_id, error, coalesce(n, 0)::BIGINT AS retrieved, coalesce(n, 0)::BIGINT AS persisted, coalesce(n, 0)::BIGINT AS new, coalesce(d, 0)::BIGINT AS delivered,
+        CASE WHEN error IS NULL THEN TIMESTAMP '2026-01-01' ELSE TIMESTAMP '2025-01-01' END AS last_scan_at, replace(error, '  ', ' ') AS last_error FROM ok LEFT JOIN cn ON query_id = item_id"""

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import critic, gaps, provenance, resolve, search, sections, upsert, watch
-from ..operators.components import cut_lineage
-from ..sources import feeds
-from ..streaming import watch as streaming
+from ..operators import critic, gaps, index, provenance, resolve, search, sections, upsert, watch
+from ..operators.components import cut_lineage, shared_folder
+from ..sources import documents, feeds
+from ..streaming import delivery, first_seen, watch as streaming
 from . import views as V
 
 YEAR = 2026
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder of this run's own, in the one that the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.lexical_search(V.queries(spark, sf_dir), V.papers(spark, sf_dir), None, 10)
 
@@ -139,7 +147,7 @@ def context_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.group_statements(gaps.limitation_statements(gaps.build_facets(V.scoped_cards(spark, sf_dir))))
+    return gaps.group_statements(gaps.limitation_statements(gaps.build_facets(cut_lineage(V.scoped_cards(spark, sf_dir)))), mode="first_fit")
 
 
 def statement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,11 +155,11 @@ def statement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def theme_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.theme_phrases(_grouped(spark, sf_dir))
+    return gaps.theme_phrases(cut_lineage(_grouped(spark, sf_dir)))
 
 
 def explicit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.explicit_gaps(_grouped(spark, sf_dir)).select("topic", "group", "papers", "statements", "evidence_score", "confidence", "theme", "gap_id")
+    return gaps.explicit_gaps(cut_lineage(_grouped(spark, sf_dir))).select("topic", "group", "papers", "statements", "evidence_score", "confidence", "theme", "gap_id")
 
 
 def scan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +175,7 @@ def _mined(spark: SparkSession, sf_dir: str, *kinds: str) -> list[tuple[DataFram
         cards = cut_lineage(V.scoped_cards(spark, sf_dir))
         facets, found = gaps.build_facets(cards), {}
         if "explicit" in kinds:
-            grouped = cut_lineage(gaps.group_statements(gaps.limitation_statements(facets)))
+            grouped = cut_lineage(gaps.group_statements(gaps.limitation_statements(facets), mode="first_fit"))
             found |= {"grouped": grouped, "explicit": gaps.explicit_gaps(grouped)}
         if "contradiction" in kinds:
             found["contradiction"] = cut_lineage(gaps.contradictions(cards, facets))
@@ -283,11 +291,7 @@ def track_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def track_discoveries_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream: all available files through keyed state into a table in the shared folder."""
-    import uuid
-
-    from ..operators.components import shared_folder
-
-    folder = f"{shared_folder(spark)}/track-{uuid.uuid4().hex}"
+    folder = _folder(spark, "track")
     schema = V.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     seen = events.select(F.col("event_type").alias("watch_topic_id"), F.col("user_id").cast("string").alias("paper_id"), (F.col("value") / 500).alias("rank_score"), F.col("ts").alias("seen_at"))
@@ -522,8 +526,7 @@ def picked_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_fit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements grouped in the order they are read, each with the first group that it fits."""
-    statements = gaps.limitation_statements(gaps.build_facets(V.scoped_cards(spark, sf_dir)))
-    return gaps.group_statements(statements, mode="first_fit").select("topic", "paper_id", F.col("group").cast("long").alias("group"))
+    return _grouped(spark, sf_dir).select("topic", "paper_id", F.col("group").cast("long").alias("group"))
 
 
 def transfers_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -598,6 +601,119 @@ def upserted_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(rejected.select("paper_id", "problem", "source_url", F.array_join("selected_sections", ",").alias("sections"), "created_at", "updated_at", "reason"))
 
 
+def delivered_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of sightings whose first run stops between delivery and mark; after the next one each notification is there and marked once."""
+    folder = _folder(spark, "delivery")
+    events = spark.readStream.schema(V.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    seen = events.select(F.col("event_type").alias("watch_topic_id"), F.col("user_id").cast("string").alias("paper_id"), (F.col("value") / 500).alias("rank_score"), F.col("ts").alias("seen_at"))
+    now, sink = F.lit("2030-01-01").cast("timestamp"), delivery.to_log(folder)
+
+    def stops(rows: DataFrame, batch: int) -> None:
+        sink(rows, batch)
+        raise RuntimeError("stopped after delivery")
+
+    try:
+        delivery.run_delivery(seen, folder, now, stops)
+    except StreamingQueryException:
+        pass  # as a lost driver would
+    delivery.run_delivery(seen, folder, now, sink)
+    told = spark.read.schema("delivery_id string, watch_topic_id string, nth int, paper_id string, rank_score double, batch bigint").parquet(f"{folder}/delivered")
+    times = told.groupBy("watch_topic_id", "paper_id").agg(F.count("*").alias("times"), F.min("nth").alias("nth"))
+    marked = delivery.discoveries(spark, folder).where("notified_at IS NOT NULL").select("watch_topic_id", "paper_id", F.round("rank_score", 9).alias("rank_score"))
+    return marked.join(times, ["watch_topic_id", "paper_id"], "full_outer")
+
+
+def daily_digests_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sightings by day from two chained streams; sightings come in six batches, up to two days late."""
+    folder = _folder(spark, "daily")
+    events = V.table(spark, sf_dir, "events")
+    rows = events.select(F.col("event_type").alias("watch_topic_id"), F.col("user_id").cast("string").alias("paper_id"), (F.col("value") / 500).alias("rank_score"), F.col("ts").alias("seen_at"), F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("late"))
+    span = rows.agg(F.min("seen_at").alias("a"), F.max("seen_at").alias("b")).first()
+    if span["a"] is None:
+        return spark.createDataFrame([], "period_start timestamp, watch_topic_id string, items bigint, highest_rank double")
+    arrival = (F.datediff("seen_at", F.lit(span["a"])) + F.col("late")).cast("double") / ((span["b"] - span["a"]).days + 4) * 6
+    rows = cut_lineage(rows.withColumn("batch", F.floor(arrival)).drop("late"))
+    for n in range(6):
+        rows.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    end = span["b"] + timedelta(days=30)
+    rows.limit(1).select(F.lit("").alias("watch_topic_id"), F.lit("").alias("paper_id"), F.lit(0.0).alias("rank_score"), F.lit(end).alias("seen_at")).write.mode("append").parquet(f"{folder}/in")
+    seen = spark.readStream.schema(streaming.SIGHTING).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = first_seen.run_daily(seen, folder, "3 days", str(end + timedelta(days=30)))
+    return out.withColumn("highest_rank", F.round("highest_rank", 9))
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in a stored index after two upserts: all papers, a quarter of them with another text first; then those again as they are."""
+    folder, papers = _folder(spark, "index"), V.papers(spark, sf_dir)
+    early = F.col("ord") % 4 == 0
+    first = papers.withColumns({"title": F.when(early, F.concat(F.lit("Draft of "), F.reverse("title"))).otherwise(F.col("title")), "abstract": F.when(early, F.reverse("abstract")).otherwise(F.col("abstract")), "publication_year": F.when(early, 1990).otherwise(F.col("publication_year"))})
+    index.add_to_index(folder, 0, first)
+    index.add_to_index(folder, 1, papers.where(early))
+    return index.search_index(V.queries(spark, sf_dir), spark, folder, 10)
+
+
+def upserted_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by priority; new totals for the urgent and the unspecified ones are written into their partitions, the others stay as they were."""
+    path = f"{_folder(spark, 'partitions')}/orders"
+    orders = V.table(spark, sf_dir, "orders")
+    base = orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    base.write.partitionBy("priority").parquet(path)
+    written = F.max(F.col("_metadata.file_modification_time")).alias("at")
+    before = cut_lineage(spark.read.parquet(path).groupBy("priority").agg(written))
+    incoming = orders.where("o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') AND o_orderstatus <> 'F'").select(
+        (F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(100_000_000)).alias("id"), F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") + 1).alias("total"), F.col("o_orderkey").alias("ord")
+    )
+    upsert.upsert_partitions(path, incoming, ["id"], ["priority"])
+    rows = spark.read.parquet(path)
+    after = rows.groupBy("priority").agg(F.count("*").alias("orders"), F.round(F.sum("total"), 2).alias("total"), F.count("status").alias("with_status"), written)
+    return after.join(before.withColumnRenamed("at", "was"), "priority").select("priority", "orders", "total", "with_status", (F.col("at") > F.col("was")).alias("rewritten"))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a file of its own, read back within bounds; the others with their reason."""
+    folder = f"{_folder(spark, 'files')}/in"
+    V.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(folder)
+    good, bad = documents.read_documents(spark, folder, most_bytes=20_000, glob="*.txt")
+    name = F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+    null = F.lit(None)
+    return good.select(name, F.length("text").cast("long").alias("n_text"), "content_sha256", null.cast("string").alias("reason")).unionByName(bad.select(name, null.cast("long").alias("n_text"), null.cast("string").alias("content_sha256"), "reason"))
+
+
+def quarantined_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as three landed feeds with broken lines, records without title and error entries; a fourth feed is missing."""
+    folder, docs = _folder(spark, "feeds"), V.table(spark, sf_dir, "documents")
+    number, broken = F.col("doc_id").cast("string"), F.col("doc_id") % 10 == 3
+    title = F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.concat(F.lit("Title "), number))
+    cut = lambda x: F.when(broken, F.left(x, F.length(x) - 3)).otherwise(x).alias("value")
+    pages = {
+        "openalex": F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("https://openalex.org/W"), number).alias("id"), title.alias("title"))).alias("results"))),
+        "semantic_scholar": F.to_json(F.struct(F.array(F.struct(F.when(F.col("doc_id") % 7 != 0, number).alias("paperId"), title.alias("title"), F.col("text").alias("abstract"))).alias("data"))),
+    }
+    for name, page in pages.items():
+        docs.select(cut(page)).write.text(f"{folder}/{name}")
+    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401."), number, F.lit("</id><title>"), F.when(F.col("doc_id") % 50 == 0, "Error").otherwise(title), F.when(broken, "</titel>").otherwise("</title>"), F.lit("</entry>"))
+    docs.select(entry.alias("value")).write.text(f"{folder}/arxiv")
+    landed = {
+        "openalex": documents.quarantine_openalex(spark, f"{folder}/openalex"), "semantic_scholar": documents.quarantine_semantic_scholar(spark, f"{folder}/semantic_scholar"),
+        "arxiv": documents.quarantine_arxiv(spark, f"{folder}/arxiv"), "other_feed": None,
+    }
+    _, rejects, report = documents.feed_report(landed)
+    reasons = rejects.groupBy("source", "reason").agg(F.count("*").alias("records"))
+    counts = report.select("source", F.lit("papers").alias("reason"), F.col("papers").alias("records"), "warning")
+    return counts.unionByName(reasons.withColumn("warning", F.lit(None).cast("string")))
+
+
+def scanned_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of all items as watched topics: some have no query, for some the feeds failed, the others go on."""
+    topics = V.queries(spark, sf_dir).select(F.col("query_id").alias("id"), F.when(F.col("query_id") % 7 == 3, " ").otherwise(F.col("query")).alias("query"), F.lit(True).alias("enabled"))
+    failures = topics.where("id % 5 = 4").select(F.col("id").alias("watch_topic_id"), F.lit("no feed  answered").alias("error"))
+    now = F.lit("2026-01-01").cast("timestamp")
+    _, _, status = watch.scan_status(topics, V.papers(spark, sf_dir), None, YEAR, now, failures)
+    before = topics.select("id", F.lit("2025-01-01").cast("timestamp").alias("last_scan_at"), F.lit("old").alias("last_error"))
+    state = watch.scan_state(before, status.select("watch_topic_id", "scanned_at", "error"))
+    return status.drop("scanned_at").join(state.withColumnRenamed("id", "watch_topic_id"), "watch_topic_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -607,6 +723,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_state, digest_periods, detect_sections, select_sections, validate_evidence, text_gate, upsert_snapshot, parent_check, unique_names, cascade_delete, feed_counts, ingest_openalex,
         ingest_arxiv, ingest_semantic_scholar, retrieved_gaps, analyzed_topics, analyzed_gaps, scanned_topics, retrieval_log, appended_reviews, reconciled_cards, reconciled_sources, picked_insights,
         first_fit_groups, transfers_by_class, cleaned_papers, names_and_links, rewritten_claims, latest_reviews, candidate_details, listed_candidates, updated_status, upserted_cards, evidence_packets,
-        candidate_supports, candidate_evidence, overlap_of_methods, reviewed_provenance,
+        candidate_supports, candidate_evidence, overlap_of_methods, reviewed_provenance, delivered_notifications, daily_digests_stream, indexed_search, upserted_partitions, document_files, quarantined_feeds,
+        scanned_status,
     )
 }

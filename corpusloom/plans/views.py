@@ -43,14 +43,14 @@ def _card(**given) -> list[F.Column]:
 
 
 def document_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as cards: the first line is a limitation, and a claim that improves or degrades by quality."""
+    """Labelled documents as cards: the whole text is a limitation, and a claim that improves or degrades by quality."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    said = F.concat(first_line(), F.when(F.col("quality") == 1, F.lit(" improves")).otherwise(F.lit(" degrades")))
+    said = F.concat("text", F.when(F.col("quality") == 1, F.lit(" improves")).otherwise(F.lit(" degrades")))
     null = F.lit(None).cast("string")
     return docs.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id"), F.col("doc_id").alias("paper_ord"),
         *_card(
-            methods=F.array("source"), datasets=F.array("lang"), limitations=F.array(first_line()), main_claims=F.array(F.struct(said.alias("claim"), null.alias("source_section"), null.alias("supporting_text"))),
+            methods=F.array("source"), datasets=F.array("lang"), limitations=F.array("text"), main_claims=F.array(F.struct(said.alias("claim"), null.alias("source_section"), null.alias("supporting_text"))),
         ),
     )
 
@@ -120,8 +120,8 @@ def varied_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as cards that have a contribution, a claim, a method or a limitation, or nothing, in turn."""
     turn = F.col("doc_id") % 5
     none = F.array().cast(STRINGS)
-    claim = F.struct(first_line().alias("claim"), F.lit("Results").alias("source_section"), F.lit(None).cast("string").alias("supporting_text"))
-    some = lambda k: F.when((turn == k) | (turn == 3), F.array(first_line())).otherwise(none)
+    claim = F.struct(F.col("text").alias("claim"), F.lit("Results").alias("source_section"), F.lit(None).cast("string").alias("supporting_text"))
+    some = lambda k: F.when((turn == k) | (turn == 3), F.array("text")).otherwise(none)
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paper_id"),
         *_card(contributions=some(0), main_claims=F.when(turn == 1, F.array(claim)).otherwise(F.array().cast(CLAIMS)), methods=F.when(turn == 2, F.array("source")).otherwise(none), limitations=F.when(turn == 2, F.array("lang")).otherwise(none)),

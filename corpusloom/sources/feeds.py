@@ -30,11 +30,15 @@ def inverted_abstract(raw: Column) -> Column:
             lambda e: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<string>")), lambda p: p.rlike(r"^\d{1,9}$")), lambda p: F.struct(p.cast("int").alias("at"), e["key"].alias("token"))),
         )
     )
-    # in order of position, then of entry: the last of each position stays
+
+    def joined(placed: Column) -> Column:
+        """In order of position, then of entry: the last of each position stays."""
+        after = F.slice(placed, F.lit(2), F.greatest(F.size(placed), F.lit(1)))
+        tokens = F.zip_with(placed, after, lambda p, q: F.when(q.isNull() | (q["at"] != p["at"]), p["token"]))
+        return F.when(F.size(placed) > 0, F.array_join(tokens, " "))
+
     placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["at"].alias("at"), i.alias("i"), p["token"].alias("token"))))
-    after = F.slice(placed, F.lit(2), F.greatest(F.size(placed), F.lit(1)))
-    tokens = F.zip_with(placed, after, lambda p, q: F.when(q.isNull() | (q["at"] != p["at"]), p["token"]))
-    return F.when(F.size(pairs) > 0, F.array_join(tokens, " "))
+    return F.get(F.transform(F.array(placed), joined), F.lit(0))  # bound to a variable, so that the payload is parsed once
 
 
 def _names(people: Column, name) -> Column:

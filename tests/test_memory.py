@@ -291,7 +291,8 @@ def test_decisions(spark, claim, fetched, warning, want):
     papers = paper(spark, {"id": "f", "title": fetched or "other"})
     fresh = spark.createDataFrame([("c", 1, 1, "f")], "id string, pos int, rank int, paper_id string")
     state = spark.createDataFrame([(f"s{i}", w) for i, w in enumerate(warning)], "source string, warning string")
-    got = critic.decide(found, critic.memory_invalidation(found, rows), critic.overlap_check(found, fresh, papers), state).first()
+    support = found.select("id", F.explode("supporting_papers").alias("paper_id"))
+    got = critic.decide(found, critic.memory_invalidation(found, rows, support), critic.overlap_check(found, fresh, papers, support), state).first()
     assert (got.decision, got.new_confidence) == want and got.caveats[0] == "one"
     log = critic.retrieval_log(critic.derive_queries(found), fresh, state, F.lit(NOW)).orderBy("pos").collect()
     assert log[0].retrieved_paper_ids == ["f"] and log[0].result_count == 1 and len(log[0].failed_sources) == sum(w is not None for w in warning)
