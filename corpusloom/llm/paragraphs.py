@@ -256,6 +256,14 @@ def matches(rows: list[tuple[int, int, bytes]], n: int) -> Iterator[tuple[int, i
     An earlier place in the same text counts if it begins n words before at least. All beginnings of what was met are
     held, so the longest one that a row has is found by halving.
     """
+    if len(rows) == 2:
+        (rid, at, a), (other, place, b) = rows
+        if rid != other or place >= at + n:
+            m, most = 0, min(len(a), len(b))
+            while m < most and a[m : m + 4] == b[m : m + 4]:
+                m += 4
+            yield 1, 0, m // 4
+        return
     seen: dict[bytes, int] = {}
     waiting: list[int] = []
     for i, (rid, at, beyond) in enumerate(rows):
@@ -285,18 +293,33 @@ def _matched(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for table in groups(batches, 1):
-            if table.num_rows < 2:
-                continue
-            rid, doc, at, side = (table.column(c).to_pylist() for c in ("rid", "doc_id", "at", "side"))
+        group: list[tuple] = []
+        last = None
+
+        def finish() -> None:
             best: dict[int, int] = {}
-            for i, j, more in matches(list(zip(rid, at, table.column("beyond").to_pylist(), strict=True)), n):
-                out.append((rid[i], doc[i], at[i], side[i], more, True, doc[j]))
-                best[j] = max(best.get(j, 0), more)
-            out += [(rid[j], doc[j], at[j], side[j], more, False, doc[j]) for j, more in best.items()]
+            for i, j, more in matches([(r[0], r[1], r[4]) for r in group], n):
+                rid, at, doc, side, _ = group[i]
+                out.append((rid, doc, at, side, more, True, group[j][2]))
+                if more >= best.get(j, 0):
+                    best[j] = more
+            for j, more in best.items():
+                rid, at, doc, side, _ = group[j]
+                out.append((rid, doc, at, side, more, False, doc))
+
+        for batch in batches:
+            key, doc, rid, at, side, beyond = (c.to_pylist() for c in batch.columns)
+            for k, *row in zip(key, rid, at, doc, side, beyond, strict=True):
+                if k != last:
+                    if len(group) > 1:
+                        finish()
+                    group, last = [], k
+                group.append(row)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out = []
+        if len(group) > 1:
+            finish()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -344,7 +367,7 @@ HOT = 2_000
 
 
 def verbatim_passages(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, hot: int = HOT) -> DataFrame:
-    """rid, doc_id, w_from, w_to, removed, keep_ids: what stands verbatim elsewhere too, at no matter which place of a line.
+    """rid, w_from, w_to, removed, keep_ids: what stands verbatim elsewhere too, at no matter which place of a line.
 
     ``rows`` has rid, doc_id and the anchors of ``docs``. What n words and more of two texts have in common holds anchors that
     both have, the first and the last of them n - k words from its ends at most. So the words before and after each anchor that occurs
@@ -364,7 +387,7 @@ def verbatim_passages(rows: DataFrame, docs: DataFrame, id_col: str, text_col: s
         parts = parts.unionByName(_hot_matches(many, n, n - k, hot))
     left = F.col("side") == 0
     return parts.select(
-        "rid", "doc_id", F.when(left, F.col("at") - F.col("n_more")).otherwise(F.col("at")).alias("w_from"), F.when(left, F.col("at") + k).otherwise(F.col("at") + k + F.col("n_more")).alias("w_to"),
+        "rid", F.when(left, F.col("at") - F.col("n_more")).otherwise(F.col("at")).alias("w_from"), F.when(left, F.col("at") + k).otherwise(F.col("at") + k + F.col("n_more")).alias("w_to"),
         "removed", F.when(F.col("keep_id").isNotNull(), F.array("keep_id")).otherwise(F.array().cast("array<bigint>")).alias("keep_ids"),
     )
 
@@ -375,7 +398,7 @@ def whole_copies(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = cut_lineage(described.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     met = described.select("rid", "doc_id", "key", "words").join(few(firsts, F.lit(48)), "key").withColumn("removed", F.col("rid") != F.col("first.rid"))
     keep = F.when(F.col("first.doc_id").isNotNull(), F.array("first.doc_id")).otherwise(F.array().cast("array<bigint>"))
-    met = cut_lineage(met.select("rid", "doc_id", F.lit(0).alias("w_from"), F.col("words").cast("int").alias("w_to"), "removed", keep.alias("keep_ids")))
+    met = cut_lineage(met.select("rid", F.lit(0).alias("w_from"), F.col("words").cast("int").alias("w_to"), "removed", keep.alias("keep_ids")))
     return met.where("removed").select("rid"), met
 
 
@@ -384,10 +407,11 @@ def merged(parts: list[dict], least: int) -> list[dict]:
 
     def joined(some: list[dict]) -> list[dict]:
         out: list[dict] = []
-        for p in sorted(some, key=lambda p: (p["w_from"], p["w_to"])):
+        for p in sorted(some, key=lambda p: p["w_from"]):
             if out and p["w_from"] <= out[-1]["w_to"]:
                 q = out[-1]
-                q["w_to"] = max(q["w_to"], p["w_to"])
+                if p["w_to"] > q["w_to"]:
+                    q["w_to"] = p["w_to"]
                 q["keep_ids"].update(p["keep_ids"])
             else:
                 out.append({**p, "keep_ids": set(p["keep_ids"])})
@@ -480,7 +504,7 @@ def repeated_spans(
     run = W.partitionBy("rid").orderBy("para")
     new = (F.col("nth") != F.lag("nth").over(run) + 1) | (F.col("removed") != F.lag("removed").over(run))
     found = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(run))
-    lines = found.groupBy("rid", "doc_id", "span", "removed").agg(
+    lines = found.groupBy("rid", "span", "removed").agg(
         F.min("w_from").alias("w_from"), F.max(F.col("w_from") + F.col("n_words")).alias("w_to"), F.collect_set("head.doc_id").alias("keep_ids")
     )
     parts = lines.drop("span").unionByName(verbatim_passages(described, docs, id_col, text_col, span_words)).unionByName(whole)
