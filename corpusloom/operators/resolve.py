@@ -151,6 +151,28 @@ def canonical_keys(papers: DataFrame, key: str = "id") -> DataFrame:
     return titled.join(keys, key, "left").select(key, F.coalesce("keys", "by_title").alias("keys")).withColumn("canonical_key", F.col("keys")[0])
 
 
+def _shared_keys(rows: DataFrame) -> DataFrame:
+    """(id, key) by doi and by a title of eight characters or more."""
+    doi, title = F.concat(F.lit("doi:"), T.norm_doi_stored(F.col("doi"))), F.concat(F.lit("title:"), T.title_identity(T.norm_title_stored(F.col("title"))))
+    return rows.select("id", doi.alias("key")).unionByName(rows.select("id", title.alias("key")))
+
+
+def _pair_key() -> Column:
+    return F.concat_ws(":", F.lit("pair"), "provider", "external_id")
+
+
+def stored_keys(memory: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, key): all that stored papers can be met by."""
+    named = memory.select("id", F.concat(F.lit("key:"), "canonical_key").alias("key"))
+    return named.unionByName(_shared_keys(memory)).unionByName(sources.select(F.col("paper_id").alias("id"), _pair_key().alias("key"))).where("key IS NOT NULL").distinct()
+
+
+def incoming_keys(incoming: DataFrame) -> DataFrame:
+    """(id, key): all that records of feeds can be met by."""
+    named = canonical_keys(incoming).select("id", F.explode("keys").alias("k")).select("id", F.concat(F.lit("key:"), "k").alias("key"))
+    return named.unionByName(_shared_keys(incoming)).unionByName(source_pairs(incoming).select("id", _pair_key().alias("key"))).where("key IS NOT NULL").distinct()
+
+
 def match_memory(memory: DataFrame, sources: DataFrame, incoming: DataFrame) -> DataFrame:
     """(rid, paper_id): the stored paper that each stored or incoming record belongs to, one job for all.
 
@@ -160,18 +182,7 @@ def match_memory(memory: DataFrame, sources: DataFrame, incoming: DataFrame) ->
     """
     own = F.concat(F.lit("m:"), "id")
     new = F.concat(F.lit("i:"), "id")
-    title = lambda df, rid: df.select(rid.alias("rid"), F.concat(F.lit("title:"), T.title_identity(T.norm_title_stored(F.col("title")))).alias("key"))
-    doi = lambda df, rid: df.select(rid.alias("rid"), F.concat(F.lit("doi:"), T.norm_doi_stored(F.col("doi"))).alias("key"))
-    pair = F.concat_ws(":", F.lit("pair"), "provider", "external_id")
-    keys = (
-        memory.select(own.alias("rid"), F.concat(F.lit("key:"), "canonical_key").alias("key"))
-        .unionByName(doi(memory, own)).unionByName(title(memory, own))
-        .unionByName(sources.select(F.concat(F.lit("m:"), "paper_id").alias("rid"), pair.alias("key")))
-        .unionByName(canonical_keys(incoming).select(new.alias("rid"), F.explode("keys").alias("k")).select("rid", F.concat(F.lit("key:"), "k").alias("key")))
-        .unionByName(doi(incoming, new)).unionByName(title(incoming, new))
-        .unionByName(source_pairs(incoming).select(new.alias("rid"), pair.alias("key")))
-        .where("key IS NOT NULL").distinct()
-    )
+    keys = stored_keys(memory, sources).select(own.alias("rid"), "key").unionByName(incoming_keys(incoming).select(new.alias("rid"), "key")).distinct()
     first = keys.groupBy("key").agg(F.min("rid").alias("dst"))
     groups = connected_components(keys.join(first, "key").where("rid <> dst").select(F.col("rid").alias("src"), "dst"))
     everyone = memory.select(own.alias("rid"), F.struct("created_at", "id").alias("age"), F.col("id").alias("stored")).unionByName(

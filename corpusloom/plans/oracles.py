@@ -531,3 +531,14 @@ ORACLES["scanned_status"] = f"""WITH {scores(False)}, ok AS (SELECT item_id, CAS
       cn AS (SELECT query_id, count(*) AS n, least(3, count(*) FILTER (score >= 0.35)) AS d FROM fr WHERE rank <= 10 GROUP BY 1)
       SELECT item_id AS watch_topic_id, error, coalesce(n, 0)::BIGINT AS retrieved, coalesce(n, 0)::BIGINT AS persisted, coalesce(n, 0)::BIGINT AS new, coalesce(d, 0)::BIGINT AS delivered,
         CASE WHEN error IS NULL THEN TIMESTAMP '2026-01-01' ELSE TIMESTAMP '2025-01-01' END AS last_scan_at, replace(error, '  ', ' ') AS last_error FROM ok LEFT JOIN cn ON query_id = item_id"""
+#: As in one batch, but a paper's id is told by the first batch that has it.
+ORACLES["grown_papers"] = ORACLES["upserted_papers"].replace("substr(min(sha256(ck)) FILTER (new = 1), 1, 32)", "substr(first(sha256(ck) ORDER BY rid >= 'd5', sha256(ck)) FILTER (new = 1), 1, 32)")
+ORACLES["grown_components"] = f"""WITH i AS ({ORACLES["identity_keys"]}), g AS (SELECT id, coalesce(max(key) FILTER (key LIKE 'title:%'), max(key) FILTER (key LIKE 'doi:%'), id) AS grp FROM i GROUP BY id),
+      n AS (SELECT DISTINCT grp, unnest([id, key]) AS node FROM i JOIN g USING (id)) SELECT node, min(node) OVER (PARTITION BY grp) AS component FROM n"""
+_ITEM_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= {least})"
+_PHRASES = f"w AS (SELECT {_ITEM_WORDS.format(least=1)} AS ws FROM benchmark), e AS (SELECT DISTINCT unnest(list_transform(range(1, len(ws) - 1), lambda k: array_to_string(ws[k:k + 2], ' '))) AS entry FROM w)"
+ORACLES["dictionary_hits"] = f"WITH {_PHRASES} SELECT doc_id, entry FROM documents JOIN e ON contains(lower(text), entry)"
+ORACLES["phrase_scan"] = f"WITH {_PHRASES} SELECT source, entry AS phrase, count(*) AS texts FROM documents JOIN e ON contains(lower(text), entry) GROUP BY ALL"
+ORACLES["matched_entries"] = f"""WITH w AS (SELECT item_id, {_ITEM_WORDS.format(least=5)} AS ws FROM benchmark), p AS (SELECT item_id, generate_subscripts(ws, 1) AS k, unnest(ws) AS entry FROM w),
+      e AS (SELECT entry, min((item_id, k)) AS nth FROM p GROUP BY entry), v AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS value FROM documents)
+      SELECT value, coalesce(first(entry ORDER BY nth, entry), value) AS entry FROM v LEFT JOIN e ON contains(value, entry) OR contains(entry, value) WHERE value <> '' GROUP BY value"""

@@ -10,7 +10,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import critic, gaps, index, provenance, resolve, search, sections, upsert, watch
+from ..operators import critic, dictionary, gaps, incremental, index, provenance, resolve, search, sections, upsert, watch
 from ..operators.components import cut_lineage, shared_folder
 from ..sources import documents, feeds
 from ..streaming import delivery, first_seen, watch as streaming
@@ -714,6 +714,52 @@ def scanned_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.drop("scanned_at").join(state.withColumnRenamed("id", "watch_topic_id"), "watch_topic_id")
 
 
+def grown_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as stored, then all papers in two batches by id; each state is written and read again."""
+    memory, sources, incoming = _memory(spark, sf_dir)
+    folder, now = _folder(spark, "memory"), F.lit("2026-01-01").cast("timestamp")
+    state = incremental.start_memory(memory, sources)[:2]
+    for k, batch in enumerate((None, incoming.where("id < 'd5'"), incoming.where("id >= 'd5'"))):
+        if batch is not None:
+            state = incremental.next_state(*state, incremental.upsert_batch(*state, batch, now))
+        state[0].write.parquet(f"{folder}/papers-{k}")
+        state[1].write.parquet(f"{folder}/keys-{k}")
+        state = spark.read.parquet(f"{folder}/papers-{k}"), spark.read.parquet(f"{folder}/keys-{k}")
+    return state[0].select("id", "canonical_key", "citation_count", "publication_year", "first_discovered_at", "updated_at")
+
+
+def grown_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers and their identities, linked in two batches by id, as a kept table of components."""
+    links = resolve.identity_keys(V.papers(spark, sf_dir)).select(F.col("id").alias("src"), F.col("key").alias("dst"))
+    known = cut_lineage(incremental.grow_components(spark.createDataFrame([], "node string, component string"), links.where("src < 'd5'")))
+    return incremental.replaced(known, cut_lineage(incremental.grow_components(known, links.where("src >= 'd5'"))), ["node"])
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of three words of the benchmark's items."""
+    items = V.table(spark, sf_dir, "benchmark").select(F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: w != "").alias("words")).where(F.size("words") >= 3)
+    return items.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda k: F.array_join(F.slice("words", k, 3), " "))).alias("entry"))
+
+
+def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which runs of three words of the benchmark."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return dictionary.find_entries(docs, _phrases(spark, sf_dir), "doc_id")
+
+
+def phrase_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of a source hold each of the benchmark's runs of three words."""
+    return dictionary.scan_phrases(V.table(spark, sf_dir, "documents"), _phrases(spark, sf_dir), "doc_id", "source", "text", "entry")
+
+
+def matched_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of documents by the first of the benchmark's words of five letters and more that holds them or is held by them."""
+    words = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.length(w) >= 5)
+    entries = V.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words).alias("at", "entry")).select("entry", F.struct("item_id", "at").alias("nth"))
+    values = V.table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("value"))
+    return dictionary.first_entry(values, entries).select("value", "entry")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -724,6 +770,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ingest_arxiv, ingest_semantic_scholar, retrieved_gaps, analyzed_topics, analyzed_gaps, scanned_topics, retrieval_log, appended_reviews, reconciled_cards, reconciled_sources, picked_insights,
         first_fit_groups, transfers_by_class, cleaned_papers, names_and_links, rewritten_claims, latest_reviews, candidate_details, listed_candidates, updated_status, upserted_cards, evidence_packets,
         candidate_supports, candidate_evidence, overlap_of_methods, reviewed_provenance, delivered_notifications, daily_digests_stream, indexed_search, upserted_partitions, document_files, quarantined_feeds,
-        scanned_status,
+        scanned_status, grown_papers, grown_components, dictionary_hits, phrase_scan, matched_entries,
     )
 }
