@@ -29,6 +29,9 @@ PARTED_NORMALIZER = {
     "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
 }
 PARTED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The step after the pattern that writes each byte as a letter, and the letters of bytes that stand for none themselves.
+BYTEWISE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 class WordIds:
@@ -38,14 +41,14 @@ class WordIds:
     a text's ids are its parts' ids in order. Of a part of plain letters with punctuation
     behind them the pattern makes two pieces, which are looked up apart, in lower case as
     the tokenizer sees them. What has been encoded is remembered, ``limit`` parts and
-    ``pieces_limit`` pieces at most. Texts of other tokenizers are encoded whole.
+    ``pieces_limit`` pieces at most; parts that come back outlast the others. Texts of other tokenizers are encoded whole.
     """
 
     LETTERS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<behind>[!-/:-@\[-`{-~]*)$"
     #: Rows taken at once, and the longest part that is remembered.
     ROWS, LONGEST = 1000, 64
 
-    def __init__(self, path: str, limit: int = 150_000, pieces_limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 300_000, pieces_limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.pieces_limit = Tokenizer.from_file(path), limit, pieces_limit
@@ -54,42 +57,62 @@ class WordIds:
         first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         parted = made.get("normalizer") == PARTED_NORMALIZER and (first.get("pattern"), first.get("behavior"), first.get("invert")) == ({"Regex": PARTED_PATTERN}, "Removed", True)
         self.parted, self.pieces = parted and made.get("post_processor") is None, {}
+        bytewise = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])[1:] == [BYTEWISE]
+        self.model = self.tokenizer.model if self.parted and bytewise else None
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.n, self.starts, self.ids = 0, np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.n, self.starts, self.ids, self.again = 0, np.zeros(1, np.int64), np.empty(0, np.uint32), np.empty(0, bool)
+
+    def _forget(self) -> None:
+        """Keeps the parts that were met again since the last time, unless they are most of what there is room for."""
+        kept = [(name, i) for name, i in self.place.items() if self.again[i]]
+        if 2 * len(kept) > self.limit:
+            return self._clear()
+        at = np.array([i for _, i in kept], np.int64)
+        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        self.n, self.starts = len(kept), np.r_[0, np.cumsum(size)]
+        self.ids = self.ids[np.arange(self.starts[-1]) + np.repeat(begin - self.starts[:-1], size)]
+        self.place, self.again = {name: k for k, (name, _) in enumerate(kept)}, np.zeros(self.n, bool)
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
+        """The ids of one match of the pattern, in lower case; the model takes it without the normalizer's and pattern's work."""
         if (got := self.pieces.get(text)) is None:
             if len(self.pieces) >= self.pieces_limit:
                 self.pieces.clear()
-            got = self.pieces[text] = self.encode(text)
+            if self.model is None:
+                got = self.encode(text)
+            else:
+                as_bytes = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LEVEL)
+                got = array("I", [x.id for x in self.model.tokenize(as_bytes)]).tobytes()
+            self.pieces[text] = got
         return got
 
     def _encoded(self, parts: pa.Array) -> list[bytes]:
         """The ids of each part."""
         found = pc.extract_regex(parts, self.LETTERS)
-        letters = pc.utf8_lower(pc.struct_field(found, "letters")).to_pylist()
-        out = []
-        for part, head, behind in zip(parts.to_pylist(), letters, pc.struct_field(found, "behind").to_pylist(), strict=True):
-            if head is None or len(part) > self.LONGEST:
-                out.append(self.encode(part))
-            else:
-                out.append(self.piece(head) + self.piece(behind) if behind else self.piece(head))
+        heads, behind = (pc.fill_null(pc.struct_field(found, c), "").dictionary_encode() for c in ("letters", "behind"))
+        head_ids = [self.piece(x) if x else b"" for x in pc.utf8_lower(heads.dictionary).to_pylist()]
+        behind_ids = [self.piece(x) if x else b"" for x in behind.dictionary.to_pylist()]
+        out = [head_ids[i] + behind_ids[j] for i, j in zip(heads.indices.to_pylist(), behind.indices.to_pylist(), strict=True)]
+        other = pc.or_(found.is_null(), pc.greater(pc.utf8_length(parts), self.LONGEST))
+        for i in np.flatnonzero(other.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encode(parts[i].as_py())
         return out
 
-    def _places(self, parts: pa.Array) -> np.ndarray:
+    def _places(self, parts: pa.Array, forgot: bool = False) -> np.ndarray:
         """Where the ids of each of these distinct parts are."""
         names = parts.to_pylist()
         at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if len(new) and self.n + len(new) > self.limit and self.n:
-            self._clear()
-            return self._places(parts)
+            self._clear() if forgot else self._forget()
+            return self._places(parts, True)
         if len(new):
             got = self._encoded(parts.take(pa.array(new)))
             ends = self.starts[self.n] + np.cumsum([len(x) // 4 for x in got])
@@ -99,6 +122,7 @@ class WordIds:
             # long ones are there for this call only
             self.place.update((names[i], int(at[i])) for i in new if len(names[i]) <= self.LONGEST)
             self.n += len(new)
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
         return at
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:

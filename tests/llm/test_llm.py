@@ -231,6 +231,18 @@ def test_word_ids_are_the_tokenizers():
     assert list(ids.of(pa.array([], pa.string()))) == []
 
 
+def test_new_words_do_not_push_recurring_ones_out():
+    ids = packing.WordIds(tokenizer_path(), limit=100)
+    common = " ".join(f"Été{chr(97 + k)}," for k in range(20))
+    encoded, encode = [], ids._encoded
+    ids._encoded = lambda parts: encoded.extend(parts.to_pylist()) or encode(parts)
+    texts = [common + " " + " ".join(chr(97 + r % 26) * (2 + r // 26) + chr(97 + k % 26) * 3 for k in range(26)) for r in range(40)]
+    for text in texts:
+        assert next(ids.of(pa.array([text]))).tobytes() == ids.encode(text)
+    assert max(Counter(encoded).values()) == 1
+    assert len(ids.place) <= 100 and ids.n <= 100
+
+
 def test_open_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.put(n, n) for n in (6, 7)] == [None, None]
