@@ -8,7 +8,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.components import connected_components, cut_lineage
 from .jaccard_join import SHINGLE, SIMILARITY, shingles
@@ -328,38 +328,28 @@ def _matched(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, _MATCH)
 
 
-def _class_matches(rows: DataFrame, keys: list[Column], n: int, more: Column) -> tuple[DataFrame, DataFrame]:
-    """The matches of ``more`` words among rows that agree in ``keys``, by the first of each class; and the rows with first, the class's size and whether they are matched."""
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "at")
-    apart = lambda rid, at: (rid != F.col("first.rid")) | (at >= F.col("first.at") + n)
-    keyed = rows.withColumn("class", F.xxhash64(*keys))
-    found = keyed.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("size"))
-    found = cut_lineage(found.withColumn("twice", apart(F.col("last.rid"), F.col("last.at"))))
-    joined = keyed.join(found.drop("last"), "class").withColumn("matched", apart(F.col("rid"), F.col("at")))
-    own = (F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))
-    parts = joined.where("matched OR twice").where(F.col("matched") | own)
-    return parts.select("rid", "doc_id", "at", "side", more.cast("int").alias("n_more"), F.col("matched").alias("removed"), F.col("first.doc_id").alias("keep_id")), joined
-
-
-def _hot_matches(rows: DataFrame, n: int, reach: int, limit: int) -> DataFrame:
-    """The matches of anchors with more than ``limit`` places.
-
-    Places with all words beyond in common are matched with the first of them and go no further. The others are taken apart by the
-    words beyond, one more in each round: all that agree so far are matched with the first of them, and classes that have become small are
-    matched in full. So no task gets more than ``limit`` rows of an anchor, and each match is as long as if it had.
+def _hot_matches(rows: DataFrame, n: int) -> DataFrame:
+    """The matches of anchors with many places: those of ``matches``, with no anchor's rows in one task, by the same few jobs however many words agree.
+
+    Places with all words beyond in common are a class. For every beginning that it shares with others, a class knows the first of all
+    places that have it; a place takes the longest beginning whose first place is far enough away.
     """
-    parts, joined = _class_matches(rows, [F.col("h"), F.col("side"), F.col("beyond")], n, F.octet_length("beyond") / 4)
-    rest = cut_lineage(joined.where("NOT matched").select(*rows.columns))
-    for words in range(reach + 1):
-        held = rest.where(F.octet_length("beyond") >= 4 * words)
-        more, joined = _class_matches(held, [F.col("h"), F.col("side"), F.substring("beyond", 1, 4 * words)], n, F.lit(words))
-        joined = cut_lineage(joined)
-        own = (F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))
-        parts = parts.unionByName(more).unionByName(_matched(joined.where(F.col("size") <= limit).withColumnRenamed("class", "key"), n))
-        rest = joined.where((F.col("size") > limit)).select(*rows.columns)
-        if rest.isEmpty():
-            break
-    return parts
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "at")
+    classes = cut_lineage(rows.groupBy("h", "side", "beyond").agg(F.min(place).alias("own"), F.count("*").alias("n")))
+    begun = classes.withColumn("words", F.explode(F.sequence(F.lit(0), (F.octet_length("beyond") / 4).cast("int")))).select(
+        F.xxhash64("h", "side", "beyond").alias("class"), F.xxhash64("h", "side", F.substring("beyond", F.lit(1), 4 * F.col("words"))).alias("begin"), "words", "own", "n"
+    )
+    firsts = cut_lineage(begun.groupBy("begin").agg(F.min("own").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n"))
+    # the longest beginning with each first place
+    chains = begun.select("class", "begin", "words").join(few(firsts, F.lit(48)), "begin").groupBy("class", "first").agg(F.max("words").alias("words"))
+    chains = cut_lineage(chains.groupBy("class").agg(F.collect_list(F.struct("words", "first")).alias("chain")))
+    apart = F.filter("chain", lambda c: (c["first"]["rid"] != F.col("rid")) | (F.col("at") >= c["first"]["at"] + n))
+    found = rows.withColumn("class", F.xxhash64("h", "side", "beyond")).join(few(chains, 64 * F.size("chain")), "class").withColumn("most", F.array_max(apart)).where("most IS NOT NULL")
+    found = cut_lineage(found.select("rid", "doc_id", "at", "side", F.col("most.words").alias("n_more"), F.col("most.first").alias("first")))
+    kept = found.groupBy("first", "side").agg(F.max("n_more").alias("n_more"))
+    return found.select("rid", "doc_id", "at", "side", "n_more", F.lit(True).alias("removed"), F.col("first.doc_id").alias("keep_id")).unionByName(
+        kept.select("first.rid", "first.doc_id", "first.at", "side", "n_more", F.lit(False).alias("removed"), F.col("first.doc_id").alias("keep_id"))
+    )
 
 
 #: Places of an anchor that a task takes at once.
@@ -384,7 +374,7 @@ def verbatim_passages(rows: DataFrame, docs: DataFrame, id_col: str, text_col: s
     parts = _matched(_contexts(docs, found.where(F.col("n") <= hot), id_col, text_col, k, n - k).select("*", key), n)
     if not twice.where(F.col("n") > hot).isEmpty():
         many = cut_lineage(_contexts(docs, found.where(F.col("n") > hot), id_col, text_col, k, n - k))
-        parts = parts.unionByName(_hot_matches(many, n, n - k, hot))
+        parts = parts.unionByName(_hot_matches(many, n))
     left = F.col("side") == 0
     return parts.select(
         "rid", F.when(left, F.col("at") - F.col("n_more")).otherwise(F.col("at")).alias("w_from"), F.when(left, F.col("at") + k).otherwise(F.col("at") + k + F.col("n_more")).alias("w_to"),

@@ -105,6 +105,22 @@ def test_a_very_common_passage_among_different_words(spark, tmp_path, monkeypatc
     check(rows, spans(spark, tmp_path, rows))
 
 
+def test_common_passages_take_few_jobs_and_match_as_rare_ones_do(spark, tmp_path, monkeypatch):
+    rnd = random.Random(26)
+    p = words(rnd, 70)
+    texts = [words(rnd, 30) + p[rnd.randrange(25) :][: rnd.randrange(42, 60)] + words(rnd, rnd.randrange(30)) for _ in range(40)] + [p * 3, p[:50] * 2, p[8:56], p[8:57]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rare = spans(spark, tmp_path / "rare", rows)
+    monkeypatch.setattr(paragraphs.verbatim_passages, "__defaults__", (2,))
+    cuts, cut = [], paragraphs.cut_lineage
+    monkeypatch.setattr(paragraphs, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    common = spans(spark, tmp_path / "common", rows)
+    as_rows = lambda got: sorted((r.doc_id, r["from"], r["to"], r.n_words, r.removed, r.keep_ids) for r in got)
+    assert as_rows(common) == as_rows(rare)
+    assert len(cuts) <= 20  # one for each of the words that agree would be 40 more
+    check(rows, common)
+
+
 def test_texts_that_repeat_themselves(spark, tmp_path):
     rnd = random.Random(24)
     a, b = words(rnd, 30), words(rnd, 7)
