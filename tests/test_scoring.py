@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import scoring, search
+from corpusloom.operators import gaps, scoring, search
 from corpusloom.plans import views as V
 
 PAPER = "id string, title string, abstract string, publication_year int, citation_count int, source string, ord int"
@@ -54,3 +54,24 @@ def test_same_as_pairs_by_join(spark, monkeypatch):
     monkeypatch.setattr(scoring, "numbered", lambda queries: None)
     assert local == {k: rows_of(f()) for k, f in asked.items()}
     assert len({r[0] for r in local["alone"]}) == 3 and any(r[4] for r in local["scope"])
+
+
+def test_a_claim_of_many_topics_is_looked_at_once(spark, monkeypatch):
+    """Before, a claim's words were taken apart for each topic and each use."""
+    null = F.lit(None).cast("string")
+    said = F.when(F.col("n") == 0, "segmentation ships improves nothing").otherwise("segmentation ships degrades a lot")
+    cards = spark.range(20).join(spark.range(2).withColumnRenamed("id", "n")).select(
+        F.col("id").cast("string").alias("topic"), F.concat(F.lit("p"), F.col("n").cast("string")).alias("paper_id"), F.col("n").alias("paper_ord"), null.alias("problem"), null.alias("motivation"),
+        *[(F.array(F.struct(said.alias("claim"), null.alias("s"), null.alias("t"))) if c == "main_claims" else F.array()).cast(k).alias(c) for c, k in V.ARRAYS.items()],
+    )
+    cut, seen = gaps.cut_lineage, []
+
+    def counted(df):
+        out = cut(df)
+        if "tokens" in out.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(gaps, "cut_lineage", counted)
+    got = gaps.contradictions(cards, gaps.build_facets(cards)).collect()
+    assert seen == [2] and {(r.topic, r.paper_a, r.paper_b, r.concept, r.claim_a[-7:], r.claim_b[-5:]) for r in got} == {(str(i), "p0", "p1", "segmentation ships", "nothing", "a lot") for i in range(20)}
