@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import gaps, scoring, search
+from corpusloom.operators import gaps, index, scoring, search
 from corpusloom.plans import views as V
 
 PAPER = "id string, title string, abstract string, publication_year int, citation_count int, source string, ord int"
@@ -56,6 +56,20 @@ def test_same_as_pairs_by_join(spark, monkeypatch):
     assert len({r[0] for r in local["alone"]}) == 3 and any(r[4] for r in local["scope"])
 
 
+def test_index_without_shuffle(spark, tmp_path, monkeypatch):
+    """Before, each token of each paper was a row, shuffled twice."""
+    rows, path = papers(spark), str(tmp_path / "index")
+    index.add_to_index(path, 0, rows, buckets=2)
+    queries = spark.createDataFrame([(1, "deep NET"), (2, "the x-ray of é")], "query_id int, query string")
+    want = rows_of(search.lexical_search(queries, rows, None, 6))
+    assert rows_of(index.search_index(queries, spark, path, 6, buckets=2)) == want
+    assert index.stored_words(spark, path).count() < index.stored_tokens(spark, path).count()
+    met = index.stored_tokens(spark, path).groupBy("paper_id", "token").agg(F.sum("weight").alias("weight"))
+    assert rows_of(met) == rows_of(search.stored_token_index(rows).groupBy("paper_id", "token").agg(F.sum("weight").alias("weight")))
+    monkeypatch.setattr(scoring, "numbered", lambda queries: None)
+    assert rows_of(index.search_index(queries, spark, path, 6, buckets=2)) == want
+
+
 def test_a_claim_of_many_topics_is_looked_at_once(spark, monkeypatch):
     """Before, a claim's words were taken apart for each topic and each use."""
     null = F.lit(None).cast("string")
