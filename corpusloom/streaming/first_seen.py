@@ -5,46 +5,74 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .watch import daily_stream
 
 FIRST = "watch_topic_id string, paper_id string, first_us bigint, rank_score double"
-STATE = "first_us bigint, rank_score double, told boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups that keys are dealt to by a hash. A group's keys are one table of the state, so that a batch costs a few calls a group, not some for each key.
+GROUPS = 1024
+KEY = ["watch_topic_id", "paper_id"]
+
+
+def _table(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(raw).read_pandas()
+
+
+def _raw(table: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    rows = pa.Table.from_pandas(table, preserve_index=False)
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
 class FirstSightings(StatefulProcessor):
-    """A key's first sighting, told once, when the watermark says that no earlier one can come; times are microseconds."""
+    """Each key's first sighting, told once, when the watermark says that no earlier one can come; times are microseconds.
+
+    The state is the table of a group's keys (KEY, first_us, rank_score, told), and a timer at the first of them that isn't told.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("first", STATE)
+        self.state = handle.getValueState("keys", "rows binary, due bigint")
+
+    def _keep(self, held: pd.DataFrame, before: int | None) -> None:
+        """``due``: the timer that is set, in milliseconds."""
+        open_ = held.loc[~held["told"], "first_us"]
+        due = None if open_.empty else int(open_.min()) // 1000 + 1
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.state.update((_raw(held), due))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first, rank, told = self.state.get() if self.state.exists() else (None, None, False)
-        before = first
+        parts, due = [], None
+        if self.state.exists():
+            raw, due = self.state.get()
+            parts.append(_table(raw))
         for batch in rows:
-            at = int(batch["seen_us"].min())
-            best = float(batch.loc[batch["seen_us"] == at, "rank_score"].max())
-            if first is None or at < first:
-                first, rank = at, best
-            elif at == first:
-                rank = max(rank, best)
-        if not told:
-            if first != before:
-                if before is not None:
-                    self.handle.deleteTimer(before // 1000 + 1)
-                self.handle.registerTimer(first // 1000 + 1)
-            self.state.update((first, rank, False))
+            parts.append(pd.DataFrame({**{c: batch[c] for c in KEY}, "first_us": batch["seen_us"].astype("int64"), "rank_score": batch["rank_score"].astype("float64"), "told": False}))
+        # what is told stays as it is; else the earliest counts, and of those the best
+        both = pd.concat(parts, ignore_index=True).sort_values(["told", "first_us", "rank_score"], ascending=[False, True, False], kind="stable")
+        self._keep(both.drop_duplicates(KEY), due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first, rank, told = self.state.get()
-        if not told:
-            self.state.update((first, rank, True))
-            yield pd.DataFrame({"watch_topic_id": [key[0]], "paper_id": [key[1]], "first_us": [first], "rank_score": [rank]})
+        raw, due = self.state.get()
+        held, now = _table(raw), expiredTimerInfo.getExpiryTimeInMs()
+        at = held["first_us"] // 1000 + 1
+        tell = ~held["told"] & ((at <= now) | (at < timerValues.getCurrentWatermarkInMs()))
+        out = held.loc[tell, [*KEY, "first_us", "rank_score"]].reset_index(drop=True)
+        held.loc[tell, "told"] = True
+        self._keep(held, None if due == now else due)
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
@@ -57,7 +85,8 @@ def first_sightings(sightings: DataFrame, lateness: str) -> DataFrame:
     """
     finite = F.col("rank_score").isNotNull() & ~F.isnan("rank_score") & (F.abs("rank_score") != float("inf"))
     rows = sightings.where(finite & F.col("seen_at").isNotNull()).withColumn("seen_us", F.unix_micros("seen_at")).withWatermark("seen_at", lateness)
-    return rows.groupBy("watch_topic_id", "paper_id").transformWithStateInPandas(FirstSightings(), outputStructType=FIRST, outputMode="Append", timeMode="EventTime")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)))
+    return rows.groupBy("group").transformWithStateInPandas(FirstSightings(), outputStructType=FIRST, outputMode="Append", timeMode="EventTime")
 
 
 def run_daily(sightings: DataFrame, folder: str, lateness: str, end: str, window: str = "1 day") -> DataFrame:
