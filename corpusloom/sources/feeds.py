@@ -80,7 +80,8 @@ def _struct(ddl: str) -> str:
     return ",".join(":".join(part.split(" ", 1)) for part in ddl.split(", "))
 
 
-def semantic_scholar_papers(records: DataFrame) -> DataFrame:
+def semantic_scholar_papers(records: DataFrame, *more: Column) -> DataFrame:
+    """Paper rows of records of the second feed, and ``more`` of the records beside them; rows without id or title are left out."""
     paper_id, title = T.blank_to_null(F.col("paperId")), T.blank_to_null(F.col("title"))
     known = T.known_external_ids(F.col("externalIds"))
     doi = F.coalesce(T.norm_doi(F.col("doi")), F.try_element_at(known, F.lit("doi")))
@@ -88,7 +89,7 @@ def semantic_scholar_papers(records: DataFrame) -> DataFrame:
         F.concat(F.lit("semantic_scholar:"), paper_id).alias("id"), title.alias("title"), T.blank_to_null(F.col("abstract")).alias("abstract"),
         _names(F.col("authors"), lambda a: a["name"]).alias("authors"), count_or_null(F.col("year")).alias("publication_year"), T.blank_to_null(F.col("venue")).alias("venue"),
         doi.alias("doi"), T.blank_to_null(F.col("url")).alias("url"), count_or_null(F.col("citationCount")).alias("citation_count"), F.lit("semantic_scholar").alias("source"),
-        _with(_with(known, "semantic_scholar", paper_id), "doi", doi).alias("external_ids"),
+        _with(_with(known, "semantic_scholar", paper_id), "doi", doi).alias("external_ids"), *more,
     )
 
 
